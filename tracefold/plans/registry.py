@@ -1,4 +1,5 @@
 """The registered queries of the diagnostic operators and the SQL that checks them."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
