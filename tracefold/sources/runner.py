@@ -18,5 +18,5 @@ def run_variants(variants: DataFrame, runner: Callable[[list[str]], tuple[int, s
 
     from pyspark.sql.types import StringType, StructType
 
-    schema = StructType(variants.schema.fields).add("status", StringType()).add("message", StringType())
+    schema = StructType(list(variants.schema.fields)).add("status", StringType()).add("message", StringType())
     return variants.mapInPandas(run, schema)
