@@ -7,7 +7,7 @@ changed meanwhile are skipped as stale.  Decoding concatenates vocabulary string
 to bytes; bytes that are not UTF-8 give U+FFFD.
 
 Python in Arrow batches: the merge loop is sequential per word.  No shuffle.  A task holds a batch,
-the vocabulary (its size is fixed) and a cache of at most ``CACHE`` words, emptied when full.
+the vocabulary (its size is fixed) and caches of at most ``CACHE`` words, emptied when it ends.
 The vocabulary's path is a parameter; it is read on the driver and travels inside the task closure.
 
 Defined results: a null text counts as empty and has no tokens; its digests are those of no bytes.
@@ -31,9 +31,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 
-CACHE = 400_000
+CACHE = 150_000
 #: Fixed value: the published pre-token pattern of this vocabulary family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -62,9 +62,7 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.make(piece)
-        if len(piece) < 48:
-            if len(self) >= CACHE:
-                self.clear()
+        if len(piece) < 48 and len(self) < CACHE:  # frequent stretches come early
             self[piece] = ids
         return ids
 
@@ -135,6 +133,10 @@ class Bpe:
                 out.extend(map(self.blanks.__getitem__, rest))
         return b"".join(out)
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.blanks.clear()
+
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.strings.__getitem__, numbers(ids))).decode("utf-8", "replace")
 
@@ -172,8 +174,10 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
                 part = batch.iloc[at : at + 500]
                 ids = [coder.encode(t or "") for t in part["text"]]
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "ids": [numbers(x) for x in ids], "decoded": [coder.decode(x) for x in ids]})
+        coder.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, ids array<int>, decoded string")
 
 
@@ -191,8 +195,10 @@ def digests(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_i
                 a.append(hashlib.sha256(ids).hexdigest())
                 b.append(hashlib.sha256(coder.decode(ids).encode()).hexdigest())
             yield pd.DataFrame({"id": batch["id"], "n_tokens": n, "ids_sha256": a, "decoded_sha256": b})
+        coder.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

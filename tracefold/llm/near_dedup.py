@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialise, remove, shuffle_partitions, table
+from .common import bounded_batches, fresh_path, materialise, remove, shuffle_partitions, table
 from .exact_dedup import bit_filter, may_hold
 
 M = 128  # signature length
@@ -342,6 +342,7 @@ def in_blocks(members: DataFrame, key: str, blocks) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 22) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows, bands = bands_for(similarity)
     percent = round(100 * similarity)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import bounded_batches, materialise, table
 
 FEATURES = (
     "log_chars", "log_words", "word_length", "word_spread", "longest_word", "distinct", "top_word", "repeats", "upper", "digits", "marks", "odd_marks",
@@ -154,6 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, id_col: st
             x = matrix(batch["text"])
             yield pd.DataFrame({"id": batch["id"].astype(str), "quality": batch["quality"], "x": list(x)})
 
+    bounded_batches(docs.sparkSession)
     rows = joined.select("id", "text", "quality").mapInPandas(run, "id string, quality int, x array<double>").toPandas()  # max_rows vectors, and rows that repeat an identifier
     rows = rows.drop_duplicates("id").sort_values("id")
     x = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), len(FEATURES))
@@ -168,6 +169,7 @@ def score(docs: DataFrame, model: Forest, id_col: str = "doc_id", text_col: str
             yield pd.DataFrame({"id": batch["id"], "score": model.score(matrix(batch["text"]))})
 
     kind = docs.schema[id_col].dataType.simpleString()
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, score double")
 
 
@@ -178,6 +180,7 @@ def keep_good(docs: DataFrame, model: Forest, least: float = 0.3, text_col: str
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series(model.score(matrix(texts)))
 
+    bounded_batches(docs.sparkSession)
     return docs.where(scored(F.col(text_col)) >= least)
 
 
