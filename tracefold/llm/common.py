@@ -50,6 +50,22 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def split_join(left: DataFrame, right: DataFrame, on: list[str], sizes: DataFrame, total: int, how: str = "inner", spread: str = "id", pieces: int = 1000) -> DataFrame:
+    """Join that no key can make uneven; ``right`` has one row per key.
+
+    ``sizes`` holds the keys and ``rows_of_key``, the rows that ``left`` has of each; their sum is at most ``total``.
+    A key of more than ``total`` / ``pieces`` rows is hot.  There are fewer than 2 * ``pieces`` hot keys at any size of the
+    input, so their broadcast is bounded.  Their rows are dealt over parts by the hash of ``spread``; the row on the
+    right is repeated for each part.  Keys must not be null.
+    """
+    most = max(1, total // pieces)
+    parts = F.ceil(F.col("rows_of_key") / most).cast("int")
+    hot = sizes.where(F.col("rows_of_key") > most).select(*on, parts.alias("_parts"))
+    dealt = left.join(F.broadcast(hot), on, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    repeated = right.join(F.broadcast(hot), on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(repeated, [*on, "_part"], how).drop("_part")
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -8,8 +8,9 @@ their text to the byte comparison with the text of the row that stays.
 
 Scale: only (digest, identifier) is shuffled for all rows, after a map-side combine, so a text that
 a third of the rows share arrives as one entry per task and memtable.  Texts are shuffled for hits
-alone.  The bit map has ``filter_bits`` bits whatever the input, so its broadcast is bounded; when
-it fills, more texts travel and the result stays the same.
+alone; the rows of a hot text are dealt over parts, its kept text goes to each.  The bit map has
+``filter_bits`` bits whatever the input, so its broadcast is bounded; when it fills, more texts
+travel and the result stays the same.
 
 Defined results: a null text counts as empty; equal empty texts are copies of one another.  A null
 identifier never stays when its group has another one.  Rows that repeat identifier and text count
@@ -24,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialise, remove, table
+from .common import fresh_path, materialise, remove, split_join, table
 
 BUCKET = 32_768  # bits that one row of bitmap_construct_agg holds
 
@@ -114,6 +115,7 @@ def exact_duplicates(
     index.flush(rows.select("id", "digest"), memtables)
     index.compact()
     hits = index.entries().where("n > 1")
+    total = hits.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     probed = may_hold(rows, bit_filter(hits, filter_bits), filter_bits)
     # one text for each hit: that of the row which stays
@@ -126,7 +128,7 @@ def exact_duplicates(
     )
     carried = probed.withColumn("text", F.when(F.col("maybe"), F.col("text")))
     compared = materialise(
-        carried.join(first, "digest", "left").select(
+        split_join(carried, first, ["digest"], hits.select("digest", F.col("n").alias("rows_of_key")), total, "left").select(
             "id", "digest", "keep_id", "n", F.when(F.col("n").isNotNull() & (F.col("text") != F.col("kept_text")), F.col("text")).alias("other"), (F.col("n").isNull() | (F.col("text") == F.col("kept_text"))).alias("same")
         ),
         "compared",
