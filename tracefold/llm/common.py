@@ -66,6 +66,19 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], sizes: DataFram
     return dealt.join(repeated, [*on, "_part"], how).drop("_part")
 
 
+def hub_join(left: DataFrame, right: DataFrame, on: list[str], rows_of_key: str, total: int, pieces: int = 1000) -> DataFrame:
+    """Inner join that no key can make uneven, for a ``right`` of short rows, one per key.
+
+    Its column ``rows_of_key`` says how many rows ``left`` has of the key; the sum is at most 2 * ``total``.  Fewer than
+    2 * ``pieces`` keys have over ``total`` / ``pieces`` rows at any size of the input: these are broadcast, so that their
+    rows on the left stay where they are; the other keys are joined by a shuffle.
+    """
+    most = max(1, total // pieces)
+    hot = right.where(F.col(rows_of_key) > most)
+    cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(F.col(rows_of_key) <= most), on)
+    return left.join(F.broadcast(hot), on).unionByName(cold)
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

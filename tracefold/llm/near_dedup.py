@@ -19,7 +19,8 @@ of 0.2 is over six standard errors.
 
 Scale: nothing is collected; components are found by alternating large-star and small-star steps
 over written edge tables.  A text that a third of all rows share is one representative after a
-map-side combine.  Hot buckets and components are cut into blocks, each block pair a group of its
+map-side combine.  Nodes, components and sets that hold over a thousandth of the rows are joined by a
+bounded broadcast (``hub_join``), so none gathers in one task.  Hot buckets and components are cut into blocks, each block pair a group of its
 own, so no task holds an unbounded group.  Only texts of candidate components are shuffled, found by
 a bit map of bounded size.  Within one dense component the work is its number of block pairs.
 
@@ -39,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh_path, materialise, remove, shuffle_partitions, table
+from .common import bounded_batches, fresh_path, hub_join, materialise, remove, shuffle_partitions, table
 from .exact_dedup import bit_filter, may_hold
 
 M = 128  # signature length
@@ -316,8 +317,8 @@ def components(edges: DataFrame) -> DataFrame:
                 remove(spark, old)
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(e.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("degree"))
+        large = hub_join(both.where("v > u"), least, ["u"], "degree", state[0]).select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         joined = large.join(down, "hi")
         small = joined.select(F.col("m").alias("lo"), "hi").unionByName(joined.where("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))).distinct()
@@ -347,7 +348,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     percent = round(100 * similarity)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     base = materialise(sketch(texts, words, rows, bands), "sketches")
-    classes = base.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
+    classes = materialise(base.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     reps = materialise(base.where("n > 0").join(classes.select(F.col("rep").alias("id")).where("id is not null").distinct(), "id", "left_semi").dropDuplicates(["id", "n", "f1", "f2"]), "representatives")
 
     keyed = materialise(reps.select("id", F.explode("bands").alias("key")), "bands")
@@ -360,15 +361,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
 
     nodes = candidates.select(F.col("root").alias("component"), F.col("node").alias("id")).unionByName(candidates.select(F.col("root").alias("component"), F.col("root").alias("id")).distinct())
     sized = nodes.join(reps.groupBy("id").agg(F.max("n").alias("n")), "id")
-    weight = sized.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / ELEMENTS)).alias("blocks"))
-    placed = materialise(in_blocks(sized.select("component", "id").join(weight, "component"), "component", F.col("blocks")).select("component", "a", "b", "id"), "candidates")
+    weight = sized.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / ELEMENTS)).alias("blocks"), F.count(F.lit(1)).alias("members"))
+    weighed = hub_join(sized.select("component", "id"), weight, ["component"], "members", candidates.count())
+    placed = materialise(in_blocks(weighed, "component", F.col("blocks")).select("component", "a", "b", "id"), "candidates")
     found = may_hold(texts.withColumn("digest", F.col("id")), bit_filter(placed.select(F.col("id").alias("digest")), filter_bits), filter_bits).where("maybe").select("id", "text")
     checked = placed.join(found, "id").repartition(parts, "component", "a", "b").sortWithinPartitions("component", "a", "b")
     links = components(checked.select("component", "a", "b", "id", "text").mapInPandas(confirm(words, percent), "lo long, hi long"))
 
-    grouped = classes.join(links, F.col("rep") == F.col("node"), "left").select("n", "f1", "f2", F.coalesce("root", "rep").alias("class_component"))
+    grouped = classes.join(links, F.col("rep") == F.col("node"), "left").select("n", "f1", "f2", "copies", F.coalesce("root", "rep").alias("class_component"))
     # a class is known by (n, f1, f2); identifiers that repeat with other texts are one node through their links
-    out = base.select("id", "n", "f1", "f2").join(grouped, ["n", "f1", "f2"], "left")
+    sets = base.where("n > 0").select("id", "n", "f1", "f2")
+    out = hub_join(sets, grouped, ["n", "f1", "f2"], "copies", sets.count()).select("id", "n", "class_component")
+    out = out.unionByName(base.where("n = 0").select("id", "n", F.lit(None).cast("long").alias("class_component")))
     component = F.coalesce("class_component", "id")
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
