@@ -43,6 +43,7 @@ TEMPLATES = (
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
+THRESHOLD = 0.85  # of a template's words
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -82,7 +83,7 @@ def prefixes(templates, frequency: dict[str, int], threshold: float) -> list[tup
     return out
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     spark = docs.sparkSession
     sets = [(label, _set(text)) for label, text in templates]
@@ -131,3 +132,35 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.85, id_col:
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+OP10_SQL = (
+    r"""
+WITH t(seat, label, body) AS (VALUES
+    {templates}),
+  ts AS (SELECT seat, label, list_distinct(list_filter(regexp_split_to_array(lower(body), '{sep}'), lambda x: x <> '')) AS words FROM t),
+  d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
+  w AS (SELECT r, doc_id, list_filter(regexp_split_to_array({lower}, '{sep}'), lambda x: x <> '') AS words FROM d),
+  spots AS (SELECT r,
+      list_filter(range(len(words)), lambda i: words[i + 1] = 'mit' AND words[i + 2] = 'license') AS mit,
+      list_filter(range(len(words)), lambda i: words[i + 1] = 'apache' AND words[i + 2] = 'license') AS apache,
+      list_filter(range(len(words)), lambda i: words[i + 1] = 'general' AND words[i + 2] = 'public' AND words[i + 3] = 'license') AS gpl
+    FROM w),
+  lines AS (SELECT r, list_distinct(list_filter(regexp_split_to_array(line, '{sep}'), lambda x: x <> '')) AS held
+    FROM (SELECT r, unnest(string_split({lower}, chr(10))) AS line FROM d)),
+  hit AS (SELECT r, label, len(list_intersect(held, words)) / len(words) AS share FROM lines, ts
+    WHERE len(list_intersect(held, words)) >= ceil({threshold} * len(words) - 1e-9)),
+  m AS (SELECT r, list(DISTINCT label) AS more, max(share) AS score FROM hit GROUP BY r),
+  b AS (SELECT r, list_sort(mit || apache || gpl) AS places,
+      list_filter([CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END], lambda x: x IS NOT NULL) AS base
+    FROM spots)
+SELECT w.doc_id, len(w.words) AS n_words, len(places) AS n_base, places[1] AS first_word, places[-1] AS last_word,
+       array_to_string(base, ',') AS base_labels, array_to_string(list_sort(list_distinct(base || coalesce(more, []))), ',') AS labels,
+       coalesce(score, 0.0) AS score
+FROM w JOIN b USING (r) LEFT JOIN m USING (r)
+"""
+    .replace("{templates}", ",\n    ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(TEMPLATES)))
+    .replace("{lower}", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    .replace("{sep}", SEPARATORS)
+    .replace("{threshold}", str(THRESHOLD))
+)

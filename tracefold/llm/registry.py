@@ -5,7 +5,7 @@ from __future__ import annotations
 from .bpe import op6_bpe
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .html_extract import op3_html_extract
-from .licenses import op10_license_scan
+from .licenses import OP10_SQL, op10_license_scan
 from .mixing import op1_mixing
 from .near_dedup import op7_near_dedup
 from .neighbours import op8_neighbours
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_license_scan": op10_license_scan,
 }
-SQL = {"op5_exact_dedup": OP5_SQL}
+SQL = {"op5_exact_dedup": OP5_SQL, "op10_license_scan": OP10_SQL}
