@@ -159,6 +159,31 @@ def test_mixing_meets_targets(spark):
         assert math.isclose(r.weight, w[(r.source, r.lang, r.topic)] / cells[(r.source, r.lang, r.topic)], rel_tol=1e-3)
 
 
+def test_mixing_keeps_languages_without_a_share(spark):
+    langs = ["en", "de", "fr", "es", None, "it", "zh"]
+    rows = [(i, "w " * (20 + i % 5), langs[i % 7], f"s{i % 3}", 0) for i in range(2100)]
+    empty = [(5000 + i, [None, ""][i % 2], "en", "only empty", 0) for i in range(4)]
+    got = mixing.production(spark.createDataFrame(rows + empty, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    assert len(got) == len(rows) + len(empty)
+    assert {r.probability for r in got if r.source == "only empty"} == {1.0}
+    share, kept, tokens = Counter(), Counter(), Counter()
+    for r in got:
+        share[r.lang] += r.weight * r.n_tokens
+        kept[r.lang] += r.sampled
+        tokens[r.lang] += r.n_tokens
+    unnamed = {k: tokens[k] / sum(tokens.values()) for k in ("", "it", "zh")}
+    want = unnamed | {k: v * (1 - sum(unnamed.values())) for k, v in mixing.LANG_SHARES.items()}
+    assert all(math.isclose(share[k], v, abs_tol=1e-4) for k, v in want.items()) and set(share) == set(want)
+    assert all(kept[k] > 0 for k in want)
+
+
+@pytest.mark.parametrize("shares,want", [({"en": 0.5}, {"en": 0.5, "de": 0.125, "it": 0.375}), ({"xx": 1.0}, {"en": 0.2, "de": 0.2, "it": 0.6}), ({"en": 0.0, "de": 1.0}, {"en": 0.0, "de": 0.4, "it": 0.6})])
+def test_mixing_targets_of_named_and_other_values(spark, shares, want):
+    cells = spark.createDataFrame([("en", 10), ("de", 10), ("it", 30), ("zh", 0)], "lang string, tokens long")
+    got = {r.lang: r.lang_target for r in mixing._targets(cells, "lang", shares, 1.0).collect()}
+    assert {k: round(v, 6) for k, v in got.items()} == want
+
+
 def test_mix_keeps_rows_whole(spark, rows):
     docs = table(spark, rows)
     left = mixing.mix(docs)

@@ -6,9 +6,10 @@ the targets.  A cell's weight over its tokens is the relative rate of its docume
 scaled to the wanted share of the corpus, none above 1, and a document stays when the uniform number
 of its identifier's hash is below its cell's probability.
 
-Targets: ``shares`` names shares of a marginal's values (renormalised over those present; values
-not named get none); elsewhere the share is tokens to the power ``alpha``, which flattens a source
-that holds a third of all rows.
+Targets: ``shares`` names shares of a marginal's values (renormalised over those present).  Values
+not named have what the named ones leave of 1, by tokens to the power ``alpha``; where these leave
+nothing, the part that power gives them among all values, and the named ones share the rest.  Without
+``shares`` every value goes by that power, which flattens a source that holds a third of all rows.
 
 Scale: one pass over the text to (id, cell, tokens); all else runs on cells, after a map-side sum.
 Cells stay a DataFrame, in the shared folder between rounds; the driver sees one deviation a round.
@@ -49,15 +50,16 @@ def form_topic(text: Column) -> Column:
 
 def _targets(cells: DataFrame, name: str, shares: dict[str, float] | None, alpha: float) -> DataFrame:
     sums = cells.where("tokens > 0").groupBy(name).agg(F.sum("tokens").alias("tokens"))
-    if shares:
-        named = F.lit(0.0)
-        for k, v in shares.items():
-            named = F.when(F.col(name) == k, F.lit(float(v))).otherwise(named)
-        want = named
-    else:
-        want = F.pow(F.col("tokens").cast("double"), F.lit(float(alpha)))
-    total = F.sum("want").over(Window.partitionBy(F.lit(0)))
-    return sums.withColumn("want", want).select(name, (F.col("want") / total).alias(f"{name}_target"))
+    every = Window.partitionBy(F.lit(0))
+    share, flat = F.lit(None).cast("double"), F.pow(F.col("tokens").cast("double"), F.lit(float(alpha)))
+    for k, v in (shares or {}).items():
+        share = F.when(F.col(name) == k, F.lit(float(v))).otherwise(share)
+    sums = sums.withColumn("share", share).withColumn("other", F.when(F.col("share").isNull(), flat).otherwise(0.0))
+    left = 1.0 - sum((shares or {}).values())
+    rest = F.lit(left) if left > 1e-9 else F.sum("other").over(every) / F.sum(flat).over(every)
+    of_named, of_other = F.try_divide("share", F.sum("share").over(every)), F.try_divide("other", F.sum("other").over(every))
+    sums = sums.withColumn("want", F.when(F.col("share").isNull(), rest * of_other).otherwise((1.0 - rest) * F.coalesce(of_named, F.lit(0.0))))
+    return sums.select(name, F.try_divide("want", F.sum("want").over(every)).alias(f"{name}_target"))
 
 
 def rake(cells: DataFrame, shares: dict[str, dict[str, float]], alphas: dict[str, float], rounds: int = 24, per_round: int = 3, tolerance: float = 1e-6) -> DataFrame:
@@ -92,7 +94,7 @@ def calibrate(cells: DataFrame, share: float) -> DataFrame:
     budget = F.lit(float(share)) * F.sum("tokens").over(Window.partitionBy(F.lit(0)))
     ranked = (
         cells.withColumn("rate", rate)
-        .withColumn("scale", (budget - F.coalesce(F.sum("tokens").over(above), F.lit(0))) / F.sum("weight").over(rest))
+        .withColumn("scale", F.try_divide(budget - F.coalesce(F.sum("tokens").over(above), F.lit(0)), F.sum("weight").over(rest)))
         .withColumn("fits", (F.col("rate") > 0) & (F.col("scale") * F.col("rate") <= 1))
     )
     c = F.max(F.when(F.col("fits"), F.col("scale"))).over(Window.partitionBy(F.lit(0)))
