@@ -289,6 +289,30 @@ def test_html_main_text(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def extracted(spark, pages):
+    return {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+
+def test_html_keeps_all_slots_that_vary(spark):
+    plain = "<html><body><div class=page><h1>Head {0}</h1><p class=lead>Lead {0}</p><div class=text>{1}</div><div class=box>Follow <b>us</b></div></div></body></html>"
+    two = "<html><body><article class=first>One {0}</article><article class=second>Two {0} {1}</article></body></html>"
+    pages = [(i, f"http://plain.example/{i}", plain.format(i, f"<p>body {i} text</p>" * 20)) for i in range(6)]
+    pages += [(100 + i, f"http://two.example/{i}", two.format(i, "more " * 30)) for i in range(6)]
+    pages += [(200, "http://single.example/", two.format(7, "more")), (201, "http://same.example/a", plain.format(1, "x")), (202, "http://same.example/b", plain.format(1, "x"))]
+    got = extracted(spark, pages)
+    assert got[3] == "\n".join(["Head 3", "Lead 3"] + ["body 3 text"] * 20)
+    assert got[104] == "One 4\nTwo 4 " + " ".join(["more"] * 30)
+    assert got[200] == "One 7\nTwo 7 more"
+    assert got[201] == got[202] == "Head 1\nLead 1\nx\nFollow us"
+
+
+def test_html_classes_need_equal_counts():
+    token = dict(path="body>div.x", pages=4, total=8, vector="1", dropped=0, own_low=5, own_high=5, all_low=5, all_high=5)
+    varied = dict(path="body", pages=4, total=4, vector="2", dropped=0, least=1, most=1, own_low=0, own_high=0, all_low=1, all_high=2)
+    assert html_extract.deduce([token | dict(least=1, most=3), varied], 4, 0.6) == (["body"], [], [])  # 8 in 4 pages, but not 2 in each
+    assert html_extract.deduce([token | dict(least=2, most=2), varied], 4, 0.6) == (["body", "body>div.x"], ["body>div.x"], [])
+
+
 # ---- neighbours ----
 
 

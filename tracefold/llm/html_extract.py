@@ -2,17 +2,19 @@
 
 1. Every page is cut into markup tokens; an element's token is its path of structural elements with
    their class, id and role.  For each host and token the number of pages, of occurrences and a
-   commutative fingerprint of the occurrence vector over all the host's pages are summed.
+   commutative fingerprint of the occurrence vector over all the host's pages are summed, and the least and
+   largest digest of the text that a page has directly in the token's elements, and anywhere inside them.
 2. Tokens with the same vector form an equivalence class.  A class is valid when its tokens occur in at
-   least ``support`` of the host's pages and equally often in all of them; classes nest by path.  The tokens of
-   valid classes are the host's template; a page's text between them fills slots.
-3. Slots of the template that are menus, headers, footers, sidebars, notices, adverts, forms,
-   comments, scripts or styles are dropped; of the others the element that holds the most text of
-   the host's pages is the main one (an article or main element first).
-4. A page's text is that of its blocks inside the main element, less dropped slots, in page order.
+   least ``support`` of the host's pages and equally often in each of them.  The tokens of valid classes are
+   the host's template; they nest by path.  A slot is the text of a token's elements that is in no nested token.
+3. Dropped are elements that are menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts
+   or styles, nested tokens whose whole text is the same on every page that has them, and the text
+   directly inside a token where that is the same.  Fewer than ``STEADY`` pages do not make text constant.
+4. A page's text is that of its blocks in all other slots, in page order, wherever they are on the page.
 
-A page that lacks the main element of its template (or whose host has no valid class) is read by its own
-article, main or body element; a page without tags is one block.
+A page that has no token of its template but html and body, or whose host has no valid class or no text that varies, is
+read by its own article elements, else main, else body; a page without tags is one block.  Elements with the same
+path share a slot.
 
 Python in Arrow batches: tokenising markup is sequential.  Statistics cover all pages; they are
 summed map-side per (host, token), so a host with a third of all pages is a row per task and token.
@@ -29,7 +31,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -53,6 +55,8 @@ DROPPED_NAMES = re.compile(
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|\Z)""", re.IGNORECASE)
 NUMBER = re.compile(r"\d+")
+#: Pages that must agree before a text counts as constant over a host.
+STEADY = 3
 
 
 class Element:
@@ -129,31 +133,68 @@ def clean(parts: list[str]) -> str:
     return " ".join(html.unescape("".join(parts)).split())
 
 
+def kind_of(path: str) -> str:
+    return re.split(r"[.>]", path.rpartition(">")[2])[0]
+
+
+def above(path: str) -> list[str]:
+    """The path's prefixes, itself the last."""
+    parts = path.split(">")
+    return [">".join(parts[:i]) for i in range(1, len(parts) + 1)]
+
+
+def digest(parts) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=6).digest(), "big") + 1 if parts else 0
+
+
 def statistics(page: str) -> dict[str, list[int]]:
-    """By token: occurrences, characters of kept text directly inside, whether it is dropped."""
-    out: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
+    """By token: occurrences, whether it is dropped, digests of the kept text directly inside and anywhere inside; 0: no text."""
+    out: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+    texts: dict[str, list[str]] = defaultdict(list)
     for kind, element, text in events(page):
         if kind == "open":
             out[element.path][0] += 1
-            out[element.path][2] |= element.dropped
+            out[element.path][1] |= element.dropped
         elif kind == "text" and element is not None and not element.dropped:
-            out[element.path][1] += len(text)
+            text = " ".join(text.split())
+            if text:
+                texts[element.path].append(text)
+    inside: dict[str, list[str]] = defaultdict(list)
+    for path in sorted(texts):
+        own = out[path][2] = digest(texts[path])
+        for p in above(path):
+            inside[p].append(f"{path} {own}")
+    for path, parts in inside.items():
+        out[path][3] = digest(parts)
     return out
 
 
-def main_text(page: str | None, container: str | None) -> str:
-    """Text of the blocks inside ``container`` (a token), or inside the page's own main element."""
+def main_text(page: str | None, template: tuple[set, set, set] | None) -> str:
+    """Text of the blocks in the slots of ``template`` (see ``deduce``), or of the page's own main elements."""
     if not page:
         return ""
     every = list(events(page))
-    paths = [e.path for kind, e, _ in every if kind == "open" and not e.dropped]
-    if container not in paths:
-        container = next((p for name in ("article", "main", "body") for p in paths if re.search(rf"(?:^|>){name}(?:\.[^>]*)?$", p)), None)
+    paths = dict.fromkeys(e.path for kind, e, _ in every if kind == "open" and not e.dropped)
+    verdicts: dict[str, bool] = {}
+    if template and any(p in template[0] and kind_of(p) not in ("html", "body") for p in paths):
+        _, steady, silent = template
+        judge = lambda path: path not in silent and steady.isdisjoint(above(path))
+        outside = True
+    else:
+        own = next((found for name in ("article", "main", "body") if (found := {p for p in paths if kind_of(p) == name})), None)
+        judge = lambda path: own is None or not own.isdisjoint(above(path))
+        outside = own is None
     blocks: list[list[str]] = [[]]
     for kind, element, text in every:
         if kind != "text":
             blocks.append([]) if blocks[-1] else None
-        elif (element is None and container is None) or element is not None and not element.dropped and (container is None or element.path == container or element.path.startswith(container + ">")):
+            continue
+        keep = outside if element is None else not element.dropped
+        if keep and element is not None:
+            if element.path not in verdicts:
+                verdicts[element.path] = judge(element.path)
+            keep = verdicts[element.path]
+        if keep:
             blocks[-1].append(text)
         elif blocks[-1]:
             blocks.append([])
@@ -164,63 +205,61 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def deduce(tokens: list[dict], pages: int, support: float) -> str | None:
-    """The token of the main element from a host's tokens: path, pages, total, vector, chars, dropped."""
+def deduce(tokens: list[dict], pages: int, support: float) -> tuple[list[str], list[str], list[str]] | None:
+    """A host's template, from its tokens: all its tokens, those with constant text inside, those with constant text of their own."""
     classes: dict[tuple, list[dict]] = defaultdict(list)
     for t in tokens:
         classes[(t["pages"], t["total"], t["vector"])].append(t)
-    # valid classes, the widest first: equally often in each of their pages, enough pages; they nest by path
-    valid = [c for (n, total, _), c in classes.items() if n >= support * pages and total % n == 0]
-    template = {t["path"] for c in valid for t in c if not t["dropped"]}
-    if not template:
+    # valid classes: enough pages and equally often in each of them
+    valid = [c for (n, _, _), c in classes.items() if n >= support * pages and all(t["least"] == t["most"] for t in c)]
+    template = {t["path"]: t for c in valid for t in c if not t["dropped"]}
+    same = lambda t, k: t["pages"] >= STEADY and 0 < t[f"{k}_low"] == t[f"{k}_high"]
+    varies = any(t["all_low"] != t["all_high"] for t in template.values())
+    if not varies:
         return None
-    inside: Counter = Counter()
-    for t in tokens:
-        if not t["dropped"]:
-            parts = t["path"].split(">")
-            for i in range(1, len(parts) + 1):
-                inside[">".join(parts[:i])] += t["chars"]
-    kind = lambda p: re.split(r"[.>]", p.rpartition(">")[2])[0]
-    most = lambda names: max((p for p in template if kind(p) in names and inside[p]), key=lambda p: (inside[p], -len(p), p), default=None)
-    named = most({"article"}) or most({"main"})
-    if named and 2 * inside[named] >= max(inside.values()):
-        return named
-    # else the deepest slot that still holds most of the text
-    top = max(inside.values(), default=0)
-    return max((p for p in template if 10 * inside[p] >= 8 * top and kind(p) not in ("p", "h1", "h2", "h3")), key=lambda p: (p.count(">"), inside[p], p), default=None) if top else None
+    steady: set[str] = set()
+    for path in sorted(template, key=len):  # from the outside: what is nested in constant text need not be listed
+        if same(template[path], "all") and steady.isdisjoint(above(path)):
+            steady.add(path)
+    silent = [p for p, t in template.items() if same(t, "own") and steady.isdisjoint(above(p))]
+    return sorted(template), sorted(steady), sorted(silent)
 
 
 def templates(pages: DataFrame, support: float = 0.6) -> DataFrame:
-    """host, container: the main element of each host's template.  pages: host, page_key, html."""
+    """host, slots, steady, silent: each host's template (see ``deduce``).  pages: host, page_key, html."""
+    sums_of, fields = ("pages", "total"), ("least", "most", "own_low", "own_high", "all_low", "all_high")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sums: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0, 0, 0])
+            sums: dict[tuple[str, str], list[int]] = {}
             for host, key, page in zip(b["host"], b["page_key"], b["html"]):
-                sums[(host, "")][0] += 1
-                for path, (n, chars, dropped) in statistics(page or "").items():
-                    s = sums[(host, path)]
+                sums.setdefault((host, ""), [0] * 10)[0] += 1
+                for path, (n, dropped, own, inside) in statistics(page or "").items():
+                    s = sums.setdefault((host, path), [0, 0, 0, 0, n, n, own, own, inside, inside])
                     seed = int.from_bytes(hashlib.blake2b(b"%d:%d" % (key, n), digest_size=6).digest(), "big")
                     s[0] += 1
                     s[1] += n
                     s[2] += seed
-                    s[3] += chars
-                    s[4] |= dropped
+                    s[3] |= dropped
+                    for i, x in ((4, n), (6, own), (8, inside)):
+                        s[i], s[i + 1] = min(s[i], x), max(s[i + 1], x)
             if sums:
-                yield pd.DataFrame([(h, p, *s) for (h, p), s in sums.items()], columns=["host", "path", "pages", "total", "vector", "chars", "dropped"])
+                yield pd.DataFrame([(h, p, *s) for (h, p), s in sums.items()], columns=["host", "path", *sums_of, "vector", "dropped", *fields])
 
-    counted = pages.mapInPandas(run, "host string, path string, pages long, total long, vector long, chars long, dropped int")
-    summed = counted.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("pages", "total")), F.sum(F.col("vector").cast("decimal(38,0)")).cast("string").alias("vector"), F.sum("chars").alias("chars"), F.max("dropped").alias("dropped"))
+    counted = pages.mapInPandas(run, "host string, path string, pages long, total long, vector long, dropped int, " + ", ".join(f"{c} long" for c in fields))
+    ends = [(F.min if c in ("least", "own_low", "all_low") else F.max)(c).alias(c) for c in fields]
+    summed = counted.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in sums_of), F.sum(F.col("vector").cast("decimal(38,0)")).cast("string").alias("vector"), F.max("dropped").alias("dropped"), *ends)
     # rare tokens are in no template: only those that could reach the support are gathered per host, so few
     size = summed.where("path = ''").select("host", F.col("pages").alias("of"))
     near = summed.where("path <> ''").join(size, "host").where(F.col("pages") >= support * F.col("of"))
-    listed = near.groupBy("host").agg(F.max("of").alias("of"), F.collect_list(F.struct("path", "pages", "total", "vector", "chars", "dropped")).alias("tokens"))
+    listed = near.groupBy("host").agg(F.max("of").alias("of"), F.collect_list(F.struct("path", *sums_of, "vector", "dropped", *fields)).alias("tokens"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"host": b["host"], "container": [deduce([dict(t) if isinstance(t, dict) else t.asDict() for t in ts], n, support) for ts, n in zip(b["tokens"], b["of"])]})
+            found = [deduce([dict(t) if isinstance(t, dict) else t.asDict() for t in ts], n, support) or (None, None, None) for ts, n in zip(b["tokens"], b["of"])]
+            yield pd.DataFrame({"host": b["host"]} | {c: [f[i] for f in found] for i, c in enumerate(("slots", "steady", "silent"))})
 
-    return listed.mapInPandas(judge, "host string, container string")
+    return listed.mapInPandas(judge, "host string, slots array<string>, steady array<string>, silent array<string>")
 
 
 def extract(pages: DataFrame, support: float = 0.6) -> DataFrame:
@@ -231,10 +270,11 @@ def extract(pages: DataFrame, support: float = 0.6) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": [main_text(h, c if isinstance(c, str) else None) for h, c in zip(b["html"], b["container"])]})
+            texts = [main_text(h, None if s is None else (set(s), set(c), set(d))) for h, s, c, d in zip(b["html"], b["slots"], b["steady"], b["silent"])]
+            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts})
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "container").mapInPandas(run, f"page_id {kind}, url string, text string")
+    return joined.select("page_id", "url", "html", "slots", "steady", "silent").mapInPandas(run, f"page_id {kind}, url string, text string")
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
