@@ -313,6 +313,15 @@ def test_html_classes_need_equal_counts():
     assert html_extract.deduce([token | dict(least=2, most=2), varied], 4, 0.6) == (["body", "body>div.x"], ["body>div.x"], [])
 
 
+def test_html_deep_pages(spark):
+    deep = "<html><body><div id=wrap><article><p>start {0}</p>" + "<div>" * 400 + "<div class=menu><div>no<p>no</p></div></div><p>deep {0}</p>" + "</div>" * 400 + "<p>end {0}</p></article></div><p>after {0}</p></body></html>"
+    got = extracted(spark, [(i, f"http://deep.example/{i}", deep.format(i)) for i in range(4)] + [(9, None, deep.format(9))])
+    assert got[2] == "start 2\ndeep 2\nend 2\nafter 2"
+    assert got[9] == "start 9\ndeep 9\nend 9"
+    unclosed = "<div id=wrap><article>" + "<section>" * 30000 + "text"
+    assert html_extract.main_text(unclosed, None) == "text"
+
+
 # ---- neighbours ----
 
 

@@ -14,7 +14,7 @@
 
 A page that has no token of its template but html and body, or whose host has no valid class or no text that varies, is
 read by its own article elements, else main, else body; a page without tags is one block.  Elements with the same
-path share a slot.
+path share a slot.  From ``DEPTH`` open elements on, deeper ones count for the path of the last above them.
 
 Python in Arrow batches: tokenising markup is sequential.  Statistics cover all pages; they are
 summed map-side per (host, token), so a host with a third of all pages is a row per task and token.
@@ -55,6 +55,8 @@ DROPPED_NAMES = re.compile(
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|\Z)""", re.IGNORECASE)
 NUMBER = re.compile(r"\d+")
+#: Elements of a path; all open elements are held.
+DEPTH = 200
 #: Pages that must agree before a text counts as constant over a host.
 STEADY = 3
 
@@ -75,15 +77,18 @@ def is_dropped(name: str, attributes: dict[str, str]) -> bool:
 def events(page: str) -> Iterator[tuple[str, Element | None, str]]:
     """('open', element, ''), ('block', element, '') at a block's edge, ('text', innermost element, text)."""
     stack: list[Element] = []
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements, by name
     at, n = 0, len(page)
 
+    def last(names: tuple[str, ...]) -> int:
+        return max((places[k][-1] for k in names if places.get(k)), default=-1)
+
     def close(names: tuple[str, ...], barrier: tuple[str, ...] = ()) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i].name in names:
-                del stack[i:]
-                return
-            if stack[i].name in barrier:
-                return
+        i = last(names)
+        if i >= 0 and i >= last(barrier):
+            for element in stack[i:]:
+                places[element.name].pop()
+            del stack[i:]
 
     while at < n:
         m = TOKEN.search(page, at)
@@ -112,15 +117,16 @@ def events(page: str) -> Iterator[tuple[str, Element | None, str]]:
         found = {a.lower(): (b or c or d or "") for a, b, c, d in ATTRIBUTE.findall(m.group(3))}
         mark = "".join("." + ".".join(NUMBER.sub("#", found[k]).split()) for k in ("id", "class", "role") if found.get(k))
         up = stack[-1] if stack else None
-        element = Element(name, (up.path + ">" if up else "") + name + mark, bool(up and up.dropped) or is_dropped(name, found))
-        yield "open", element, ""
+        deep = len(stack) >= DEPTH  # paths stay short; the element itself is open like any other
+        element = Element(name, up.path if deep else (up.path + ">" if up else "") + name + mark, bool(up and up.dropped) or is_dropped(name, found))
+        if not deep:
+            yield "open", element, ""
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else n
         elif name not in VOID:
+            places[name].append(len(stack))
             stack.append(element)
-            if len(stack) > 200:
-                del stack[100:]
     if at < n:
         tail = page[at:]
         cut = tail.rfind("<")  # a tag that the page's end cuts off
