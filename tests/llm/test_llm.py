@@ -397,3 +397,35 @@ def test_licenses_against_brute_force(spark, rows):
     got = {r.id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in licenses.scan(table(spark, texts)).collect()}
     assert got == want
     assert licenses.scan(table(spark, [])).count() == 0
+
+
+def test_licenses_in_wrapped_and_long_lines(spark):
+    wrap = lambda text, n: "\n".join(" ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
+    rng = np.random.default_rng(5)
+    noise = lambda n: [f"n{i}" for i in rng.integers(0, 50, n)]
+    texts, want = [], {}
+    for k, (label, text) in enumerate(licenses.TEMPLATES):
+        for n, at in ((3, 0), (10, 37), (1000, 500)):  # words a line, words before the notice
+            i = len(texts)
+            texts.append((i, " ".join(noise(at)) + "\n" + wrap(text, n) + "\n" + " ".join(noise(300))))
+            want[i] = label
+    scattered = noise(20000)
+    for k, w in enumerate("Released under the MIT License".split()):
+        scattered[3000 * k + 7] = w
+    texts += [(900, " ".join(scattered)), (901, " ".join(noise(5000)) + " released under the terms of the MIT or any License " + " ".join(noise(5000))), (902, "x\nReleased in 2024 by the Example Foundation under the well known MIT License\ny")]
+    split = re.compile(licenses.SEPARATORS)
+    low = lambda t: [w for w in split.split(t.lower()) if w]
+    scores = {}
+    for i, t in texts:
+        words, scores[i] = low(t), 0.0
+        lines = [k for k in map(low, t.split("\n")) if len(k) <= licenses.SPAN * max(len(low(body)) for _, body in licenses.TEMPLATES)]
+        for _, body in licenses.TEMPLATES:
+            s, span = set(low(body)), licenses.SPAN * len(low(body))
+            if len(s & set(words)) >= math.ceil(0.85 * len(s) - 1e-9):
+                both = max(len(s & set(words[j : j + span])) for j in range(len(words)))
+                both = max([both] + [len(s & set(k)) for k in lines])
+                scores[i] = max(scores[i], both / len(s) if both >= math.ceil(0.85 * len(s) - 1e-9) else 0.0)
+    got = {r.id: r for r in licenses.scan(table(spark, texts)).collect()}
+    assert all(label in got[i].labels.split(",") and got[i].score == 1.0 for i, label in want.items())
+    assert (got[900].labels, got[900].score) == ("", 0.0) and got[901].labels == got[902].labels == "mit"
+    assert {i: r.score for i, r in got.items()} == scores

@@ -1,11 +1,15 @@
 """License scans: an exact set-similarity join of text blocks with license templates.  DataFrame functions only.
 
-A block is a line of a text, a template a set of words.  A block matches when it holds at least
-``threshold`` of the template's words (containment).  The words of all templates are counted over the
-whole corpus and ordered by that frequency, rarest first.  A match must hold one of the first
-|T| - ceil(threshold * |T|) + 1 words of T (prefix filter), be long enough (length filter) and, from the
-place of the first common word, still have enough words left on both sides (positional filter).
-Candidates come from an equi-join on prefix words and are verified by exact intersection.
+A template is a set of words; a text matches when a window of consecutive words, ``SPAN`` times as long as the
+template's sentence, holds at least ``threshold`` of them (containment).  Line breaks are separators like any
+other; besides, a line no longer than the longest window is a block as a whole.  A text is cut into blocks of twice the longest window that overlap by half, so each window of each
+template lies in a block.  The words of all templates are counted over the whole corpus and ordered by that
+frequency, rarest first.  A match must hold one of the first |T| - ceil(threshold * |T|) + 1 words of T (prefix
+filter), be long enough (length filter) and, from the place of the first common word, still have enough words
+left on both sides (positional filter).  Candidates come from an equi-join of blocks on prefix words, are verified
+by exact intersection and then window by window.
+
+``OP10_SQL`` takes lines instead of windows: equal where each notice is on one line and near together.
 
 Base labels are plain phrases: places where a phrase's words stand consecutively.
 
@@ -13,7 +17,7 @@ Scale: one pass over the texts writes counts, the template words found in each d
 where a whole document can reach some template (the length filter on documents), its text.  Word
 frequencies are summed map-side to a row per template word.  The broadcast side is the templates'
 prefixes, a parameter.  Nothing is grouped by a word, so frequent words are no hot keys; a
-very long line is one block in one row.
+block is of bounded length, and blocks hold each word of a text at most three times.
 
 Defined results: a null or empty text has no words and no labels, score 0.  Rows that repeat
 identifier and text give equal rows.  Ties: a label is listed once.  An empty table gives no rows;
@@ -44,6 +48,7 @@ TEMPLATES = (
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
 THRESHOLD = 0.85  # of a template's words
+SPAN = 2  # words of a window by words of the template's sentence
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -63,16 +68,22 @@ def _places(phrase: tuple[str, ...]) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size("words") - 1), here)
 
 
-def _set(text: str) -> tuple[str, ...]:
+def _sequence(text: str) -> list[str]:
     import re
 
-    return tuple(dict.fromkeys(w for w in re.split(SEPARATORS, text.lower()) if w))
+    return [w for w in re.split(SEPARATORS, text.lower()) if w]
 
 
 def _literal(words) -> Column:
     return F.array(*(F.lit(w) for w in words))
 
 
+def _most(words, span: int) -> Column:
+    """The largest number of ``words`` in a window of ``span`` words of ``run``."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size("run") - span + 1, F.lit(1)))
+    return F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(_literal(words), F.slice("run", i, span)))))
+
+
 def prefixes(templates, frequency: dict[str, int], threshold: float) -> list[tuple]:
     """(word, template, label, place, size, need) for the words of each template's prefix."""
     out = []
@@ -86,7 +97,8 @@ def prefixes(templates, frequency: dict[str, int], threshold: float) -> list[tup
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     spark = docs.sparkSession
-    sets = [(label, _set(text)) for label, text in templates]
+    sets = [(label, tuple(dict.fromkeys(_sequence(text)))) for label, text in templates]
+    spans = [SPAN * len(_sequence(text)) for _, text in templates]
     needs = [math.ceil(threshold * len(words) - 1e-9) for _, words in sets]
     universe = sorted({w for _, words in sets for w in words})
 
@@ -114,16 +126,23 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_
     index = spark.createDataFrame(prefixes(sets, frequency, threshold), "word string, template int, label string, place int, size int, need int")
     ranked = [w for w in sorted(universe, key=lambda w: (frequency.get(w, 0), w))]
 
-    blocks = rows.where("text is not null").select("id", "version", F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    held = F.array_intersect(_literal(ranked), words_of(F.col("line")))  # in the global order
-    blocks = blocks.select("id", "version", "block", held.alias("held")).where(F.size("held") >= min(needs))
-    probes = blocks.select("id", "version", "block", "held", F.posexplode("held").alias("seat", "word"))
+    step = max(spans)
+    blocks = rows.where("text is not null").select("id", "version", words_of(F.col("text")).alias("words"), "text")
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("words") / step).cast("int") - 2, F.lit(0)))
+    tiles = F.transform(starts, lambda k: F.struct(F.slice("words", k * step + 1, 2 * step).alias("run"), F.lit(False).alias("whole")))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(words_of(x).alias("run"), F.lit(True).alias("whole")))
+    lines = F.filter(lines, lambda x: F.size(x["run"]) <= step)
+    blocks = blocks.select("id", "version", F.posexplode(F.concat(tiles, lines)).alias("block", "b")).select("id", "version", "block", "b.run", "b.whole")
+    held = F.array_intersect(_literal(ranked), F.col("run"))  # in the global order
+    blocks = blocks.select("id", "version", "block", "run", "whole", held.alias("held")).where(F.size("held") >= min(needs))
+    probes = blocks.select("id", "version", "block", "run", "whole", "held", F.posexplode("held").alias("seat", "word"))
     near = probes.join(F.broadcast(index), "word").where((F.col("size") - F.col("place") >= F.col("need")) & (F.size("held") - F.col("seat") >= F.col("need")))
-    near = near.select("id", "version", "block", "held", "template", "label", "size", "need").dropDuplicates(["id", "version", "block", "template"])
-    sizes = F.lit(0)
-    for t, (_, words) in reversed(list(enumerate(sets))):
+    sizes, most = F.lit(0), F.lit(0)
+    for t, ((_, words), span) in reversed(list(enumerate(zip(sets, spans)))):
         sizes = F.when(F.col("template") == t, F.size(F.array_intersect("held", _literal(words)))).otherwise(sizes)
-    matched = near.withColumn("common", sizes).where("common >= need").groupBy("id", "version").agg(F.collect_set("label").alias("more"), F.max(F.col("common") / F.col("size")).alias("score"))
+        most = F.when(F.col("template") == t, F.when(F.col("whole"), F.size(F.array_intersect("run", _literal(words)))).otherwise(_most(words, span))).otherwise(most)
+    near = near.where(sizes >= F.col("need")).select("id", "version", "block", "run", "whole", "template", "label", "size", "need").dropDuplicates(["id", "version", "block", "template"])
+    matched = near.withColumn("common", most).where("common >= need").groupBy("id", "version").agg(F.collect_set("label").alias("more"), F.max(F.col("common") / F.col("size")).alias("score"))
     matched = matched.withColumnsRenamed({"id": "m_id", "version": "m_version"})
     out = rows.drop("text", "hits").join(matched, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("version") == F.col("m_version")), "left")
     both = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
