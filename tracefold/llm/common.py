@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Where the setting is absent (a single-machine test) a fresh folder is made and set.
+    Where the setting is absent a fresh folder is made and set, but on a local master alone: executors of a
+    cluster would not see it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tracefold-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -29,12 +33,26 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Folders written and not yet removed.
+_paths: list[str] = []
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder, read back.  Survives the loss of any executor."""
+    """Cut the lineage: write to the shared folder, read back.  Survives the loss of any executor.
+
+    The folder stays, as later plans read it, until ``forget`` or ``clean``.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return owned(spark.read.schema(df.schema).parquet(path), path)
+
+
+def owned(df: DataFrame, path: str) -> DataFrame:
+    """Note that ``df`` reads the folder ``path``, which nothing else does."""
+    _paths.append(path)
+    df._written_to = path
+    return df
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -43,11 +61,18 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of whole texts: at most ``rows`` of them, so that a Python worker stays small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
+def forget(*tables: DataFrame) -> None:
+    """Remove the folders of written tables that no plan still to be run reads."""
+    for t in tables:
+        if path := getattr(t, "_written_to", None):
+            remove(t.sparkSession, path)
+            _paths.remove(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all folders that operators have written here; for the caller, once results are stored elsewhere."""
+    while _paths:
+        remove(spark, _paths.pop())
 
 
 def split_join(left: DataFrame, right: DataFrame, on: list[str], sizes: DataFrame, total: int, how: str = "inner", spread: str = "id", pieces: int = 1000) -> DataFrame:
@@ -66,19 +91,6 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], sizes: DataFram
     return dealt.join(repeated, [*on, "_part"], how).drop("_part")
 
 
-def hub_join(left: DataFrame, right: DataFrame, on: list[str], rows_of_key: str, total: int, pieces: int = 1000) -> DataFrame:
-    """Inner join that no key can make uneven, for a ``right`` of short rows, one per key.
-
-    Its column ``rows_of_key`` says how many rows ``left`` has of the key; the sum is at most 2 * ``total``.  Fewer than
-    2 * ``pieces`` keys have over ``total`` / ``pieces`` rows at any size of the input: these are broadcast, so that their
-    rows on the left stay where they are; the other keys are joined by a shuffle.
-    """
-    most = max(1, total // pieces)
-    hot = right.where(F.col(rows_of_key) > most)
-    cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(F.col(rows_of_key) <= most), on)
-    return left.join(F.broadcast(hot), on).unionByName(cold)
-
-
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -4,7 +4,8 @@
    element a random rank and a partial permutation, level by level, stopping once no slot of the
    document can still fall.  It writes the set's size and fingerprint, band keys and an 8-bit
    sketch of the signature.
-2. Equal sets (same size and 128-bit fingerprint) fold into one representative, their smallest id.
+2. Equal sets (same size and 128-bit fingerprint) fold into one representative, their smallest identifier.
+   Different sets share size and fingerprint with a probability below 2**-90 for 10**9 documents.
 3. Representatives that share a band key form a bucket; buckets with the same members are one.
    Inside a bucket sketches are compared in blocks, and those that agree in more than ``similarity``
    less 0.2 are united; a bucket gives at most one edge per member, never its pairs.
@@ -18,17 +19,21 @@ Misses: with r rows in each of b bands a pair of similarity s shares no band wit
 of 0.2 is over six standard errors.
 
 Scale: nothing is collected; components are found by alternating large-star and small-star steps
-over written edge tables.  A text that a third of all rows share is one representative after a
-map-side combine.  Nodes, components and sets that hold over a thousandth of the rows are joined by a
-bounded broadcast (``hub_join``), so none gathers in one task.  Hot buckets and components are cut into blocks, each block pair a group of its
+over written edge tables, two exchanges and one broadcast of at most 1000 keys a round.  A text that a third of
+all rows share is one representative after a map-side combine.  Nodes with over a thousandth of the edges are
+dealt over parts; band keys, components and sets that many rows share are joined to one short row each, by a
+broadcast where Spark measures that row's side as small, else by a join whose large partitions the adaptive
+skew join splits.  Hot buckets and components are cut into blocks, each block pair a group of its
 own, so no task holds an unbounded group.  Only texts of candidate components are shuffled, found by
-a bit map of bounded size.  Within one dense component the work is its number of block pairs.
+a bit map of bounded size.  Within one dense component the work is its number of block pairs, and its texts
+are shuffled once for each other block.
 
 Defined results: a null or empty text, or one without words, has an empty set, links with nothing
-and is its own component.  A text with fewer words than a shingle is one shingle.  Rows that repeat
-an identifier are one node.  A row whose identifier is null takes its class's component, or null if
-no row of the class has one.  An empty table gives no rows; extra columns are ignored by ``near_duplicates`` and
-kept by ``deduplicate``.
+and is its own component.  A text with fewer words than a shingle is one shingle.  A row whose identifier is
+null is known by its text; it is linked like any other, its component is null where no row of it has an identifier,
+and rows of equal text and null identifier share the decision.  Identifiers are below 2**62.  Rows that repeat an
+identifier are judged each by its own text; sets with the same representative identifier are one node.  An empty
+table gives no rows; extra columns are ignored by ``near_duplicates`` and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -37,10 +42,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh_path, hub_join, materialise, remove, shuffle_partitions, table
+from .common import forget, fresh_path, materialise, owned, remove, shuffle_partitions, table
 from .exact_dedup import bit_filter, may_hold
 
 M = 128  # signature length
@@ -52,6 +57,8 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 CHUNK = 1 << 20  # bytes of text that are hashed at once
 BLOCK = 2048  # members of a block
 ELEMENTS = 1_000_000  # set elements of a block
+NAMELESS = 1 << 62  # nodes from here on stand for rows without an identifier
+HUB = 256  # edges below which no node is a hub
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -151,7 +158,7 @@ def pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 
 def sketch(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
-    """docs: id, text.  id, n (set size), f1, f2 (fingerprint), bands (keys), sketch (M bytes)."""
+    """docs: node, h, text.  node, h, n (set size), f1, f2 (fingerprint), bands (keys), sketch (M bytes)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -168,9 +175,9 @@ def sketch(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
                 total = [np.concatenate((np.zeros(1, U), np.cumsum(mix(h ^ U(s))))) for s in (0x1234567, 0x89ABCDEF)]
                 f1, f2 = ((t[bounds[1:]] - t[bounds[:-1]]).view(np.int64) for t in total)
                 short = (bits >> U(56)).astype(np.uint8)
-                yield pd.DataFrame({"id": batch["id"].iloc[a:b].to_numpy(), "n": n, "f1": f1, "f2": f2, "bands": [x if y else x[:0] for x, y in zip(keys, n)], "sketch": [x.tobytes() for x in short]})
+                yield pd.DataFrame({"node": batch["node"].iloc[a:b].to_numpy(), "h": batch["h"].iloc[a:b].to_numpy(), "n": n, "f1": f1, "f2": f2, "bands": [x if y else x[:0] for x, y in zip(keys, n)], "sketch": [x.tobytes() for x in short]})
 
-    return docs.mapInPandas(run, "id long, n long, f1 long, f2 long, bands array<long>, sketch binary")
+    return docs.mapInPandas(run, "node long, h long, n long, f1 long, f2 long, bands array<long>, sketch binary")
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int = 4096) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
@@ -229,7 +236,9 @@ def unite_matrix(union: Union, linked: np.ndarray, at: int) -> None:
 
 
 def star(ids: np.ndarray, union: Union) -> list[tuple[int, int]]:
-    """An edge from each member to its root, the smallest id of those united (ids ascend)."""
+    """An edge from each member to its root, the smallest id of those united (ids ascend; equal ones are one node)."""
+    for i in np.flatnonzero(ids[1:] == ids[:-1]):
+        union.unite(i, i + 1)
     roots = union.roots()
     i = np.flatnonzero(roots != np.arange(len(ids)))
     return list(zip(ids[roots[i]].tolist(), ids[i].tolist()))
@@ -293,7 +302,7 @@ def confirm(k: int, percent: int):
         for f, b in whole_groups(batches, ["component", "a", "b"], 512):
             edges = []
             for i, j in zip(b[:-1], b[1:]):
-                g = f.iloc[i:j].drop_duplicates("id").sort_values("id")
+                g = f.iloc[i:j].sort_values(["id", "h"])
                 if len(g) > 1:
                     h, bounds = shingle_sets([(t or "").encode("utf-8", "surrogatepass") for t in g["text"]], k)
                     edges += star(g["id"].to_numpy(), exact_links(h, bounds, percent))
@@ -303,33 +312,40 @@ def confirm(k: int, percent: int):
     return run
 
 
+def star_round(e: DataFrame, n: int) -> DataFrame:
+    """One large-star and one small-star step over ``n`` edges: lo, hi, moved (whether the edge was not yet to a root)."""
+    most = max(HUB, n // 1000)
+    hubs = e.groupBy(F.col("lo").alias("key")).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts")).where("parts > 1")  # fewer than 1000
+    ends = e.select(F.inline(F.array(F.struct(F.col("lo").alias("key"), F.col("hi").alias("other")), F.struct(F.col("hi").alias("key"), F.col("lo").alias("other")))))
+    # a hub's larger neighbours are dealt over its parts, its smaller ones go to each part
+    own = F.array(F.pmod(F.xxhash64("other"), F.col("parts")).cast("int"))
+    part = F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(F.col("other") > F.col("key"), own).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = ends.join(F.broadcast(hubs), "key", "left").withColumn("part", F.explode(part))
+    least = F.least("key", F.min("other").over(Window.partitionBy("key", "part")))
+    large = dealt.withColumn("lo", least).where("other > key").select("lo", F.col("other").alias("hi"), (F.col("lo") < F.col("key")).alias("moved"))
+    order = Window.partitionBy("hi").orderBy("lo", F.desc("moved"))
+    ranked = large.select("hi", "lo", "moved", F.first("lo").over(order).alias("m"), F.lag("lo").over(order).alias("before")).where("before is null or before <> lo")
+    return ranked.select(F.col("m").alias("lo"), F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), (F.col("moved") | (F.col("lo") > F.col("m"))).alias("moved"))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """edges: lo < hi.  Returns (node, root) for each node that is not its component's smallest."""
-    spark = edges.sparkSession
-    schema, last, old = "lo long, hi long", None, None
-    path = fresh_path(spark, "edges")
-    edges.select("lo", "hi").distinct().write.parquet(path)
+    """edges: lo, hi.  Returns (node, root) for each node that is not its component's smallest; a written table."""
+    spark, old, moved = edges.sparkSession, None, True
+    step = edges.where("lo < hi").select("lo", "hi", F.lit(True).alias("moved"))
     while True:
-        e = spark.read.schema(schema).parquet(path)
-        state = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("lo", "hi"))).first()
-        if state == last or state[0] == 0:
-            if old:
-                remove(spark, old)
-            return e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-        both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(e.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("degree"))
-        large = hub_join(both.where("v > u"), least, ["u"], "degree", state[0]).select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
-        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = large.join(down, "hi")
-        small = joined.select(F.col("m").alias("lo"), "hi").unionByName(joined.where("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))).distinct()
+        path, seen = fresh_path(spark, "edges"), Observation()
+        step = step.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if("moved").alias("moved"))
+        step.select(F.col("lo").alias("root"), F.col("hi").alias("node")).write.parquet(path)
+        n, moved = seen.get.get("n") or 0, seen.get.get("moved") or 0
         if old:
             remove(spark, old)
-        last, old = state, path
-        path = fresh_path(spark, "edges")
-        small.write.parquet(path)
+        found = spark.read.schema("root long, node long").parquet(path)
+        if not moved:
+            return owned(found.select("node", "root"), path)
+        old, step = path, star_round(found.select(F.col("root").alias("lo"), F.col("node").alias("hi")), n)
 
 
-def in_blocks(members: DataFrame, key: str, blocks) -> DataFrame:
+def in_blocks(members: DataFrame, blocks: Column) -> DataFrame:
     """Deal members of a group to blocks; each goes to the pairs that hold its block, (0, 0) if there is one block."""
     dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
     return (
@@ -340,53 +356,70 @@ def in_blocks(members: DataFrame, key: str, blocks) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 22) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, kept."""
+def _keys(id_col: str, text_col: str) -> list[Column]:
+    """node (the identifier, or a number of the text) and h (64-bit hash of the text)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    h = F.xxhash64(text, F.octet_length(text))
+    node = F.coalesce(F.col(id_col).cast("long"), h.bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS)))
+    return [node.alias("node"), h.alias("h")]
+
+
+def decisions(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str, filter_bits: int) -> DataFrame:
+    """One row per row of ``docs``: node, h (see ``_keys``), n, root (null: linked with nothing)."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     rows, bands = bands_for(similarity)
     percent = round(100 * similarity)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(*_keys(id_col, text_col), F.col(text_col).alias("text"))
     base = materialise(sketch(texts, words, rows, bands), "sketches")
-    classes = materialise(base.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    reps = materialise(base.where("n > 0").join(classes.select(F.col("rep").alias("id")).where("id is not null").distinct(), "id", "left_semi").dropDuplicates(["id", "n", "f1", "f2"]), "representatives")
+    of_rep = F.min_by(F.struct("h", "bands", "sketch"), "node").alias("own")
+    classes = materialise(base.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("node").alias("rep"), of_rep).select("n", "f1", "f2", "rep", "own.*"), "classes")
 
-    keyed = materialise(reps.select("id", F.explode("bands").alias("key")), "bands")
+    keyed = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("lo"), F.bit_xor(F.xxhash64("id")).alias("members")).where("size > 1")
     chosen = buckets.groupBy("size", "lo", "members").agg(F.min("key").alias("key")).select("key", "size")
-    members = in_blocks(keyed.join(chosen, "key"), "key", F.ceil(F.col("size") / BLOCK)).select("key", "a", "b", "id")
+    members = in_blocks(keyed.join(chosen, "key"), F.ceil(F.col("size") / BLOCK)).select("key", "a", "b", "id")
     parts = shuffle_partitions(spark)
-    sketched = members.join(reps.select("id", "sketch"), "id").repartition(parts, "key", "a", "b").sortWithinPartitions("key", "a", "b")
+    sketched = members.join(classes.select(F.col("rep").alias("id"), "sketch"), "id").repartition(parts, "key", "a", "b").sortWithinPartitions("key", "a", "b")
     candidates = components(sketched.mapInPandas(similar_sketches(similarity - 0.2), "lo long, hi long"))
 
     nodes = candidates.select(F.col("root").alias("component"), F.col("node").alias("id")).unionByName(candidates.select(F.col("root").alias("component"), F.col("root").alias("id")).distinct())
-    sized = nodes.join(reps.groupBy("id").agg(F.max("n").alias("n")), "id")
-    weight = sized.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / ELEMENTS)).alias("blocks"), F.count(F.lit(1)).alias("members"))
-    weighed = hub_join(sized.select("component", "id"), weight, ["component"], "members", candidates.count())
-    placed = materialise(in_blocks(weighed, "component", F.col("blocks")).select("component", "a", "b", "id"), "candidates")
-    found = may_hold(texts.withColumn("digest", F.col("id")), bit_filter(placed.select(F.col("id").alias("digest")), filter_bits), filter_bits).where("maybe").select("id", "text")
-    checked = placed.join(found, "id").repartition(parts, "component", "a", "b").sortWithinPartitions("component", "a", "b")
-    links = components(checked.select("component", "a", "b", "id", "text").mapInPandas(confirm(words, percent), "lo long, hi long"))
-
-    grouped = classes.join(links, F.col("rep") == F.col("node"), "left").select("n", "f1", "f2", "copies", F.coalesce("root", "rep").alias("class_component"))
-    # a class is known by (n, f1, f2); identifiers that repeat with other texts are one node through their links
-    sets = base.where("n > 0").select("id", "n", "f1", "f2")
-    out = hub_join(sets, grouped, ["n", "f1", "f2"], "copies", sets.count()).select("id", "n", "class_component")
-    out = out.unionByName(base.where("n = 0").select("id", "n", F.lit(None).cast("long").alias("class_component")))
-    component = F.coalesce("class_component", "id")
-    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    sized = materialise(nodes.join(classes.select(F.col("rep").alias("id"), "h", "n"), "id"), "candidates")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / ELEMENTS))
+    large = materialise(sized.groupBy("component").agg(blocks.alias("blocks")).where("blocks > 1"), "large-components")
+    placed = in_blocks(sized.join(large, "component", "left"), F.coalesce("blocks", F.lit(1))).select("component", "a", "b", "id", "h")
+    held = may_hold(texts.withColumn("digest", F.col("node")), bit_filter(sized.select(F.col("id").alias("digest")), filter_bits), filter_bits).where("maybe")
+    once = held.groupBy(F.col("node").alias("id"), "h").agg(F.first("text").alias("text"))  # rows that repeat identifier and text
+    checked = placed.join(once, ["id", "h"]).repartition(parts, "component", "a", "b").sortWithinPartitions("component", "a", "b")
+    links = components(checked.select("component", "a", "b", "id", "h", "text").mapInPandas(confirm(words, percent), "lo long, hi long"))
+    forget(candidates, sized, large)
+
+    grouped = classes.join(links, F.col("rep") == F.col("node"), "left").select("n", "f1", "f2", F.coalesce("root", "rep").alias("root"))
+    linked = base.where("n > 0").select("node", "h", "n", "f1", "f2").join(grouped, ["n", "f1", "f2"]).select("node", "h", "n", "root")
+    return linked.unionByName(base.where("n = 0").select("node", "h", "n", F.lit(None).cast("long").alias("root")))
+
+
+def _kept() -> Column:
+    return F.coalesce(F.col("node") == F.col("root"), F.lit(True))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 22) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id, kept."""
+    named = lambda c: F.when(c < NAMELESS, c)
+    found = decisions(docs, words, similarity, id_col, text_col, filter_bits)
+    return found.select(named(F.col("node")).alias("id"), F.col("n").alias("n_shingles"), named(F.coalesce("root", "node")).alias("component_id"), _kept().alias("kept"))
 
 
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 22) -> DataFrame:
     """The rows of ``docs`` that stay, one of each component, with all their columns."""
-    found = materialise(near_duplicates(docs, words, similarity, id_col, text_col, filter_bits), "decisions")
-    gone = found.where("not kept").select(F.col("id").alias("digest")).distinct()
-    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("digest"))
+    found = decisions(docs, words, similarity, id_col, text_col, filter_bits)
+    gone = materialise(found.where(~_kept()).select("node", "h").distinct().withColumn("digest", F.xxhash64("node", "h")), "gone")
+    packed = docs.select(F.struct("*").alias("row"), *_keys(id_col, text_col)).withColumn("digest", F.xxhash64("node", "h"))
     probed = may_hold(packed, bit_filter(gone, filter_bits), filter_bits)
-    left = probed.where("maybe").join(gone, "digest", "left_anti")
+    left = probed.where("maybe").join(gone.select("node", "h"), ["node", "h"], "left_anti")
     return probed.where("not maybe").select("row.*").unionByName(left.select("row.*"))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole table ``documents``, three words and 0.85: doc_id, n_shingles, component_id, kept (see the module's text)."""
     found = near_duplicates(table(spark, sf_dir, "documents"), words=3, similarity=0.85)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
