@@ -108,6 +108,43 @@ def test_near_duplicates_in_blocks(spark, rows, monkeypatch):
     assert {r.id: r.component_id for r in got} == {i: c for i, (_, c) in want.items()}
 
 
+@pytest.mark.parametrize("hub", [2, 256])
+def test_components_of_random_graphs(spark, monkeypatch, hub):
+    monkeypatch.setattr(near_dedup, "HUB", hub)
+    rng = np.random.default_rng(8)
+    edges = [(int(a), int(b)) for a, b in zip(rng.integers(0, 300, 180), rng.integers(0, 300, 180))]  # loops and repeated edges too
+    edges += [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2000 + i) for i in range(1, 60)] + [(2001, 1999)] + edges[:9]
+    up = {x: x for e in edges for x in e}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    got = near_dedup.components(spark.createDataFrame([(min(e), max(e)) for e in edges], "lo long, hi long"))
+    assert sorted(map(tuple, got.collect())) == sorted((x, find(x)) for x in up if find(x) != x)
+    assert near_dedup.components(spark.createDataFrame([(5, 5)], "lo long, hi long")).count() == 0
+
+
+def test_near_duplicates_without_or_with_repeated_identifiers(spark):
+    a, b = prose(1, 80), prose(2, 80)
+    rows = [(None, a), (7, a + " end"), (None, a + " last"), (None, b), (None, b), (None, b + " x"), (None, None), (9, prose(5)), (9, prose(6)), (9, prose(6) + " y"), (9, None), (3, prose(6) + " z")]
+    got = sorted((r.id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in near_dedup.near_duplicates(table(spark, rows)).collect())
+    n = lambda t: len(shingles(t, 5))
+    # linked with 7: two rows without identifier; rows of b are linked among themselves or not; the sets whose smallest identifier is 9 are one node, linked with 3
+    assert [g for g in got if g[0] == 7] == [(7, n(a + " end"), 7, True)]
+    assert sorted(g for g in got if g[0] == 0 and g[2] == 7) == sorted([(0, n(a), 7, False), (0, n(a + " last"), 7, False)])
+    of_b = [g for g in got if g[0] == 0 and g[2] == 0 and g[1] > 0]
+    assert len(of_b) == 3 and sum(g[3] for g in of_b) in (1, 2) and (0, 0, 0, True) in got
+    assert sorted(g for g in got if g[0] in (3, 9)) == sorted([(3, n(prose(6) + " z"), 3, True), (9, n(prose(5)), 3, False), (9, n(prose(6)), 3, False), (9, n(prose(6) + " y"), 3, False), (9, 0, 9, True)])
+    left = [(r.doc_id, r.text) for r in near_dedup.deduplicate(table(spark, rows)).collect()]
+    assert (9, None) in left and (9, prose(6)) not in left and (None, a) not in left and (3, prose(6) + " z") in left
+    assert sum((t or "").startswith(b) for _, t in left) in (1, 2)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(table(spark, [])).count() == 0
     assert near_dedup.deduplicate(table(spark, [(1, None)])).count() == 1
@@ -276,6 +313,24 @@ def test_bpe_equals_library_and_round_trips(spark, rows):
     assert digests[303].decoded_sha256 == hashlib.sha256(b"one two").hexdigest() and digests[301].n_tokens == 0
 
 
+def test_bpe_of_a_word_over_16_mib():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = bpe.default_vocabulary()
+    own, text = bpe.Bpe(open(path, encoding="utf-8").read()), "\x01" * (1 << 24) + "...--..."
+    want = np.array(tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert own.encode(text) == want and own.decode(want) == text
+
+
+def test_bpe_forgets_the_older_words_only(monkeypatch):
+    own = bpe.Bpe(open(bpe.default_vocabulary(), encoding="utf-8").read())
+    texts = [prose(i) for i in range(20)]
+    want = [own.encode(t) for t in texts]
+    monkeypatch.setattr(bpe, "CACHE", 8)
+    own.words.clear()
+    assert [own.encode(t) for t in texts] == want == [own.encode(t) for t in texts]
+    assert len(own.words) <= 8 and len(own.words.old) <= 8
+
+
 # ---- html ----
 
 

@@ -1,13 +1,13 @@
 """Byte-pair encoding and decoding with a public vocabulary (byte-level BPE in a tokenizers JSON file).
 
-A text is cut at the special tokens and then into pre-tokens; each distinct pre-token is encoded
-once per task: its bytes form a doubly linked list of symbols, a priority queue holds the ranks of
-adjacent pairs, the lowest rank (leftmost among equals) is merged, and entries whose symbols have
-changed meanwhile are skipped as stale.  Decoding concatenates vocabulary strings and maps them back
-to bytes; bytes that are not UTF-8 give U+FFFD.
-
-Python in Arrow batches: the merge loop is sequential per word.  No shuffle.  A task holds a batch,
-the vocabulary (its size is fixed) and caches of at most ``CACHE`` words, emptied when it ends.
+A text is cut at the special tokens and then into pre-tokens.  The bytes of a pre-token form a doubly
+linked list of symbols, a priority queue holds the ranks of adjacent pairs, the lowest rank (leftmost
+among equals) is merged, and entries whose symbols have changed meanwhile are skipped as stale.
+Decoding concatenates vocabulary strings and maps them back to bytes; bytes that are not UTF-8 give U+FFFD.
+
+Python in Arrow batches: the merge loop is sequential per word.  No shuffle.  A Python worker holds a batch,
+the vocabulary (its size is fixed) and the ids of at most 2 * ``CACHE`` short pre-tokens, which it keeps from
+task to task: those of the older half go when the younger half is full.  What a cache holds never changes a result.
 The vocabulary's path is a parameter; it is read on the driver and travels inside the task closure.
 
 Defined results: a null text counts as empty and has no tokens; its digests are those of no bytes.
@@ -18,11 +18,10 @@ Every row gives one row, repeated ones too; an empty table gives none.  Extra co
 from __future__ import annotations
 
 import array
+import functools
 import hashlib
 import heapq
 import json
-import re
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +30,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import table
 
-CACHE = 150_000
+CACHE = 400_000  # some 70 MB
 #: Fixed value: the published pre-token pattern of this vocabulary family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -54,16 +53,19 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Pieces(dict):
-    """Ids of a stretch of text as little-endian bytes; at most CACHE stretches are kept."""
+class _Recent(dict):
+    """Ids of pre-tokens as little-endian bytes: those used since the last turn, and those of the turn before."""
 
     def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.make(piece)
-        if len(piece) < 48 and len(self) < CACHE:  # frequent stretches come early
-            self[piece] = ids
+        self.make, self.old = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word) or self.make(word)
+        if len(word) < 48:
+            if len(self) >= CACHE:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
         return ids
 
 
@@ -72,14 +74,17 @@ class Bpe:
         model = json.loads(spec)
         self.ids: dict[str, int] = model["model"]["vocab"]
         pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["model"]["merges"])
-        self.ranks: dict[int, int] = {}  # (left id, right id) in one number: rank
+        top = max(self.ids.values()) + 1
+        self.after: list[dict[int, int]] = [{} for _ in range(top)]  # by left id: right id, rank of the pair
         self.merged: list[int] = []  # by rank
         for rank, (a, b) in enumerate(pairs):
-            self.ranks[self.ids[a] << 24 | self.ids[b]] = rank
+            self.after[self.ids[a]][self.ids[b]] = rank
             self.merged.append(self.ids[a + b])
+        self.packed = [i.to_bytes(4, "little") for i in range(top)]
         self.special = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
         letters = byte_letters()
         self.single = [self.ids[c] for c in letters]
+        self.first = [[self.after[a].get(b) for b in self.single] for a in self.single]  # ranks of pairs of bytes
         self.cut = regex.compile(PATTERN)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         byte_of = {c: b for b, c in enumerate(letters)}
@@ -88,33 +93,33 @@ class Bpe:
             self.strings[i] = s.encode() if s in self.special else bytes(byte_of[c] for c in s)
         for s, i in self.special.items():
             self.strings[i] = s.encode()
-        self.words = _Pieces(self.word)
-        # A pre-token never runs from a non-space into white space, so what a blank separates is independent.
-        self.blanks = _Pieces(lambda piece: self.stretch(" " + piece))
-        self.odd = re.compile(r" (?:\s|(?<=\s ))|^\s|\s$")
+        self.words = _Recent(self.word)
 
     def word(self, word: str) -> bytes:
-        single, ranks, merged = self.single, self.ranks, self.merged
-        symbols = [single[b] for b in word.encode()]
+        after, merged, first, packed = self.after, self.merged, self.first, self.packed
+        raw = word.encode()
+        symbols = [self.single[b] for b in raw]
         n = len(symbols)
-        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [r << 24 | i for i in range(n - 1) if (r := ranks.get(symbols[i] << 24 | symbols[i + 1])) is not None]
+        # an entry is a rank and a place: 40 bits hold any place
+        queue = [r << 40 | i for i, (a, b) in enumerate(zip(raw, raw[1:])) if (r := first[a][b]) is not None]
         heapq.heapify(queue)
+        many = list if n < 1 << 16 else functools.partial(array.array, "q")
+        right, left = many(range(1, n + 1)), many(range(-1, n - 1))
         while queue:
             top = heapq.heappop(queue)
-            i, rank = top & 0xFFFFFF, top >> 24
+            i, rank = top & 0xFFFFFFFFFF, top >> 40
             j, a = right[i], symbols[i]
-            if a < 0 or j >= n or ranks.get(a << 24 | symbols[j]) != rank:
+            if a < 0 or j >= n or after[a].get(symbols[j]) != rank:
                 continue  # stale: one of the two has been merged away
             symbols[i], symbols[j] = new, _ = merged[rank], -1
             right[i] = k = right[j]
             if k < n:
                 left[k] = i
-                if (r := ranks.get(new << 24 | symbols[k])) is not None:
-                    heapq.heappush(queue, r << 24 | i)
-            if (h := left[i]) >= 0 and (r := ranks.get(symbols[h] << 24 | new)) is not None:
-                heapq.heappush(queue, r << 24 | h)
-        return little_endian(array.array("I", [s for s in symbols if s >= 0]))
+                if (r := after[new].get(symbols[k])) is not None:
+                    heapq.heappush(queue, r << 40 | i)
+            if (h := left[i]) >= 0 and (r := after[symbols[h]].get(new)) is not None:
+                heapq.heappush(queue, r << 40 | h)
+        return b"".join([packed[s] for s in symbols if s >= 0])
 
     def stretch(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, self.cut.findall(text)))
@@ -125,28 +130,14 @@ class Bpe:
         for part in self.split.split(text) if self.split and any(s in text for s in self.special) else [text]:
             if part in self.special:
                 out.append(self.special[part].to_bytes(4, "little"))
-            elif self.odd.search(part):
-                out.append(self.stretch(part))
             else:
-                first, *rest = part.split(" ")
-                out.append(self.stretch(first))
-                out.extend(map(self.blanks.__getitem__, rest))
+                out.append(self.stretch(part))
         return b"".join(out)
 
-    def forget(self) -> None:
-        self.words.clear()
-        self.blanks.clear()
-
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.strings.__getitem__, numbers(ids))).decode("utf-8", "replace")
 
 
-def little_endian(ids: array.array) -> bytes:
-    if sys.byteorder == "little" and ids.itemsize == 4:
-        return ids.tobytes()
-    return b"".join(int(i).to_bytes(4, "little") for i in ids)
-
-
 def numbers(ids: bytes) -> list[int]:
     return np.frombuffer(ids, "<u4").tolist()
 
@@ -174,10 +165,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
                 part = batch.iloc[at : at + 500]
                 ids = [coder.encode(t or "") for t in part["text"]]
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "ids": [numbers(x) for x in ids], "decoded": [coder.decode(x) for x in ids]})
-        coder.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, ids array<int>, decoded string")
 
 
@@ -195,10 +184,8 @@ def digests(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_i
                 a.append(hashlib.sha256(ids).hexdigest())
                 b.append(hashlib.sha256(coder.decode(ids).encode()).hexdigest())
             yield pd.DataFrame({"id": batch["id"], "n_tokens": n, "ids_sha256": a, "decoded_sha256": b})
-        coder.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
