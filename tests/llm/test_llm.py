@@ -60,12 +60,47 @@ def test_deduplicate_keeps_columns_and_one_of_each(spark, rows):
 
 
 def test_index_merges_runs(spark):
-    index = exact_dedup.MergeIndex(spark, keep="smallest", fan_in=2)
+    index = exact_dedup.MergeIndex(spark, keep="smallest", fan_in=5)
     for part in ([(5, "a"), (6, "b")], [(2, "a")], [(9, "a"), (1, "c")]):
-        index.flush(spark.createDataFrame(part, "id long, digest string"))
+        index.flush(spark.createDataFrame(part, "id long, digest string"), memtables=2)
+    assert index.runs == [6]  # the third flush made six runs
     assert sorted((r.digest, r.keep_id, r.n) for r in index.entries().collect()) == [("a", 2, 3), ("b", 6, 1), ("c", 1, 1)]
 
 
+def test_index_of_two_batches(spark):
+    import glob
+
+    rng = np.random.default_rng(11)
+    first = [(i, f"{rng.integers(400):064x}") for i in range(600)]
+    second = [(1000 + i, f"{rng.integers(300, 900):064x}") for i in range(600)] + [(None, f"{5:064x}")]
+    index = exact_dedup.MergeIndex(spark, keep="smallest", fan_in=99, filter_bits=1 << 15)
+    for k, batch in enumerate((first, second)):
+        index.flush(spark.createDataFrame(batch, "id long, digest string"), memtables=3)
+        assert index.runs == list(range(3 * (k + 1)))
+    # each run is sorted, and its filter holds its digests and few others
+    filters = index.filters()
+    new = spark.createDataFrame([(f"{i:064x}",) for i in range(10_000, 12_000)], "digest string")
+    for run in index.runs:
+        (folder,) = glob.glob(f"{index.path.removeprefix('file://')}/*/run={run}")
+        for f in glob.glob(f"{folder}/*.parquet"):
+            digests = [r.digest for r in spark.read.parquet("file://" + f).collect()]
+            assert digests == sorted(digests) and len(set(digests)) == len(digests)
+        own, bits = index._read(index.stored).where(f"run = {run}"), filters.where(f"run = {run}").drop("run")
+        assert exact_dedup.may_hold(own, bits, 1 << 15).where("not maybe").count() == 0
+        assert exact_dedup.may_hold(new, bits, 1 << 15).where("maybe").count() < 100
+    ids, n = defaultdict(list), Counter()
+    for i, d in first + second:
+        n[d] += 1
+        ids[d] += [] if i is None else [i]
+    want = sorted((d, min(ids[d], default=None), c) for d, c in n.items())
+    asked = spark.createDataFrame([(f"{i:064x}",) for i in (5, 350, 350, 5000)], "digest string")
+    for _ in range(2):
+        assert sorted(map(tuple, index.entries().select("digest", "keep_id", "n").collect())) == want
+        assert sorted(map(tuple, index.lookup(asked).select("digest", "keep_id", "n").collect())) == [w for w in want if w[0] in (f"{5:064x}", f"{350:064x}")]
+        index.compact()
+    assert index.runs == [6]
+
+
 # ---- near dedup ----
 
 
