@@ -396,11 +396,32 @@ def test_html_keeps_all_slots_that_vary(spark):
     assert got[201] == got[202] == "Head 1\nLead 1\nx\nFollow us"
 
 
-def test_html_classes_need_equal_counts():
-    token = dict(path="body>div.x", pages=4, total=8, vector="1", dropped=0, own_low=5, own_high=5, all_low=5, all_high=5)
-    varied = dict(path="body", pages=4, total=4, vector="2", dropped=0, least=1, most=1, own_low=0, own_high=0, all_low=1, all_high=2)
-    assert html_extract.deduce([token | dict(least=1, most=3), varied], 4, 0.6) == (["body"], [], [])  # 8 in 4 pages, but not 2 in each
-    assert html_extract.deduce([token | dict(least=2, most=2), varied], 4, 0.6) == (["body", "body>div.x"], ["body>div.x"], [])
+def test_html_classes_need_equal_counts_and_a_tag():
+    token = lambda t, n=4, total=4, vector="1", least=1, most=1: dict(token=t, pages=n, total=total, vector=vector, least=least, most=most)
+    body, box = token("body"), token("body>div.x", total=8, vector="2", least=2, most=2)
+    inside, beside = token("body>div.x\nab", total=8, vector="2", least=2, most=2), token("body>p\ncd", 3, 3, "3")
+    assert html_extract.deduce([body, box, inside, beside], 4, 0.6) == (["body", "body>div.x"], ["body>div.x\nab"])
+    assert html_extract.deduce([body, box | dict(least=1, most=3)], 4, 0.6) == (["body"], [])  # 8 in 4 pages, but not 2 in each
+    assert html_extract.deduce([body, token("body>p\nef")], 4, 0.6) == (["body"], ["body>p\nef"])  # nested in body's span
+    assert html_extract.deduce([beside], 4, 0.6) is None
+
+
+def test_html_template_decides(spark, monkeypatch):
+    page = (
+        "<html><body><div class=q1><div class=q2>Start <a href=/>Here</a></div><div class=q2>Shop</div></div><div class=w><header><h1>Title {0}</h1></header><p>First {0} of it.</p>"
+        "<p>Our shop moves in May.</p><p class=alert>Alert {0}</p><p class=search>Search {0}</p></div><div class=z>All rights <b>kept</b></div></body></html>"
+    )
+    pages = [(i, f"http://a.example/{i}", page.format(f"{i} " + "more words " * 9)) for i in range(6)] + [(9, "http://b.example/", page.format(9))]
+    pages += [(i, f"http://copies.example/{i}", "<body><article><h1>Same head</h1><p>Same text of all</p></article><div>x{0}</div></body>".format(i)) for i in range(20, 24)]
+    more = " ".join(["more words"] * 9)
+    article = page.replace("div class=w", "article class=w").replace("</div><div class=z>", "</article><div class=z>")
+    pages += [(i, f"http://c.example/{i}", article.format(f"{i} " + "more words " * 9)) for i in range(30, 36)]
+    got = extracted(spark, pages)
+    assert got[3] == f"First 3 {more} of it."  # outside an article names decide for paragraphs too
+    assert got[33] == f"Title 33 {more}\nFirst 33 {more} of it.\nAlert 33 {more}\nSearch 33 {more}"
+    assert got[21] == "Same head\nSame text of all"
+    off = {i: html_extract.main_text(h, None) for i, _, h in pages}
+    assert off[3] != got[3] and "Shop" in off[3] and "Our shop moves in May." in off[33] and off[9] == got[9]
 
 
 def test_html_deep_pages(spark):

@@ -1,23 +1,27 @@
 """Main text of web pages by equivalence-class template deduction.
 
-1. Every page is cut into markup tokens; an element's token is its path of structural elements with
-   their class, id and role.  For each host and token the number of pages, of occurrences and a
-   commutative fingerprint of the occurrence vector over all the host's pages are summed, and the least and
-   largest digest of the text that a page has directly in the token's elements, and anywhere inside them.
-2. Tokens with the same vector form an equivalence class.  A class is valid when its tokens occur in at
-   least ``support`` of the host's pages and equally often in each of them.  The tokens of valid classes are
-   the host's template; they nest by path.  A slot is the text of a token's elements that is in no nested token.
-3. Dropped are elements that are menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts
-   or styles, nested tokens whose whole text is the same on every page that has them, and the text
-   directly inside a token where that is the same.  Fewer than ``STEADY`` pages do not make text constant.
-4. A page's text is that of its blocks in all other slots, in page order, wherever they are on the page.
-
-A page that has no token of its template but html and body, or whose host has no valid class or no text that varies, is
+1. Every page is cut into tokens: tags, known by their path of structural elements with class, id and
+   role, and words, taken by runs (the text between two tags) with the path they stand in; single words would
+   share vectors by chance on hosts of few pages.  For each host and token the number of pages, of occurrences,
+   the least and largest count on a page and a commutative fingerprint of the occurrence vector over all the host's pages are summed.
+2. Tokens with the same vector form an equivalence class.  A class is valid when it holds a tag, and its tokens occur in at
+   least ``support`` of the host's pages and equally often in each of them.  The template is the tags of valid classes and
+   those runs, on ``STEADY`` pages at least, that stand inside a tag of their own class.  Classes nest by path: a run or
+   tag belongs into the span of the nearest tag above it.
+3. A slot is the text in a tag's span that is not template.  A page's text is that of its blocks with a word in
+   a slot, in page order, wherever they are on the page; a block of template runs alone is dropped.
+4. What varies from page to page like an article but is none is known by its element or its name: menus, headers, footers,
+   sidebars, adverts, forms, comments, scripts and styles.  Inside an article or main element a header is part of it, and
+   paragraphs, headings and cells are dropped by the narrower list ``DROPPED_LEAVES`` alone.
+
+A page that has no tag of its template but html and body, on which the template's runs outweigh the slots (as on hosts
+of copies of one page), or whose host has no valid class, is
 read by its own article elements, else main, else body; a page without tags is one block.  Elements with the same
 path share a slot.  From ``DEPTH`` open elements on, deeper ones count for the path of the last above them.
 
-Python in Arrow batches: tokenising markup is sequential.  Statistics cover all pages; they are
-summed map-side per (host, token), so a host with a third of all pages is a row per task and token.
+Python in Arrow batches: tokenising markup is sequential; pages are parsed once for statistics and once for their text.
+Statistics cover all pages; they are summed map-side per (host, token), so a host with a third of all pages is a row per
+batch and token; tokens of one page are in no template and are not stored.
 Templates (a row per host) are joined to pages by host; the adaptive join broadcasts them by
 measured size or splits a hot host.  No page is ever grouped with another.
 
@@ -38,7 +42,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import forget, materialise, table
 
 #: Elements without content, and elements whose content is not text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,6 +59,8 @@ DROPPED_NAMES = re.compile(
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|\Z)""", re.IGNORECASE)
 NUMBER = re.compile(r"\d+")
+DROPPED_LEAVES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promo(?:tion)?s?|comments?|newsletter|cookies?|consent|gdpr|hidden)(?:$|[\s_-])", re.IGNORECASE)
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption address".split())
 #: Elements of a path; all open elements are held.
 DEPTH = 200
 #: Pages that must agree before a text counts as constant over a host.
@@ -62,16 +68,19 @@ STEADY = 3
 
 
 class Element:
-    __slots__ = ("name", "path", "dropped")
+    __slots__ = ("name", "path", "dropped", "within")
 
-    def __init__(self, name: str, path: str, dropped: bool):
-        self.name, self.path, self.dropped = name, path, dropped
+    def __init__(self, name: str, path: str, dropped: bool, within: bool):
+        self.name, self.path, self.dropped, self.within = name, path, dropped, within  # within an article or main element
 
 
-def is_dropped(name: str, attributes: dict[str, str]) -> bool:
-    if name in DROPPED or "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
+def is_dropped(name: str, attributes: dict[str, str], within: bool) -> bool:
+    if name in DROPPED and not (within and name == "header") or "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
         return True
-    return name not in ("html", "body", "article", "main") and any(DROPPED_NAMES.search(attributes.get(k, "")) for k in ("class", "id", "role"))
+    if name in ("html", "body", "article", "main") or within and name == "header":
+        return False
+    names = DROPPED_LEAVES if within and name in LEAVES else DROPPED_NAMES
+    return any(names.search(attributes.get(k, "")) for k in ("class", "id", "role"))
 
 
 def events(page: str) -> Iterator[tuple[str, Element | None, str]]:
@@ -118,7 +127,9 @@ def events(page: str) -> Iterator[tuple[str, Element | None, str]]:
         mark = "".join("." + ".".join(NUMBER.sub("#", found[k]).split()) for k in ("id", "class", "role") if found.get(k))
         up = stack[-1] if stack else None
         deep = len(stack) >= DEPTH  # paths stay short; the element itself is open like any other
-        element = Element(name, up.path if deep else (up.path + ">" if up else "") + name + mark, bool(up and up.dropped) or is_dropped(name, found))
+        within = bool(up and up.within)
+        dropped = bool(up and up.dropped) or is_dropped(name, found, within)
+        element = Element(name, up.path if deep else (up.path + ">" if up else "") + name + mark, dropped, within or name in ("article", "main"))
         if not deep:
             yield "open", element, ""
         if name in RAW:
@@ -149,139 +160,143 @@ def above(path: str) -> list[str]:
     return [">".join(parts[:i]) for i in range(1, len(parts) + 1)]
 
 
-def digest(parts) -> int:
-    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=6).digest(), "big") + 1 if parts else 0
+def run_token(path: str, text: str) -> str:
+    """The token of a run: its element's path and a digest of its words; '' without words."""
+    words = " ".join(text.split())
+    return f"{path}\n{hashlib.blake2b(words.encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}" if words else ""
 
 
-def statistics(page: str) -> dict[str, list[int]]:
-    """By token: occurrences, whether it is dropped, digests of the kept text directly inside and anywhere inside; 0: no text."""
-    out: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
-    texts: dict[str, list[str]] = defaultdict(list)
+def statistics(page: str) -> dict[str, int]:
+    """Occurrences of each token on the page; dropped elements and their text are not counted."""
+    out: dict[str, int] = defaultdict(int)
     for kind, element, text in events(page):
+        if element is None or element.dropped:
+            continue
         if kind == "open":
-            out[element.path][0] += 1
-            out[element.path][1] |= element.dropped
-        elif kind == "text" and element is not None and not element.dropped:
-            text = " ".join(text.split())
-            if text:
-                texts[element.path].append(text)
-    inside: dict[str, list[str]] = defaultdict(list)
-    for path in sorted(texts):
-        own = out[path][2] = digest(texts[path])
-        for p in above(path):
-            inside[p].append(f"{path} {own}")
-    for path, parts in inside.items():
-        out[path][3] = digest(parts)
+            out[element.path] += 1
+        elif kind == "text" and (token := run_token(element.path, text)):
+            out[token] += 1
     return out
 
 
-def main_text(page: str | None, template: tuple[set, set, set] | None) -> str:
+def blocks_of(every: list, keep) -> list[list[tuple[Element | None, str]]]:
+    """Runs of each block; a text that ``keep`` leaves out ends its block."""
+    blocks: list[list[tuple[Element | None, str]]] = [[]]
+    for kind, element, text in every:
+        if kind == "text" and keep(element):
+            blocks[-1].append((element, text))
+        elif blocks[-1]:
+            blocks.append([])
+    return blocks
+
+
+def main_text(page: str | None, template: tuple[set, set] | None) -> str:
     """Text of the blocks in the slots of ``template`` (see ``deduce``), or of the page's own main elements."""
     if not page:
         return ""
     every = list(events(page))
     paths = dict.fromkeys(e.path for kind, e, _ in every if kind == "open" and not e.dropped)
-    verdicts: dict[str, bool] = {}
     if template and any(p in template[0] and kind_of(p) not in ("html", "body") for p in paths):
-        _, steady, silent = template
-        judge = lambda path: path not in silent and steady.isdisjoint(above(path))
-        outside = True
-    else:
-        own = next((found for name in ("article", "main", "body") if (found := {p for p in paths if kind_of(p) == name})), None)
-        judge = lambda path: own is None or not own.isdisjoint(above(path))
-        outside = own is None
-    blocks: list[list[str]] = [[]]
-    for kind, element, text in every:
-        if kind != "text":
-            blocks.append([]) if blocks[-1] else None
-            continue
-        keep = outside if element is None else not element.dropped
-        if keep and element is not None:
-            if element.path not in verdicts:
-                verdicts[element.path] = judge(element.path)
-            keep = verdicts[element.path]
-        if keep:
-            blocks[-1].append(text)
-        elif blocks[-1]:
-            blocks.append([])
-    return "\n".join(filter(None, map(clean, blocks)))
+        slots, fixed = [], 0
+        for block in blocks_of(every, lambda e: e is None or not e.dropped):
+            text = clean([t for _, t in block])
+            if text and all(e is not None and run_token(e.path, t) in template[1] for e, t in block if t.strip()):
+                fixed += len(text)
+            elif text:
+                slots.append(text)
+        if sum(map(len, slots)) > fixed:
+            return "\n".join(slots)
+    own = next((found for name in ("article", "main", "body") if (found := {p for p in paths if kind_of(p) == name})), None)
+    verdicts: dict[str, bool] = {}
+
+    def mine(element: Element | None) -> bool:
+        if own is None or element is None:
+            return own is None and (element is None or not element.dropped)
+        if element.path not in verdicts:
+            verdicts[element.path] = not own.isdisjoint(above(element.path))
+        return verdicts[element.path] and not element.dropped
+
+    return "\n".join(filter(None, (clean([t for _, t in block]) for block in blocks_of(every, mine))))
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def deduce(tokens: list[dict], pages: int, support: float) -> tuple[list[str], list[str], list[str]] | None:
-    """A host's template, from its tokens: all its tokens, those with constant text inside, those with constant text of their own."""
+def deduce(tokens: list[dict], pages: int, support: float) -> tuple[list[str], list[str]] | None:
+    """A host's template from its tokens (token, pages, total, vector, least, most): its tags and its runs."""
     classes: dict[tuple, list[dict]] = defaultdict(list)
     for t in tokens:
         classes[(t["pages"], t["total"], t["vector"])].append(t)
-    # valid classes: enough pages and equally often in each of them
-    valid = [c for (n, _, _), c in classes.items() if n >= support * pages and all(t["least"] == t["most"] for t in c)]
-    template = {t["path"]: t for c in valid for t in c if not t["dropped"]}
-    same = lambda t, k: t["pages"] >= STEADY and 0 < t[f"{k}_low"] == t[f"{k}_high"]
-    varies = any(t["all_low"] != t["all_high"] for t in template.values())
-    if not varies:
-        return None
-    steady: set[str] = set()
-    for path in sorted(template, key=len):  # from the outside: what is nested in constant text need not be listed
-        if same(template[path], "all") and steady.isdisjoint(above(path)):
-            steady.add(path)
-    silent = [p for p, t in template.items() if same(t, "own") and steady.isdisjoint(above(p))]
-    return sorted(template), sorted(steady), sorted(silent)
+    tags: set[str] = set()
+    runs: set[str] = set()
+    for (n, _, _), c in classes.items():
+        own = {t["token"] for t in c if "\n" not in t["token"]}
+        # valid: enough pages and equally often in each of them
+        if not own or n < support * pages or any(t["least"] != t["most"] for t in c):
+            continue
+        tags |= own
+        if n >= STEADY:
+            runs |= {t["token"] for t in c if "\n" in t["token"] and not own.isdisjoint(above(t["token"].partition("\n")[0]))}
+    return (sorted(tags), sorted(runs)) if tags else None
 
 
 def templates(pages: DataFrame, support: float = 0.6) -> DataFrame:
-    """host, slots, steady, silent: each host's template (see ``deduce``).  pages: host, page_key, html."""
-    sums_of, fields = ("pages", "total"), ("least", "most", "own_low", "own_high", "all_low", "all_high")
+    """host, tags, runs: each host's template (see ``deduce``).  pages: host, page_key, html."""
+    fields = ("pages", "total", "vector", "least", "most")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sums: dict[tuple[str, str], list[int]] = {}
             for host, key, page in zip(b["host"], b["page_key"], b["html"]):
-                sums.setdefault((host, ""), [0] * 10)[0] += 1
-                for path, (n, dropped, own, inside) in statistics(page or "").items():
-                    s = sums.setdefault((host, path), [0, 0, 0, 0, n, n, own, own, inside, inside])
-                    seed = int.from_bytes(hashlib.blake2b(b"%d:%d" % (key, n), digest_size=6).digest(), "big")
-                    s[0] += 1
-                    s[1] += n
-                    s[2] += seed
-                    s[3] |= dropped
-                    for i, x in ((4, n), (6, own), (8, inside)):
-                        s[i], s[i + 1] = min(s[i], x), max(s[i + 1], x)
+                sums.setdefault((host, ""), [0] * 5)[0] += 1
+                seeds: dict[int, int] = {}
+                for token, n in statistics(page or "").items():
+                    if n not in seeds:
+                        seeds[n] = int.from_bytes(hashlib.blake2b(b"%d:%d" % (key, n), digest_size=6).digest(), "big")
+                    s = sums.get((host, token))
+                    if s is None:
+                        sums[host, token] = [1, n, seeds[n], n, n]
+                    else:
+                        sums[host, token] = [s[0] + 1, s[1] + n, s[2] + seeds[n], min(s[3], n), max(s[4], n)]
             if sums:
-                yield pd.DataFrame([(h, p, *s) for (h, p), s in sums.items()], columns=["host", "path", *sums_of, "vector", "dropped", *fields])
+                yield pd.DataFrame([(h, t, *s) for (h, t), s in sums.items()], columns=["host", "token", *fields])
 
-    counted = pages.mapInPandas(run, "host string, path string, pages long, total long, vector long, dropped int, " + ", ".join(f"{c} long" for c in fields))
-    ends = [(F.min if c in ("least", "own_low", "all_low") else F.max)(c).alias(c) for c in fields]
-    summed = counted.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in sums_of), F.sum(F.col("vector").cast("decimal(38,0)")).cast("string").alias("vector"), F.max("dropped").alias("dropped"), *ends)
+    counted = pages.mapInPandas(run, "host string, token string, " + ", ".join(f"{c} long" for c in fields))
+    summed = counted.groupBy("host", "token").agg(
+        F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.sum(F.col("vector").cast("decimal(38,0)")).cast("string").alias("vector"), F.min("least").alias("least"), F.max("most").alias("most")
+    )
+    summed = materialise(summed.where("pages > 1 or token = ''"), "tokens")  # what is on one page is in no template
     # rare tokens are in no template: only those that could reach the support are gathered per host, so few
-    size = summed.where("path = ''").select("host", F.col("pages").alias("of"))
-    near = summed.where("path <> ''").join(size, "host").where(F.col("pages") >= support * F.col("of"))
-    listed = near.groupBy("host").agg(F.max("of").alias("of"), F.collect_list(F.struct("path", *sums_of, "vector", "dropped", *fields)).alias("tokens"))
+    size = summed.where("token = ''").select("host", F.col("pages").alias("of"))
+    near = summed.where("token <> ''").join(size, "host").where(F.col("pages") >= support * F.col("of"))
+    listed = near.groupBy("host").agg(F.max("of").alias("of"), F.collect_list(F.struct("token", *fields)).alias("tokens"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [deduce([dict(t) if isinstance(t, dict) else t.asDict() for t in ts], n, support) or (None, None, None) for ts, n in zip(b["tokens"], b["of"])]
-            yield pd.DataFrame({"host": b["host"]} | {c: [f[i] for f in found] for i, c in enumerate(("slots", "steady", "silent"))})
+            found = [deduce([dict(t) if isinstance(t, dict) else t.asDict() for t in ts], n, support) or (None, None) for ts, n in zip(b["tokens"], b["of"])]
+            yield pd.DataFrame({"host": b["host"], "tags": [f[0] for f in found], "runs": [f[1] for f in found]})
 
-    return listed.mapInPandas(judge, "host string, slots array<string>, steady array<string>, silent array<string>")
+    out = materialise(listed.mapInPandas(judge, "host string, tags array<string>, runs array<string>"), "templates")
+    forget(summed)
+    return out
 
 
 def extract(pages: DataFrame, support: float = 0.6) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text."""
     keyed = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("page_key"))
-    found = materialise(templates(keyed.select("host", "page_key", "html"), support), "templates")
+    found = templates(keyed.select("host", "page_key", "html"), support)
     joined = keyed.drop("page_key").join(found.withColumnRenamed("host", "of"), F.col("host") == F.col("of"), "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = [main_text(h, None if s is None else (set(s), set(c), set(d))) for h, s, c, d in zip(b["html"], b["slots"], b["steady"], b["silent"])]
+            texts = [main_text(h, None if tags is None else (set(tags), set(runs))) for h, tags, runs in zip(b["html"], b["tags"], b["runs"])]
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts})
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "slots", "steady", "silent").mapInPandas(run, f"page_id {kind}, url string, text string")
+    return joined.select("page_id", "url", "html", "tags", "runs").mapInPandas(run, f"page_id {kind}, url string, text string")
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole table ``pages``: page_id, url, text, n_chars (see the module's text)."""
     return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
