@@ -1,21 +1,28 @@
 """Approximate nearest neighbours with learned partitions.
 
-On a bounded sample a neighbour graph is cut into equally large parts (recursive median splits along
-the principal direction, then swaps that keep the sizes and reduce cut edges).  A small network learns, for
+On a bounded sample a neighbour graph is cut into equally large parts (recursive spectral bisection of the
+graph, then swaps that keep the sizes and reduce cut edges).  A small network learns, for
 a point, in which parts its neighbours lie.  Every vector is put into its most probable part; a query
 goes to its most probable parts, as many as give ``target`` recall inside the sample and at least
 ``20 * k`` vectors, and all vectors there are ranked by exact Euclidean distance in double precision.
+With ``probes`` equal to the number of parts the search is exact.
+
+The number of parts grows with the square root of the rows, up to one for each 64 vectors of the sample.  How many
+are probed follows from the data: few where vectors lie in clusters, nearly all where they are spread evenly over a
+sphere, as in the test tables; ``Index`` tells it.
 
 Python in Arrow batches and groups: matrix products.  Every row is indexed.  Of identical vectors only
 the k + 1 smallest identifiers can be among anyone's k nearest, so a vector that a third of the rows
-share folds to k + 1 rows before the shuffle, map-side.  Parts are cut into blocks of at most
+share folds to k + 1 rows before the shuffle, map-side; only rows whose vector's 64-bit hash may repeat, by a bit map of
+bounded size, are shuffled for that.  Parts are cut into blocks of at most
 ``block`` vectors and the queries of a part into blocks as well; a task holds one block of each.
 A group gives k rows per query, so pairs are never rows.  The driver holds the sample (``sample``
 vectors) and a count per part.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part,
 neither do those of another length than most; equal distances go to the smaller identifier; with
-fewer than k candidates all are returned; rows that repeat an identifier and vector count once; null
+fewer than k candidates all are returned; rows that repeat an identifier and vector count once,
+an identifier with several vectors by the nearest; null
 identifiers take no part; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -30,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, table
+from .exact_dedup import bit_filter, may_hold
 
 
 def knn(x: np.ndarray, k: int) -> np.ndarray:
@@ -43,17 +51,37 @@ def knn(x: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def fiedler(x: np.ndarray, i: np.ndarray, j: np.ndarray, steps: int = 40) -> np.ndarray:
+    """The second eigenvector of the graph's normalised adjacency, by power iteration from the principal direction."""
+    n = len(x)
+    degree = np.maximum(np.bincount(i, minlength=n) + np.bincount(j, minlength=n), 1e-9)
+    top = np.sqrt(degree / degree.sum())
+    centred = x - x.mean(0)
+    v = centred @ np.linalg.eigh(centred.T @ centred)[1][:, -1]
+    for _ in range(steps):
+        v = v - top * (top @ v)
+        size = np.sqrt(v @ v)
+        if not size:
+            break
+        w = v / size / np.sqrt(degree)
+        v = v / size + (np.bincount(i, w[j], n) + np.bincount(j, w[i], n)) / np.sqrt(degree)
+    return v / np.sqrt(degree)
+
+
 def balanced_parts(x: np.ndarray, near: np.ndarray, parts: int, sweeps: int = 8) -> np.ndarray:
     """A part for each point, sizes at most one apart within a split; swaps reduce cut edges."""
     label = np.zeros(len(x), np.int64)
+    place = np.full(len(x), -1)
 
     def split(rows: np.ndarray, first: int, n: int) -> None:
         if n == 1 or len(rows) < 2:
             label[rows] = first
             return
-        centred = x[rows] - x[rows].mean(0)
-        axis = np.linalg.eigh(centred.T @ centred)[1][:, -1]
-        order = rows[np.argsort(centred @ axis, kind="stable")]
+        place[rows] = np.arange(len(rows))
+        j = place[near[rows]]
+        i, c = np.nonzero(j >= 0)
+        order = rows[np.argsort(fiedler(x[rows], i, j[i, c]), kind="stable")]
+        place[rows] = -1
         cut = len(rows) * (n // 2) // n
         split(order[:cut], first, n // 2)
         split(order[cut:], first + n // 2, n - n // 2)
@@ -129,8 +157,18 @@ def learn(x: np.ndarray, target: np.ndarray, hidden: int = 96, epochs: int = 60,
     return r
 
 
-def fit(x: np.ndarray, parts: int, k: int, target: float) -> tuple[Router, int]:
-    """The router and the number of parts to probe for ``target`` recall within the sample."""
+@dataclass
+class Index:
+    """What was learned: the router, the number of parts and of parts to probe, and the recall that gives in the sample."""
+
+    router: Router
+    parts: int
+    probes: int
+    sample_recall: float
+
+
+def fit(x: np.ndarray, parts: int, k: int, target: float) -> Index:
+    """The router, and as many probes as give ``target`` recall within the sample."""
     near = knn(x, k)
     label = balanced_parts(x, near, parts)
     share = np.full((len(x), parts), 1e-3)
@@ -141,10 +179,11 @@ def fit(x: np.ndarray, parts: int, k: int, target: float) -> tuple[Router, int]:
     order = router.order(x)
     rank = np.argsort(order, axis=1)
     if near.shape[1] == 0:
-        return router, parts
+        return Index(router, parts, parts, 1.0)
     at = np.take_along_axis(rank, order[:, 0][near], axis=1)  # where a neighbour's part comes in a point's order
-    recall = [(at < p).mean() for p in range(1, parts + 1)]
-    return router, 1 + next(i for i, r in enumerate(recall) if r >= target or i == parts - 1)
+    recall = [float((at < p).mean()) for p in range(1, parts + 1)]
+    probes = 1 + next(i for i, r in enumerate(recall) if r >= target or i == parts - 1)
+    return Index(router, parts, probes, recall[probes - 1])
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -165,7 +204,7 @@ def nearest(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
         rough = norms[:, None] + c_norms[None, :] - 2 * part @ c.T
         rough[q_ids[i : i + 256, None] == c_ids[None, :]] = np.inf
         if len(c) > k:
-            bound = np.partition(rough, k, axis=1)[:, k - 1] + 1e-9 * (norms + c_norms.max())
+            bound = np.partition(rough, k - 1, axis=1)[:, k - 1] + 1e-9 * (norms + c_norms.max())
         else:
             bound = np.full(len(part), np.finfo(float).max)
         for j in range(len(part)):
@@ -176,24 +215,53 @@ def nearest(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
     return out
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = 10, parts: int = 24, sample: int = 8192, target: float = 0.985, block: int = 20_000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def folded(rows: DataFrame, most: int, bits: int = 1 << 22) -> DataFrame:
+    """Of rows (id, v) with identical vectors the ``most`` smallest identifiers, each once; adds ``seen``, from 1."""
+    rows = rows.withColumn("digest", F.xxhash64("v"))
+    again = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    probed = may_hold(rows, bit_filter(again, bits), bits)
+    order = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    shared = probed.where("maybe").select("id", "v").distinct().withColumn("seen", order).where(F.col("seen") <= most)
+    return probed.where("not maybe").select("id", "v", F.lit(1).alias("seen")).unionByName(shared)
+
+
+def build(rows: DataFrame, k: int, parts: int | None, sample: int, target: float) -> Index | None:
+    """Learn from the ``sample`` vectors with the smallest MD5 of their identifiers; None without vectors."""
+    chosen = rows.where("seen = 1").orderBy(F.md5(F.col("id").cast("string")), "id").limit(sample).select("v").toPandas()
+    if not len(chosen):
+        return None
+    if parts is None:
+        parts = int(np.clip(np.ceil(np.sqrt(rows.count()) / 10), 4, max(4, sample // 64)))
+    return fit(np.array(chosen["v"].tolist(), np.float64), parts, k, target)
+
+
+def search(
+    vectors: DataFrame,
+    every: int = 100,
+    k: int = 10,
+    parts: int | None = None,
+    sample: int = 8192,
+    target: float = 0.985,
+    probes: int | None = None,
+    block: int = 20_000,
+    id_col: str = "vec_id",
+    vec_col: str = "embedding",
+    index: Index | None = None,
+) -> DataFrame:
     """Each query's k nearest: query_id, rank, vec_id, score.  Queries: rows whose id is divisible by ``every``."""
     rows = usable(vectors, id_col, vec_col)
-    # identical vectors: the k + 1 smallest identifiers
-    seen = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    folded = materialise(rows.distinct().withColumn("seen", seen).where(F.col("seen") <= k + 1), "vectors").select("id", "v", "seen")
-    chosen = folded.where("seen = 1").orderBy(F.md5(F.col("id").cast("string")), "id").limit(sample).select("v").toPandas()
-    if not len(chosen):
+    few = folded(rows, k + 1)
+    index = index or build(few, k, parts, sample, target)
+    if index is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x = np.array(chosen["v"].tolist(), np.float64)
-    router, probes = fit(x, parts, k, target)
+    router, parts, probes = index.router, index.parts, min(probes or index.probes, index.parts)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 yield pd.DataFrame({"id": b["id"], "v": b["v"], "part": router.order(np.array(b["v"].tolist()))[:, 0].astype("int32")})
 
-    placed = materialise(folded.select("id", "v").mapInPandas(place, "id long, v array<double>, part int"), "placed")
+    placed = materialise(few.select("id", "v").mapInPandas(place, "id long, v array<double>, part int"), "placed")
     held = {r.part: r.n for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per part
     counts = np.array([held.get(p, 0) for p in range(parts)])
 
@@ -221,9 +289,11 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, parts: int = 24, s
 
     keys = ["part", "vb", "qb"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(rank, "query_id long, vec_id long, score double").where("score < double('Infinity')")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))  # an identifier with several vectors counts by its nearest
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole table ``embeddings``, ten nearest: query_id, rank, vec_id, score (see the module's text)."""
     return search(table(spark, sf_dir, "embeddings"))
