@@ -9,7 +9,7 @@ Python in Arrow batches: word statistics and tree traversal in numpy.  Scoring h
 labelled rows are joined once, by identifier alone, before their texts are read.
 
 Defined results: a null text counts as empty and is scored like any text.  Labels that are null
-teach nothing; an identifier with contradicting labels counts as 0.  Without labelled rows every
+teach nothing; of rows that repeat an identifier the least text teaches; an identifier with contradicting labels counts as 0.  Without labelled rows every
 score is 1 (nothing is known against a text).  Repeated rows get equal scores; an empty table gives
 none.  Extra columns are ignored by ``score`` and kept by ``keep_good``.
 """
@@ -154,8 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, id_col: st
             x = matrix(batch["text"])
             yield pd.DataFrame({"id": batch["id"].astype(str), "quality": batch["quality"], "x": list(x)})
 
-    rows = joined.select("id", "text", "quality").mapInPandas(run, "id string, quality int, x array<double>").toPandas()  # max_rows vectors, and rows that repeat an identifier
-    rows = rows.drop_duplicates("id").sort_values("id")
+    one = joined.groupBy("id", "quality").agg(F.min("text").alias("text"))  # rows that repeat an identifier teach once
+    rows = one.select("id", "text", "quality").mapInPandas(run, "id string, quality int, x array<double>").toPandas().sort_values("id")  # max_rows vectors
     x = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), len(FEATURES))
     return fit(x, (rows["quality"].to_numpy() > 0).astype(float))
 
@@ -182,6 +182,7 @@ def keep_good(docs: DataFrame, model: Forest, least: float = 0.3, text_col: str
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole table ``documents``: doc_id, held_out, score, predicted (see the module's text)."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     out = score(docs, model)
