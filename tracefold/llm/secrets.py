@@ -4,11 +4,15 @@ Base patterns, leftmost and non-overlapping per kind: an assignment to a secret'
 or more), an access key (20 or more) and a run of hex digits (24 or more).  Structural kinds are
 reported beside them only when their content parses:
 
-  signed_token  three base64url parts; the first decodes to a JSON object with "alg", the second to JSON
-  private_key   an armoured PRIVATE KEY block whose base64 body is DER with lengths that nest to the end
-                (or an OpenSSH container with its magic and length-prefixed strings)
-  der_key       a bare base64 or hex run that decodes to such DER holding an INTEGER, BIT STRING or OCTET STRING
-  ssh_key       a base64 run of length-prefixed strings that starts with a known key type
+  signed_token  three base64url parts; the first decodes to a JSON object with "alg", the second to a JSON object
+  private_key   an armoured PRIVATE KEY block whose base64 body is a private key as below, or an OpenSSH container
+                whose strings fill it, or, under a header that says it is encrypted, whole cipher blocks
+  der_key       a base64, base64url or hex run, bare or wrapped over lines, whose DER lengths nest to the end and whose
+                fields are those of a private key: PKCS#1 (nine integers), DSA (six), PKCS#8, SEC1 or encrypted PKCS#8
+  openssh_key   a bare base64 run of such an OpenSSH container
+
+Certificates and public keys are no secrets and are not reported.  A run may begin inside other text of its alphabet: the
+DER header gives the length, and as much of the text is taken as it asks for.
 
 Python regular expressions in Arrow batches: code-point offsets and captures per match are not
 expressible with built-in functions.  A task holds one batch; batches are cut by row count, and a
@@ -35,18 +39,21 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-KINDS = ("assign", "access", "hex", "signed_token", "private_key", "der_key", "ssh_key")
+KINDS = ("assign", "access", "hex", "signed_token", "private_key", "der_key", "openssh_key")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 NAMES = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so a shorter match never hides a longer one
-SIGNED = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]+)-----END \1-----")
-BLOB = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
-HEX_ANY = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{48,}|[0-9A-F]{48,})(?![0-9A-Za-z])")
-#: Names of key types in the SSH wire format.
-SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
+DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,}")
+ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*(?:-(?!----)[^-]*)*)-----END \1-----")
+DER_START = re.compile(r"M(?=[A-Za-z0-9+/_-]{15})")  # a SEQUENCE (0x30) begins with M
+SSH_START = re.compile(r"b3BlbnNzaC1rZXktdjEA")  # the container's magic
+HEX_START = re.compile(r"30(?=(?:[ \t\r\n:]?[0-9a-fA-F]{2}){10})")
+BASE64_GAP, HEX_GAP = " \t\r\n", " \t\r\n:"
+BASE64, HEXITS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"), frozenset("0123456789abcdefABCDEF")
+#: The magic of an OpenSSH container, and the object identifier (1.2.840.113549.1.5) of password-based encryption.
 SSH_MAGIC = b"openssh-key-v1\0"
+PBE = bytes.fromhex("2a864886f70d0105")
 
 
 def from_base64(s: str) -> bytes | None:
@@ -85,52 +92,134 @@ def der_tags(data: bytes) -> list[int] | None:
     return tags or None
 
 
-def is_der_key(data: bytes | None) -> bool:
-    if not data or len(data) < 24 or data[0] != 0x30:
-        return False
-    tags = der_tags(data)
-    return tags is not None and len(tags) >= 3 and any(t in (0x02, 0x03, 0x04) for t in tags)
-
-
-def wire_strings(data: bytes) -> list[bytes] | None:
-    """Length-prefixed strings that fill the bytes, else None."""
+def der_fields(data: bytes) -> list[tuple[int, bytes]]:
+    """(tag, content) of the elements in a constructed element whose lengths are known to nest."""
     out, at = [], 0
     while at < len(data):
-        n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + n > len(data):
-            return None
-        out.append(data[at + 4 : at + 4 + n])
-        at += 4 + n
+        tag, n, at = data[at], data[at + 1], at + 2
+        if n & 0x80:
+            n, at = int.from_bytes(data[at : at + (n & 0x7F)], "big"), at + (n & 0x7F)
+        out.append((tag, data[at : at + n]))
+        at += n
     return out
 
 
-def is_ssh_key(data: bytes | None) -> bool:
-    if not data or data[:3] != b"\0\0\0" or not data[4:].startswith((b"ssh-", b"ecdsa-")):
+def der_length(head: bytes) -> int:
+    """Bytes of the SEQUENCE that begins with ``head``, 0 if none does."""
+    if len(head) < 6 or head[0] != 0x30:
+        return 0
+    n = head[1]
+    if n < 0x80:
+        return n + 2
+    k = n & 0x7F
+    return 2 + k + int.from_bytes(head[2 : 2 + k], "big") if 1 <= k <= 4 else 0
+
+
+def is_private_key(data: bytes | None) -> bool:
+    """The layouts of PKCS#1, DSA, PKCS#8, SEC1 and encrypted PKCS#8."""
+    if not data or len(data) < 24 or der_tags(data) is None:
         return False
-    parts = wire_strings(data)
-    return bool(parts) and len(parts) > 1 and parts[0] in SSH_TYPES
+    fields = der_fields(der_fields(data)[0][1])
+    tags = [t for t, _ in fields]
+    version = fields[0][1] if tags[:1] == [2] else b""
+    if tags[:9] == [2] * 9 and version in (b"\0", b"\1"):
+        return tags[9:] in ([], [0x30])
+    if tags == [2] * 6:
+        return version == b"\0"
+    if tags[:3] == [2, 0x30, 4] and version in (b"\0", b"\1"):
+        return [t for t, _ in der_fields(fields[1][1])][:1] == [6] and set(tags[3:]) <= {0xA0, 0xA1, 0x81}
+    if tags[:2] == [2, 4]:
+        return version == b"\1" and set(tags[2:]) <= {0xA0, 0xA1}
+    if tags == [0x30, 4]:
+        kind = der_fields(fields[0][1])[:1]
+        return bool(kind) and kind[0][0] == 6 and kind[0][1].startswith(PBE)
+    return False
+
+
+def ssh_length(data: bytes) -> int:
+    """Bytes of the OpenSSH container that ``data`` begins with, 0 if it holds none."""
+    at = len(SSH_MAGIC)
+    if not data.startswith(SSH_MAGIC):
+        return 0
+    for part in range(4):  # cipher, key derivation, its options, then the keys
+        count = 1
+        if part == 3:
+            count, at = int.from_bytes(data[at : at + 4], "big") + 1, at + 4  # public ones, and the private part
+        for _ in range(count):
+            n = int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else -1
+            if n < 0 or at + 4 + n > len(data):
+                return 0
+            at += 4 + n
+    return at
 
 
 def is_private_body(body: str) -> bool:
-    data = from_base64(re.sub(r"\\n|[\s\\]", "", body))
-    if data and data.startswith(SSH_MAGIC):
-        at = len(SSH_MAGIC)
-        for _ in range(3):
-            n = int.from_bytes(data[at : at + 4], "big")
-            at += 4 + n
-        return at + 4 <= len(data)
-    return is_der_key(data)
+    """The body of an armoured block, lines perhaps parted by a written backslash and n."""
+    lines = [x.strip() for x in body.replace("\\r", "").replace("\\n", "\n").split("\n")]
+    headers = [x for x in lines if ":" in x]
+    data = from_base64("".join(x for x in lines if ":" not in x).replace(" ", "").replace("\\", ""))
+    if any(h.startswith("Proc-Type:") and "ENCRYPTED" in h for h in headers):
+        return bool(data) and len(data) % 8 == 0
+    return bool(data) and (ssh_length(data) == len(data) or is_private_key(data))
 
 
-def is_signed_token(s: str) -> bool:
-    head, body, _ = s.split(".")
+def is_signed_token(parts: list[str]) -> bool:
+    if not parts[0].startswith(("ey", "ew")):  # an opening brace
+        return False
     try:
-        first, second = (json.loads((from_base64(x) or b"").decode()) for x in (head, body))
+        first, second = (json.loads((from_base64(x) or b"").decode()) for x in parts[:2])
     except (ValueError, RecursionError):
         return False
     return isinstance(first, dict) and isinstance(first.get("alg"), str) and isinstance(second, dict)
 
 
+def taken(text: str, at: int, n: int, alphabet: frozenset, gap: str) -> tuple[str, int]:
+    """The next ``n`` characters of ``alphabet`` from ``at`` and where they end; gaps are skipped, another character ends it."""
+    out: list[str] = []
+    end = at
+    while n and at < len(text):
+        c = text[at]
+        at += 1
+        if c in alphabet:
+            out.append(c)
+            n, end = n - 1, at
+        elif c not in gap:
+            break
+    return "".join(out), end
+
+
+def der_spans(text: str) -> list[tuple[int, str, int]]:
+    out, after = [], 0
+    for m in DER_START.finditer(text):
+        if m.start() < after:
+            continue
+        n = der_length(from_base64(text[m.start() : m.start() + 12]) or b"")
+        if n >= 24:
+            chars = -(-n * 4 // 3)
+            run, end = taken(text, m.start(), chars, BASE64, BASE64_GAP)
+            if len(run) == chars and is_private_key((from_base64(run) or b"")[:n]):
+                out.append((m.start(), "der_key", after := end))
+    after = 0
+    for m in HEX_START.finditer(text):
+        if m.start() < after:
+            continue
+        n = der_length(bytes.fromhex(taken(text, m.start(), 12, HEXITS, HEX_GAP)[0]))
+        if n >= 24:
+            run, end = taken(text, m.start(), 2 * n, HEXITS, HEX_GAP)
+            if len(run) == 2 * n and is_private_key(bytes.fromhex(run)):
+                out.append((m.start(), "der_key", after := end))
+    return out
+
+
+def ssh_spans(text: str) -> list[tuple[int, str, int]]:
+    out = []
+    for m in SSH_START.finditer(text):
+        run, _ = taken(text, m.start(), len(text), BASE64, BASE64_GAP)
+        if n := ssh_length(from_base64(run[: len(run) // 4 * 4]) or b""):
+            out.append((m.start(), "openssh_key", taken(text, m.start(), -(-n * 4 // 3), BASE64, BASE64_GAP)[1]))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     low = text.lower()
     out = []
@@ -141,24 +230,28 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return out + [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
 
 
-def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
+def token_spans(text: str) -> list[tuple[int, str, int]]:
     out = []
-    if "eyJ" in text or "." in text:
-        out += [(m.start(), "signed_token", m.end()) for m in SIGNED.finditer(text) if is_signed_token(m.group())]
-    if "-----BEGIN" in text:
-        out += [(m.start(), "private_key", m.end()) for m in ARMOUR.finditer(text) if is_private_body(m.group(2))]
-    for m in BLOB.finditer(text):
-        if (s := m.group()).startswith("AAAA"):
-            if is_ssh_key(from_base64(s)):
-                out.append((m.start(), "ssh_key", m.end()))
-        elif s[0] == "M" and is_der_key(from_base64(s)):  # a SEQUENCE (0x30) begins with M
-            out.append((m.start(), "der_key", m.end()))
-    for m in HEX_ANY.finditer(text):
-        if m.group().startswith("30") and len(m.group()) % 2 == 0 and is_der_key(bytes.fromhex(m.group())):
-            out.append((m.start(), "der_key", m.end()))
+    for m in DOTTED.finditer(text):
+        parts, at, last = m.group().split("."), m.start(), -3
+        for i in range(len(parts) - 2):
+            if i >= last + 3 and is_signed_token(parts[i : i + 3]):
+                out.append((at, "signed_token", at + sum(map(len, parts[i : i + 3])) + 2))
+                last = i
+            at += len(parts[i]) + 1
     return out
 
 
+def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
+    out = token_spans(text) if text.count(".") > 1 else []
+    armoured = []
+    if "-----BEGIN" in text:
+        armoured = [(m.start(), "private_key", m.end()) for m in ARMOUR.finditer(text) if is_private_body(m.group(2))]
+    # what stands in an armoured block is part of it
+    bare = [x for x in der_spans(text) + ssh_spans(text) if not any(a <= x[0] < b for a, _, b in armoured)]
+    return out + armoured + bare
+
+
 def order(spans: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     return sorted(spans, key=lambda x: (x[0], KINDS.index(x[1]), x[2]))
 
@@ -190,6 +283,7 @@ def digest(text: str) -> str:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole table ``documents``: doc_id, n_assign, n_access, n_hex, base_sha256, spans (see the module's text)."""
     found = scan(table(spark, sf_dir, "documents"))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
