@@ -45,7 +45,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import forget, fresh_path, materialise, owned, remove, shuffle_partitions, table
+from .common import forget, fresh_path, materialise, owned, remove, shuffle_partitions, small_batches, table
 from .exact_dedup import bit_filter, may_hold
 
 M = 128  # signature length
@@ -370,7 +370,8 @@ def decisions(docs: DataFrame, words: int, similarity: float, id_col: str, text_
     rows, bands = bands_for(similarity)
     percent = round(100 * similarity)
     texts = docs.select(*_keys(id_col, text_col), F.col(text_col).alias("text"))
-    base = materialise(sketch(texts, words, rows, bands), "sketches")
+    with small_batches(spark):
+        base = materialise(sketch(texts, words, rows, bands), "sketches")
     of_rep = F.min_by(F.struct("h", "bands", "sketch"), "node").alias("own")
     classes = materialise(base.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("node").alias("rep"), of_rep).select("n", "f1", "f2", "rep", "own.*"), "classes")
 
@@ -390,7 +391,8 @@ def decisions(docs: DataFrame, words: int, similarity: float, id_col: str, text_
     held = may_hold(texts.withColumn("digest", F.col("node")), bit_filter(sized.select(F.col("id").alias("digest")), filter_bits), filter_bits).where("maybe")
     once = held.groupBy(F.col("node").alias("id"), "h").agg(F.first("text").alias("text"))  # rows that repeat identifier and text
     checked = placed.join(once, ["id", "h"]).repartition(parts, "component", "a", "b").sortWithinPartitions("component", "a", "b")
-    links = components(checked.select("component", "a", "b", "id", "h", "text").mapInPandas(confirm(words, percent), "lo long, hi long"))
+    with small_batches(spark):
+        links = components(checked.select("component", "a", "b", "id", "h", "text").mapInPandas(confirm(words, percent), "lo long, hi long"))
     forget(candidates, sized, large)
 
     grouped = classes.join(links, F.col("rep") == F.col("node"), "left").select("n", "f1", "f2", F.coalesce("root", "rep").alias("root"))
