@@ -10,7 +10,7 @@ TAKES_NEXT = ("-Xlinker", "-MF", "-MT", "-isystem", "-o", "-D")
 PROTECTED = ("-o", "-I", "-L", "-c")
 MODES = ("argsremove", "argsreorder", "replace_all", "remove_single", "remove_pair", "remove_parentheses", "replace_colon_with_semicolon", "add_asterisk_to_variables", "lambda_captures", "agent")
 CPP_STANDARDS = ("98", "03", "11", "14", "17", "20")
-CL_STANDARDS = ("1.0", "1.1", "1.2", "2.0", "3.0", "2021")
+CL_STANDARDS = ("1.0", "1.1", "1.2", "2.0", "2.1", "3.0")
 
 
 def is_protected(arg: Column) -> Column:
@@ -54,6 +54,11 @@ def sweep(argv: Column, prefix: str = "-std=c++", standards: tuple[str, ...] = C
     return F.transform(F.array(*(F.lit(s) for s in standards)), lambda s: F.concat(kept, F.array(F.concat(F.lit(prefix), s))))
 
 
+def cl_sweep(argv: Column) -> Column:
+    """Array of commands, one per OpenCL standard, without options of an OpenMP version."""
+    return sweep(argv, "-cl-std=clc++", CL_STANDARDS, strip="-fopenmp-version")
+
+
 def substitute(argv: Column, old: Column, new: Column) -> Column:
     """The first argument equal to ``old`` becomes ``new``."""
     at = F.array_position(argv, old)
@@ -81,7 +86,14 @@ def remove_some(argv: Column, seed: Column, level: int = 1) -> Column:
     draw = F.conv(F.substring(F.md5(seed.cast("string")), 1, 7), 16, 10).cast("int")
     k = F.least(n, F.greatest(F.lit(0), low + draw % F.greatest(high - low + 1, F.lit(1))))
     sample = F.filter(F.slice(seeded_order(argv, seed), F.lit(1), k), lambda a: ~is_protected(a))
-    return F.filter(argv, lambda a: ~F.array_contains(sample, a))
+    # the sample is bound by a transform over one element, so that it is drawn once, not once for each argument
+    return F.flatten(F.transform(F.array(F.struct(argv.alias("argv"), sample.alias("sample"))), lambda x: F.filter(x["argv"], lambda a: ~F.array_contains(x["sample"], a))))
+
+
+def modes_of_environment(environment: dict[str, str]) -> tuple[list[str], int]:
+    """Modes and removal level that FUZZ_MODE and REMOVE_LEVEL ask for; no modes where unset or 'none'."""
+    wanted = environment.get("FUZZ_MODE", "").replace(",", " ").replace("&", " ").split()
+    return sorted(set(wanted) & set(MODES)), int(environment.get("REMOVE_LEVEL", "1"))
 
 
 def normalise_modes(c: Column) -> Column:

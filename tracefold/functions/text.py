@@ -20,10 +20,41 @@ def error_messages(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r":\s+error:\s+([^\n]*)\n"), F.lit(1))
 
 
+ANNOTATION = r"(expected-error(?:@(?:\+\d+|[\w.]+:\*?))?)\s*\{\{([^}]+)\}\}"
+
+
 def expected_annotations(c: Column) -> Column:
-    """Array of (full, content) of expected-error comments."""
-    pattern = r"(expected-error(?:@(?:\+\d+|[\w.]+:\*?))?)\s*\{\{([^}]+)\}\}"
-    return F.arrays_zip(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("full"), F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(2)), lambda x: F.trim(x)).alias("content"))
+    """Array of (full, content, line) of expected-error comments; lines count from 1."""
+    full, content = F.regexp_extract_all(c, F.lit(ANNOTATION), F.lit(0)), F.transform(F.regexp_extract_all(c, F.lit(ANNOTATION), F.lit(2)), lambda x: F.trim(x))
+    breaks = lambda x: F.transform(x, lambda t: F.char_length(t) - F.char_length(F.replace(t, F.lit("\n"), F.lit(""))))
+    bound = F.array(F.struct(full.alias("full"), content.alias("content"), breaks(F.split(c, ANNOTATION, -1)).alias("before"), breaks(full).alias("inside")))
+    total = lambda x, n: F.aggregate(F.slice(x, F.lit(1), n), F.lit(0), lambda a, b: a + b)
+    one = lambda s: F.transform(
+        s["full"], lambda f, i: F.struct(f.alias("full"), F.get(s["content"], i).alias("content"), (total(s["before"], i + 1) + total(s["inside"], i) + 1).cast("long").alias("line"))
+    )
+    return F.flatten(F.transform(bound, one))
+
+
+def run_lines(c: Column, most: int = 5) -> Column:
+    """The first ``most`` lines that begin with ``// RUN:``."""
+    return F.slice(F.filter(F.split(c, "\n"), lambda x: x.startswith("// RUN:")), 1, most)
+
+
+def pragma_scope(c: Column, line: Column) -> Column:
+    """lines, start, end (from 1) of the text from a line with ``#`` to the first line from there on with a semicolon; null if it has no ``#``.
+
+    A scope that no semicolon ends is its first line.  Semicolons in comments count.
+    """
+    trimmed = lambda t: F.transform(t, lambda x: F.trim(x))
+    bound = F.transform(F.array(F.split(c, "\n")), lambda t: F.struct(t.alias("t"), F.array_position(F.transform(F.slice(t, line, F.size(t)), lambda x: x.contains(";")), True).cast("int").alias("n")))
+    s = F.get(F.filter(bound, lambda s: F.get(s["t"], line - 1).contains("#")), 0)
+    n = F.greatest(s["n"], F.lit(1))
+    return F.when(s.isNotNull(), F.struct(trimmed(F.slice(s["t"], line, n)).alias("lines"), line.alias("start"), (line + n - 1).alias("end")))
+
+
+def annotation_report(file: Column, line: Column, full: Column, content: Column) -> Column:
+    """A block of the console report of annotations."""
+    return F.concat_ws("\n", F.concat(F.lit("File: "), file), F.concat(F.lit("Line: "), line.cast("string")), F.concat(F.lit("Full Error: "), full), F.concat(F.lit("Error Content: "), content), F.lit("-" * 80))
 
 
 def diag_ids(c: Column) -> Column:

@@ -6,9 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
-#: Platform words; a catalogue name that contains one is left out.
-PLATFORMS = ("arm", "aarch64", "objc", "opencl", "openmp", "cuda", "hip", "sycl", "riscv", "mips", "msvc", "neon", "sve", "ptrauth")
+#: Platform words, lower-cased; a catalogue name that contains one in any case is left out.
+PLATFORMS = ("hip", "cuda", "omp", "acc", "microsoft", "objc", "mips", "aarch64", "ppe", "_ms", "_amd", "apple", "macos", "_arm")
 
 
 def merge_counts(*maps: DataFrame) -> DataFrame:
@@ -46,6 +47,29 @@ def collected(rows: DataFrame, key: str, *parts: str) -> DataFrame:
     return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("parts"))
 
 
+def sliced(rows: DataFrame, order: str, start: int, stop: int) -> DataFrame:
+    """Rows ``start`` to ``stop`` (from 0, exclusive) in the order of a unique column: a report of bounded length."""
+    return rows.orderBy(order).offset(start).limit(stop - start)
+
+
+def names_of(rows: DataFrame, ids: str, names: DataFrame, key: str = "id", name: str = "name") -> DataFrame:
+    """Adds ``names``: those of the identifiers in the array ``ids``, in its order; an unknown one is ''.  ``rows`` has a unique column ``row``."""
+    each = rows.select("row", F.posexplode(ids).alias("pos", "_id")).join(names.select(F.col(key).alias("_id"), F.col(name).alias("_name")), "_id", "left")
+    found = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("_name", F.lit("")).alias("name")))).alias("found"))
+    return rows.join(found, "row", "left").withColumn("names", F.coalesce(F.transform("found", lambda x: x["name"]), F.array().cast("array<string>"))).drop("found")
+
+
+def attempts(rows: DataFrame, key: str, order: list[str], small: Column, large: Column, n: int = 3) -> DataFrame:
+    """What a run makes of the first ``n`` places of each key, each tried with the small model, then with the large one, until one succeeds.
+
+    key, n_small, n_large (tries), solved_by ('small', 'large' or null) and solved_at (place from 1, null if none).
+    """
+    first = top_per_key(rows.select(key, *order, F.coalesce(small, F.lit(False)).alias("_s"), F.coalesce(large, F.lit(False)).alias("_l")), key, n, *order)
+    found = first.groupBy(key).agg(F.count(F.lit(1)).alias("places"), F.min(F.when(F.col("_s") | F.col("_l"), F.struct("place", F.when(F.col("_s"), "small").otherwise("large").alias("by")))).alias("hit"))
+    tried = F.coalesce("hit.place", "places")
+    return found.select(key, tried.alias("n_small"), (tried - F.when(F.col("hit.by") == "small", 1).otherwise(0)).alias("n_large"), F.col("hit.by").alias("solved_by"), F.col("hit.place").alias("solved_at"))
+
+
 def lookback(lines: DataFrame, key: str, at: str, text: str, word: str) -> DataFrame:
     """Adds ``since``: the lines from the last one that contains ``word`` up to this one, joined by newlines."""
     so_far = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
@@ -54,6 +78,13 @@ def lookback(lines: DataFrame, key: str, at: str, text: str, word: str) -> DataF
     return marked.withColumn("since", F.array_join(F.collect_list(text).over(run), "\n")).drop("_run")
 
 
-def pending(left: DataFrame, right: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:
-    """All combinations of the smaller table's rows with the other, less those done.  ``right`` must be small."""
-    return left.join(right, how="cross").join(done, on, "left_anti")
+def pending(left: DataFrame, right: DataFrame, done: DataFrame, on: list[str], most: int = 10_000) -> DataFrame:
+    """All combinations of the rows of both tables, less those done.
+
+    ``right`` may hold ``most`` rows; they become one array that each row of ``left`` is exploded by.
+    """
+    listed = right.limit(most + 1).collect()
+    if len(listed) > most:
+        raise ValueError(f"more than {most} rows on the right")
+    one = left.sparkSession.createDataFrame([(listed,)], StructType([StructField("_all", ArrayType(right.schema))]))
+    return left.join(F.broadcast(one)).select("*", F.explode("_all").alias("_right")).drop("_all").select(*left.columns, "_right.*").join(done, on, "left_anti")

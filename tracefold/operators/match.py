@@ -68,7 +68,7 @@ def label_counts(matched: DataFrame) -> DataFrame:
     return rows.groupBy("name").agg(F.sum("n").alias("n"))
 
 
-def unmatched(messages: DataFrame, matched: DataFrame) -> DataFrame:
-    """Messages without a label, repeated ones kept."""
+def unmatched(matched: DataFrame) -> DataFrame:
+    """Messages without a label, as often as they came: no second pass over the messages."""
     column = "names" if "names" in matched.columns else "name"
-    return messages.join(matched.where(F.col(column).isNotNull()), "message", "left_anti").select("message")
+    return matched.where(F.col(column).isNull()).select("message", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_")).select("message")

@@ -1,20 +1,57 @@
-"""Source variants: one row per place, found by expressions over a line's characters.
+"""Source variants: one row per place.
 
-A variant is (line number, place in the line, original line, modified line); ``apply_variant`` puts
-the line back into a whole text.  Work per line is linear in places times line length.
+A variant of a line is (line number, place in the line, original line, modified line); ``apply_variant`` puts
+the line back into a whole text.  Places are found by splitting the line at the symbol, so work per line is its
+length for each place.  Variants of pairs and of declarations know their place in the text; their lines run over
+backslash continuations.  Every variant has the name of its mode.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Symbols that are deleted one at a time, and replacements by mode.
-SINGLES = ":;,.*&!=+-/%<>^|~?"
-REPLACEMENTS = ((":", "::"), ("::", ":"), (":", ";"), (":", ","), (";", ":"), (";", ","), (",", ":"), ("=", "=="), ("==", "="))
+from ..functions.text import line_at_offset
+from .tree import node_at
+
+#: Symbols that are deleted one at a time, replacements and pairs, each with its mode.
+SINGLE_MODES = {
+    ":": "remove_colon",
+    ";": "remove_semicolon",
+    ",": "remove_comma",
+    ".": "remove_dot",
+    "*": "remove_asterisk",
+    "&": "remove_ampersand",
+    "!": "remove_exclamation",
+    "=": "remove_equal",
+    "+": "remove_plus",
+    "-": "remove_minus",
+    "/": "remove_slash",
+    "%": "remove_percent",
+    "<": "remove_less",
+    ">": "remove_greater",
+    "^": "remove_caret",
+    "|": "remove_pipe",
+    "~": "remove_tilde",
+    "?": "remove_question",
+}
+REPLACE_MODES = {
+    (":", "::"): "replace_colon_with_double_colon",
+    ("::", ":"): "replace_double_colon_with_colon",
+    (":", ";"): "replace_colon_with_semicolon",
+    (":", ","): "replace_colon_with_comma",
+    (";", ":"): "replace_semicolon_with_colon",
+    (";", ","): "replace_semicolon_with_comma",
+    (",", ":"): "replace_comma_with_colon",
+    ("=", "=="): "replace_equal_with_double_equal",
+    ("==", "="): "replace_double_equal_with_equal",
+}
+PAIR_MODES = {"(": "remove_parentheses", "[": "remove_brackets", "{": "remove_braces", "<": "remove_angle"}
+SINGLES = "".join(SINGLE_MODES)
 PAIRS = {"(": ")", "[": "]", "{": "}", "<": ">"}
 CAPTURES = ("empty", "by_value", "by_reference", "drop_first", "prepend_reference", "prepend_value", "unknown", "toggle")
 
@@ -23,29 +60,40 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line"))
 
 
+def replace_mode(old: str, new: str) -> str:
+    if (old, new) not in REPLACE_MODES:
+        raise ValueError(f"Unknown symbol: {old}, {new}")
+    return REPLACE_MODES[old, new]
+
+
+def _places(rows: DataFrame, symbols: str) -> DataFrame:
+    """A row for each place ``at`` of one of ``symbols`` in ``line``; ``parts`` are the pieces between them, ``k`` counts from 1."""
+    one_of = "[" + "".join("\\" + c for c in symbols) + "]"
+    cut = rows.where(F.col("line").rlike(one_of)).withColumn("parts", F.split("line", one_of, -1)).withColumn("sizes", F.transform("parts", F.char_length))
+    each = cut.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("parts") - 1)))
+    return each.withColumn("at", F.aggregate(F.slice("sizes", F.lit(1), F.col("k")), F.col("k") - 1, lambda x, n: x + n)).drop("sizes")
+
+
 def replace_symbol(rows: DataFrame, old: str, new: str) -> DataFrame:
-    """A variant for each place of ``old`` (overlapping ones too) in ``line``."""
-    chars = F.split("line", "")
-    here = F.lit(True)
-    at = lambda i: here if not old else _all([F.get("chars", i + k) == c for k, c in enumerate(old)])
-    places = rows.where(F.col("line").contains(old)).withColumn("chars", chars).withColumn("at", F.explode(F.filter(F.sequence(F.lit(0), F.size("chars") - 1), at))).drop("chars")
-    n = len(old)
-    return places.withColumn("modified", F.concat(F.expr("substr(line, 1, at)"), F.lit(new), F.expr(f"substr(line, at + {n + 1})")))
+    """A variant for each place of ``old``, a character or one twice (overlapping places too), in ``line``."""
+    if not old or set(old) != {old[0]} or len(old) > 2:
+        raise ValueError(f"Unknown symbol: {old}")
+    places = _places(rows, old[0])
+    if len(old) == 2:  # the next one follows at once
+        places = places.where((F.get("parts", F.col("k")) == "") & (F.col("k") < F.size("parts") - 1))
+    return places.drop("parts", "k").withColumn("modified", F.concat(F.expr("substr(line, 1, at)"), F.lit(new), F.expr(f"substr(line, at + {len(old) + 1})")))
 
 
-def _all(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return F.coalesce(out, F.lit(False))
+def replace_all(rows: DataFrame) -> DataFrame:
+    """The variants of all nine replacements, with ``mode``."""
+    return reduce(DataFrame.unionByName, [replace_symbol(rows, old, new).withColumn("mode", F.lit(mode)) for (old, new), mode in REPLACE_MODES.items()])
 
 
 def delete_symbols(rows: DataFrame, symbols: str = SINGLES) -> DataFrame:
-    """A variant for each place of one of ``symbols``."""
-    wanted = F.array(*(F.lit(c) for c in symbols))
-    chars = rows.withColumn("chars", F.split("line", ""))
-    places = chars.withColumn("at", F.explode(F.filter(F.sequence(F.lit(0), F.size("chars") - 1), lambda i: F.coalesce(F.array_contains(wanted, F.get("chars", i)), F.lit(False))))).withColumn("symbol", F.get("chars", F.col("at"))).drop("chars")
-    return places.withColumn("modified", F.concat(F.expr("substr(line, 1, at)"), F.expr("substr(line, at + 2)")))
+    """A variant for each place of one of ``symbols``, with ``symbol`` and, for those that have one, ``mode``."""
+    places = _places(rows, symbols).drop("parts", "k").withColumn("symbol", F.expr("substr(line, at + 1, 1)"))
+    modes = F.create_map(*(F.lit(x) for kv in SINGLE_MODES.items() for x in kv))
+    return places.withColumn("mode", F.element_at(modes, F.col("symbol"))).withColumn("modified", F.concat(F.expr("substr(line, 1, at)"), F.expr("substr(line, at + 2)")))
 
 
 def sample_per_group(variants: DataFrame, keys: list[str], order: Column, k: int) -> DataFrame:
@@ -69,15 +117,40 @@ def bracket_pairs(text: str, pairs: dict[str, str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def line_at(text: str, offset: int) -> str:
+    """The line of a 0-based offset with the continuations that follow it."""
+    start, end = text.rfind("\n", 0, offset) + 1, text.find("\n", offset)
+    while end > 0 and text[end - 1] == "\\":
+        end = text.find("\n", end + 1)
+    return text[start:] if end < 0 else text[start:end]
+
+
 def remove_pairs(docs: DataFrame, id_col: str, text_col: str, pairs: dict[str, str] = PAIRS) -> DataFrame:
-    """A row per matched pair: id, start, end and the text between them.  Nesting needs a stack: Arrow batches."""
+    """A variant per matched pair, nested ones too: id, mode, start, end, inner, line, modified.
+
+    ``line`` and ``modified`` are the line at the pair's start before and after both ends are gone.  Nesting needs a stack: Arrow batches.
+    """
+
+    def variant(t: str, s: int, e: int) -> tuple:
+        return PAIR_MODES.get(t[s], "remove_pair"), s, e, t[s + 1 : e], line_at(t, s), line_at(t[:s] + t[s + 1 : e] + t[e + 1 :], s)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, s, e, t[s + 1 : e]) for i, t in zip(b["id"], b["text"]) if t for s, e in bracket_pairs(t, pairs)]
-            yield pd.DataFrame(rows, columns=["id", "start", "end", "inner"])
+            for i, t in zip(b["id"], b["text"]):
+                if t and (rows := [(i, *variant(t, s, e)) for s, e in bracket_pairs(t, pairs)]):
+                    yield pd.DataFrame(rows, columns=["id", "mode", "start", "end", "inner", "line", "modified"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, mode string, start long, end long, inner string, line string, modified string")
+
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, start long, end long, inner string")
+def remove_parentheses(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> DataFrame:
+    """The variants of all pairs of parentheses but those whose first one is a loop's own: its deepest node is FOR_STMT.
+
+    nodes: tree_id (the text's identifier), path, kind, start, end.  Adds node_kind, null outside all nodes.
+    """
+    found = remove_pairs(docs, id_col, text_col, {"(": ")"})
+    kinds = node_at(nodes, found.select(F.col("id").alias("tree_id"), F.col("start").alias("offset"))).select(F.col("tree_id").alias("id"), F.col("offset").alias("start"), F.col("kind").alias("node_kind"))
+    return found.join(kinds, ["id", "start"], "left").where("node_kind is null or node_kind <> 'FOR_STMT'")
 
 
 def lambda_capture(c: Column, mode: str) -> Column:
@@ -97,10 +170,47 @@ def lambda_capture(c: Column, mode: str) -> Column:
     }[mode]
 
 
-def add_asterisk(nodes: DataFrame, line: str = "line") -> DataFrame:
-    """nodes: kind, type_kind, name_col (0-based place of the declared name in ``line``).  Inserts an asterisk before the name."""
-    eligible = F.col("kind").isin("VAR_DECL", "PARM_DECL", "FIELD_DECL", "DECL_REF_EXPR") & (F.col("type_kind") != "POINTER")
-    return nodes.where(eligible).dropDuplicates(["file", "offset"]).withColumn("modified", F.concat(F.expr(f"substr({line}, 1, name_col)"), F.lit("*"), F.expr(f"substr({line}, name_col + 1)")))
+def add_asterisk(nodes: DataFrame, main: str = "main") -> DataFrame:
+    """A variant for each declaration or reference that is no pointer: an asterisk before its name, or after the type it refers to.
+
+    nodes: file, ``main`` (the file that is changed; nodes of others are left out), text, kind, type_kind, start, name_start
+    (first identifier) and type_ref_end (of the first TYPE_REF child), null if there is none, referenced_kind.  Adds at, line, modified.
+    """
+    declares = F.col("kind").isin("VAR_DECL", "PARM_DECL", "FIELD_DECL")
+    eligible = (declares | (F.col("kind") == "DECL_REF_EXPR")) & (F.col("type_kind") != "POINTER") & (F.col("file") == F.col(main)) & ~F.col("referenced_kind").eqNullSafe("OVERLOADED_DECL_REF")
+    at = F.when(declares, F.coalesce("type_ref_end", "name_start", "start")).otherwise(F.col("start"))
+    placed = nodes.where(eligible).withColumn("at", at.cast("int")).dropDuplicates(["file", "at"])
+    changed = F.concat(F.expr("substr(text, 1, at)"), F.lit("*"), F.expr("substr(text, at + 1)"))
+    return placed.withColumn("line", line_at_offset(F.col("text"), F.col("at"))).withColumn("modified", line_at_offset(changed, F.col("at")))
+
+
+def _of_lines(change):
+    return lambda docs, id_col, text_col: change(lines(docs, id_col, text_col)).select(F.col(id_col).alias("id"), "mode", "line", "modified")
+
+
+def _captures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Each capture list of a text in each mode."""
+    found = docs.select(F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"\[[^\[\]]*\]"), F.lit(0))).alias("line"))
+    forms = F.array(*(F.struct(F.lit(m).alias("mode"), lambda_capture(F.col("line"), m).alias("modified")) for m in CAPTURES))
+    return found.withColumn("v", F.explode(forms)).select("id", "v.mode", "line", "v.modified")
+
+
+#: Source modes and what makes their variants: id, mode, line, modified.
+DISPATCH = {
+    "remove_parentheses": lambda docs, i, t: remove_pairs(docs, i, t, {"(": ")"}).select("id", "mode", "line", "modified"),
+    "replace_colon_with_semicolon": _of_lines(lambda rows: replace_symbol(rows, ":", ";").withColumn("mode", F.lit("replace_colon_with_semicolon"))),
+    "replace_all": _of_lines(replace_all),
+    "remove_single": _of_lines(delete_symbols),
+    "remove_pair": lambda docs, i, t: remove_pairs(docs, i, t).select("id", "mode", "line", "modified"),
+    "lambda_captures": _captures,
+}
+
+
+def variants(docs: DataFrame, mode: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All variants of a source mode: id, mode, line, modified."""
+    if mode not in DISPATCH:
+        raise ValueError(f"mode: {mode!r}")
+    return DISPATCH[mode](docs, id_col, text_col)
 
 
 def apply_variant(text: Column, line_no: Column, modified: Column) -> Column:

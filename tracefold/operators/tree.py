@@ -49,3 +49,30 @@ def node_at(nodes: DataFrame, offsets: DataFrame, width: int = 4096) -> DataFram
     asked = offsets.withColumn("bin", (F.col("offset") / width).cast("long"))
     hit = asked.join(spread, ["tree_id", "bin"]).where("start <= offset and offset < end")
     return hit.groupBy("tree_id", "offset").agg(F.max_by("kind", F.struct(F.size("path"), F.col("kind"))).alias("kind"))
+
+
+def first_identifiers(tokens: DataFrame) -> DataFrame:
+    """tokens: tree_id, path, pos, kind, spelling.  The first IDENTIFIER of each node: tree_id, path, spelling, pos."""
+    return tokens.where("kind = 'IDENTIFIER'").groupBy("tree_id", "path").agg(F.min_by("spelling", F.struct("pos", "spelling")).alias("spelling"), F.min("pos").alias("pos"))
+
+
+def parentheses(nodes: DataFrame) -> DataFrame:
+    """The first opening and last closing parenthesis in each call and function: tree_id, path, kind, side, pos.  nodes also have file, main and text."""
+    inside = F.expr("substr(text, start + 1, end - start)")
+    own = nodes.where("kind in ('CALL_EXPR', 'FUNCTION_DECL') and file = main").withColumn("inside", inside)
+    left, right = F.instr("inside", "("), F.char_length("inside") - F.instr(F.reverse("inside"), ")")
+    sides = F.array(F.when(left > 0, F.struct(F.lit("left").alias("side"), (F.col("start") + left - 1).cast("long").alias("pos"))), F.when(F.col("inside").contains(")"), F.struct(F.lit("right").alias("side"), (F.col("start") + right).cast("long").alias("pos"))))
+    return own.select("tree_id", "path", "kind", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("s")).select("tree_id", "path", "kind", "s.*")
+
+
+def parenthesis_owner(nodes: DataFrame, places: DataFrame) -> DataFrame:
+    """The construct a parenthesis is part of: the deepest node around it that is neither UNEXPOSED_EXPR nor DECL_REF_EXPR.
+
+    nodes: tree_id, path, kind, line_start, line_end, col_start, col_end (both ends inside).  places: tree_id, line, col, symbol; other
+    symbols than parentheses have no owner.  Returns tree_id, line, col, kind (null if none).
+    """
+    asked = places.where("symbol in ('(', ')')")
+    spread = nodes.withColumn("line", F.explode(F.sequence("line_start", "line_end")))  # an equi-join on the line
+    around = asked.join(spread, ["tree_id", "line"]).where("col_start <= col and col <= col_end and kind not in ('UNEXPOSED_EXPR', 'DECL_REF_EXPR')")
+    owner = around.groupBy("tree_id", "line", "col").agg(F.max_by("kind", F.struct(F.size("path"), F.col("path"))).alias("kind"))
+    return asked.select("tree_id", "line", "col").join(owner, ["tree_id", "line", "col"], "left")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +46,22 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share (spark.checkpoint.dir); a fresh one on a local master that names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tracefold-")
+    return found.rstrip("/")
+
+
+#: Two or three lines of source with nested pairs, doubled symbols, a continued line and a parenthesis that nothing closes.
+CODE = """concat('for (i = 0; a::b == c[', cast(event_id % 7 AS {s}), ']; i++) {{ f(x, {{y < z, [k]}}, g<T<U>>(q)); }}', {nl}, '::h ? p : (r = ', event_type, '); ::: ===', CASE WHEN event_id % 5 = 0 THEN concat({slash}, {nl}, ' (s') ELSE '' END)"""
+
+
 def argv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, seed, argv."""
+    """event_id, argv."""
     text = F.expr(
         "concat('clang', CASE WHEN user_id % 2 = 0 THEN '++' ELSE '' END, ' -c -Iinc', cast(user_id % 5 AS STRING), ' -o out.o -MF dep', cast(event_id % 7 AS STRING), '.d -std=c++17 -Wall %clang_cc1 %itanium_abi_triple src', cast(user_id AS STRING), CASE WHEN event_type = 'click' THEN '.c' ELSE '.cpp' END)"
     )

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import commands, text
-from ..functions.templates import Compiler, is_valid
+from ..functions.templates import Compiler
 from ..operators import coverage, match, mutate, tree
 from . import inputs
 from .inputs import ARGV_SQL, LOG_SQL, MESSAGES_SQL, RULES, RULES_SQL, table
@@ -62,8 +62,7 @@ def match_all_counts_batched(spark, sf):
 
 @query(f"SELECT message FROM {MATCH_SQL} WHERE name IS NULL")
 def unmatched_messages(spark, sf):
-    rows = inputs.messages(spark, sf).select("message")
-    return match.unmatched(rows, match.match_distinct(rows, RULES, every=False))
+    return match.unmatched(match.match_distinct(inputs.messages(spark, sf).select("message"), RULES, every=False))
 
 
 @query(rf"SELECT event_id, regexp_replace(content, chr(27) || '\[[0-?]*[ -/]*[@-~]', '', 'g') AS clean FROM {LOG_SQL}")
@@ -97,14 +96,18 @@ def merge_count_maps(spark, sf):
     return coverage.merge_counts(*maps)
 
 
-NAMES_SQL = "(SELECT p_partkey, concat(CASE WHEN p_size % 3 = 0 THEN 'warn_' ELSE 'err_' END, CASE p_size % 4 WHEN 1 THEN 'ARM_' WHEN 2 THEN 'openmp_' ELSE '' END, replace(lower(p_type), ' ', '_'), '_', p_partkey % 50) AS name FROM part)"
+_WORDS = "'hip_', 'Cuda_', 'OMP_', 'acc_', 'Microsoft_', 'ObjC_', 'mips_', 'AArch64_', 'ppe_', 'x_MS_', 'x_amd_', 'Apple_', 'macOS_', 'x_ARM_', 'arm_', 'ms_', 'amd_', 'openmp_', 'charm_', ''"
+_NAME = "concat(CASE WHEN p_size % 3 = 0 THEN 'warn_' ELSE 'err_' END, {word}, replace(lower(p_type), ' ', '_'), '_', p_partkey % 50)"
+NAMES_SQL = f"(SELECT p_partkey, {_NAME.format(word=f'list_extract([{_WORDS}], (p_partkey % 20 + 1)::INT)')} AS name FROM part)"
 
 
 def _names(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", F.expr("concat(CASE WHEN p_size % 3 = 0 THEN 'warn_' ELSE 'err_' END, CASE p_size % 4 WHEN 1 THEN 'ARM_' WHEN 2 THEN 'openmp_' ELSE '' END, replace(lower(p_type), ' ', '_'), '_', cast(p_partkey % 50 as string))").alias("name"))
+    return table(spark, sf, "part").select("p_partkey", F.expr(_NAME.format(word=f"element_at(array({_WORDS}), cast(p_partkey % 20 + 1 as int))")).alias("name"))
 
 
-@query(f"SELECT p_partkey, name FROM {NAMES_SQL} WHERE NOT regexp_matches(lower(name), '{'|'.join(coverage.PLATFORMS)}')")
+@query(f"""SELECT p_partkey, name FROM {NAMES_SQL} WHERE NOT (contains(lower(name), 'hip') OR contains(lower(name), 'cuda') OR contains(lower(name), 'omp') OR contains(lower(name), 'acc')
+ OR contains(lower(name), 'microsoft') OR contains(lower(name), 'objc') OR contains(lower(name), 'mips') OR contains(lower(name), 'aarch64') OR contains(lower(name), 'ppe') OR contains(lower(name), '_ms')
+ OR contains(lower(name), '_amd') OR contains(lower(name), 'apple') OR contains(lower(name), 'macos') OR contains(lower(name), '_arm'))""")
 def catalog_platform_filter(spark, sf):
     return _names(spark, sf).where(~coverage.contains_any(F.col("name")))
 
@@ -114,18 +117,30 @@ def catalog_err_filter(spark, sf):
     return _names(spark, sf).where(F.col("name").contains("err_"))
 
 
-@query("SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey) AS place FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40)")
+def _gap(spark, sf):
+    seen = table(spark, sf, "lineitem").where("l_returnflag = 'R' and l_quantity > 40").select(F.col("l_partkey").alias("p_partkey"))
+    return coverage.gap(table(spark, sf, "part").select("p_partkey", "p_name"), seen, "p_partkey")
+
+
+GAP_SQL = "SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40)"
+
+
+@query(GAP_SQL)
 def coverage_gap(spark, sf):
-    from pyspark.sql import Window
+    """The place in the catalogue is the part's key, so no task needs all rows to number them."""
+    return _gap(spark, sf)
 
-    seen = table(spark, sf, "lineitem").where("l_returnflag = 'R' and l_quantity > 40").select(F.col("l_partkey").alias("p_partkey"))
-    return coverage.gap(table(spark, sf, "part").select("p_partkey", "p_name"), seen, "p_partkey").withColumn("place", F.row_number().over(Window.orderBy("p_partkey")).cast("long"))
+
+@query(f"{GAP_SQL} ORDER BY p_partkey LIMIT 100 OFFSET 50")
+def coverage_gap_slice(spark, sf):
+    return coverage.sliced(_gap(spark, sf), "p_partkey", 50, 150)
 
 
-@query("SELECT p_type FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_size > 48)")
+@query("SELECT concat(p_type, p_brand) AS name FROM part WHERE concat(p_type, p_brand) NOT IN (SELECT concat(p_type, p_brand) FROM part WHERE p_size > 48)")
 def bag_anti(spark, sf):
-    p = table(spark, sf, "part").select("p_type", "p_size")
-    return coverage.gap(p.select("p_type"), p.where("p_size > 48"), "p_type")
+    """Names that repeat stay as often as they are listed."""
+    p = table(spark, sf, "part").select(F.concat("p_type", "p_brand").alias("name"), "p_size")
+    return coverage.gap(p.select("name"), p.where("p_size > 48"), "name")
 
 
 @query("SELECT name, n, row_number() OVER (ORDER BY n DESC, name) AS place FROM (SELECT event_type AS name, count(*) AS n FROM events GROUP BY 1)")
@@ -164,9 +179,7 @@ def err_conditional_count(spark, sf):
 def pending_work(spark, sf):
     customer, nation = table(spark, sf, "customer"), table(spark, sf, "nation")
     done = table(spark, sf, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_regionkey").alias("r_regionkey")).distinct()
-    # every customer has an entry per region: an array of the five regions, exploded, is no join
-    regions = F.array(*(F.lit(r.r_regionkey) for r in table(spark, sf, "region").select("r_regionkey").collect()))
-    return customer.select("c_custkey", F.explode(regions).alias("r_regionkey")).join(done, ["c_custkey", "r_regionkey"], "left_anti")
+    return coverage.pending(customer.select("c_custkey"), table(spark, sf, "region").select("r_regionkey"), done, ["c_custkey", "r_regionkey"])
 
 
 @query("SELECT l_orderkey, l_linenumber, coalesce(p_name, '') AS name FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
@@ -199,12 +212,16 @@ def line_number_at_offset(spark, sf):
 ANNOTATED = "concat(text, '\n// expected-error {{ bad thing ', cast(doc_id as string), ' }}\nx; // expected-error@+1{{other}} expected-error 2 {{no}}')"
 
 
-@query(r"""SELECT doc_id, full_text, trim(content) AS content FROM (
-SELECT doc_id, unnest(regexp_extract_all(t, '(expected-error(?:@(?:\+\d+|[\w.]+:\*?))?)\s*\{\{([^}]+)\}\}', 0)) AS full_text, unnest(regexp_extract_all(t, '(expected-error(?:@(?:\+\d+|[\w.]+:\*?))?)\s*\{\{([^}]+)\}\}', 2)) AS content
-FROM (SELECT doc_id, concat(text, chr(10), '// expected-error {{ bad thing ', doc_id, ' }}', chr(10), 'x; // expected-error@+1{{other}} expected-error 2 {{no}}') AS t FROM documents))""")
+_ANNOTATION = r"(expected-error(?:@(?:\+\d+|[\w.]+:\*?))?)\s*\{\{([^}]+)\}\}"
+
+
+@query(rf"""SELECT doc_id, full_text, trim(content) AS content, CASE k WHEN 1 THEN breaks + 2 ELSE breaks + 3 END AS line FROM (
+SELECT doc_id, length(text) - length(replace(text, chr(10), '')) AS breaks, unnest(range(1, len(regexp_extract_all(t, '{_ANNOTATION}', 0)) + 1)) AS k,
+ unnest(regexp_extract_all(t, '{_ANNOTATION}', 0)) AS full_text, unnest(regexp_extract_all(t, '{_ANNOTATION}', 2)) AS content
+FROM (SELECT doc_id, text, concat(text, chr(10), '// expected-error {{{{ bad thing ', doc_id, ' }}}}', chr(10), 'x; // expected-error@+1{{{{other}}}} expected-error 2 {{{{no}}}}') AS t FROM documents WHERE text IS NOT NULL))""")
 def expected_annotations(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.explode(text.expected_annotations(F.expr(ANNOTATED))).alias("a"))
-    return d.select("doc_id", F.col("a")["0"].alias("full_text"), F.col("a")["1"].alias("content")) if "0" in d.schema["a"].dataType.names else d.select("doc_id", F.col("a.full").alias("full_text"), F.col("a.content").alias("content"))
+    return d.select("doc_id", F.col("a.full").alias("full_text"), F.col("a.content").alias("content"), F.col("a.line").alias("line"))
 
 
 @query("SELECT conv_id, turn, replace(replace(replace(replace(replace(c, '```python', ''), '```cpp', ''), '```c++', ''), '```c', ''), '```', '') AS code FROM (SELECT conv_id, turn, concat(CASE turn % 4 WHEN 0 THEN '```cpp' WHEN 1 THEN '```c++' WHEN 2 THEN '```c' ELSE '```python' END, chr(10), text, chr(10), '```') AS c FROM conversations)")
@@ -236,11 +253,53 @@ def normalise_summary(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", text.normalise_summary(t).alias("summary"))
 
 
-@query()
+TEMPLATES = (
+    "expected %0", "use of %select{class|struct|%1}0 type", "%plural{1:error|:errors}0 in %q1", "%diff{from $ to $|types}0,1 (%s2) %ordinal3", 'a.b*c? "%0"', "%sub{base}0,1 and %select{a|%select{b|c}1}0",
+    "%s10 of %10", "%diff{x %select{p|q}2 $|y}0,1", "%select{a|%select{b|%select{c|d}2}1}0", "%diff{$ %select{$|z}0|w}0,1", "%select{%plural{1:a|:b}0|x}1", "%diff{a $|b}10,1 c",
+)
+
+
+@query(r"""SELECT * FROM (VALUES
+ (0, 'compat', 'expected .*'), (1, 'compat', 'use of (class|struct|.*) type'), (2, 'compat', '(error|errors) in .*'), (3, 'compat', '(from .* to .*|types) \(.*\) .*'),
+ (4, 'compat', 'a\.b\*c\? .*'), (5, 'compat', '.* and (a|(b|c))'), (6, 'compat', '.* of .*0'), (7, 'compat', '(x (p|q) .*|y)'), (8, 'compat', '(a|(b|%select\{c|d)\}1)'),
+ (9, 'compat', '(.* (\.*|z)|w)'), (10, 'compat', '(%plural\{1:a|:b\}0|x)'), (11, 'compat', '(a .*|b),1 c'),
+ (0, 'fixed', 'expected .*'), (1, 'fixed', 'use of (class|struct|.*) type'), (2, 'fixed', '(error|errors) in .*'), (3, 'fixed', '(from .* to .*|types) \(.*\) .*'),
+ (4, 'fixed', 'a\.b\*c\? ".*"'), (5, 'fixed', '.* and (a|(b|c))'), (6, 'fixed', '.* of .*'), (7, 'fixed', '(x (p|q) .*|y)'), (8, 'fixed', '(a|(b|(c|d)))'),
+ (9, 'fixed', '(.* (.*|z)|w)'), (10, 'fixed', '((a|b)|x)'), (11, 'fixed', '(a .*|b) c')) AS t(template_id, mode, pattern)""")
 def template_to_regex(spark, sf):
-    templates = ["expected %0", "use of %select{class|struct|%1}0 type", "%plural{1:error|:errors}0 in %q1", "%diff{from $ to $|types}0,1 (%s2) %ordinal3", "a.b*c? \"%0\"", "%sub{base}0,1 and %select{a|%select{b|c}1}0"]
-    rows = [(i, m, t, p, is_valid(p)) for m in ("compat", "fixed") for i, t in enumerate(templates) for p in [Compiler(m).compile(t)]]
-    return spark.createDataFrame(rows, "template_id int, mode string, summary string, pattern string, valid boolean")
+    rows = [(i, m, Compiler(m).compile(t)) for m in ("compat", "fixed") for i, t in enumerate(TEMPLATES)]
+    return spark.createDataFrame(rows, "template_id int, mode string, pattern string")
+
+
+@query("""SELECT event_id, concat_ws(',', coalesce(a.p_name, ''), coalesce(b.p_name, ''), coalesce(a.p_name, '')) AS names FROM events LEFT JOIN part a ON a.p_partkey = user_id LEFT JOIN part b ON b.p_partkey = event_id % 5000""")
+def diag_names_of_message(spark, sf):
+    """Identifiers in a message to their names; two are known or not, one repeats."""
+    t = F.expr("concat('x DiagID: ', user_id, '\ny DiagID:', event_id % 5000, '\nDiagID: none DiagID: ', user_id)")
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("row"), text.diag_ids(t).alias("ids"))
+    found = coverage.names_of(rows, "ids", table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey", "p_name")
+    return found.select(F.col("row").alias("event_id"), F.array_join("names", ",").alias("names"))
+
+
+@query(r"""SELECT conv_id, turn, array_to_string(list_filter(string_split(replace(concat('// RUN: a', chr(10), text), '. ', concat('.', chr(10), '// RUN: ')), chr(10)), lambda x: starts_with(x, '// RUN:'))[1:5], '|') AS lines FROM conversations WHERE text IS NOT NULL""")
+def run_lines(spark, sf):
+    t = F.replace(F.concat(F.lit("// RUN: a\n"), F.col("text")), F.lit(". "), F.lit(".\n// RUN: "))
+    return table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", F.array_join(text.run_lines(t), "|").alias("lines"))
+
+
+@query("""SELECT event_id, concat_ws('|', '#pragma omp for', CASE WHEN event_id % 2 = 0 THEN NULL ELSE 'for (;;)' END, CASE WHEN event_id % 2 = 0 THEN concat('f(', user_id, ');') END) AS scope, CASE WHEN event_id % 2 = 0 THEN 3 ELSE 3 END AS last
+ FROM events WHERE event_id % 5 <> 0""")
+def pragma_scope(spark, sf):
+    """The pragma is on line 2; on every fifth text line 2 is another."""
+    t = F.expr("concat('int a;\n', CASE WHEN event_id % 5 = 0 THEN 'x' ELSE ' #pragma omp for ' END, '\n', CASE WHEN event_id % 2 = 0 THEN concat('  f(', user_id, ');') ELSE ' for (;;)' END, '\n}\n;')")
+    rows = table(spark, sf, "events").select("event_id", text.pragma_scope(t, F.lit(2)).alias("s")).where("s is not null")
+    return rows.select("event_id", F.array_join("s.lines", "|").alias("scope"), F.col("s.end").alias("last"))
+
+
+@query("""SELECT l_partkey, coalesce(solved_at, places) AS n_small, coalesce(solved_at, places) - CASE WHEN solved_by = 'small' THEN 1 ELSE 0 END AS n_large, solved_by, solved_at FROM (
+ SELECT l_partkey, max(k) AS places, min(k) FILTER (WHERE s OR l) AS solved_at, arg_min(CASE WHEN s THEN 'small' ELSE 'large' END, k) FILTER (WHERE s OR l) AS solved_by FROM (
+  SELECT l_partkey, l_quantity > 44 AS s, l_discount > 0.07 AS l, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem) WHERE k <= 3 GROUP BY 1)""")
+def attempts_until_success(spark, sf):
+    return coverage.attempts(table(spark, sf, "lineitem"), "l_partkey", ["l_orderkey", "l_linenumber"], F.col("l_quantity") > 44, F.col("l_discount") > 0.07)
 
 
 # ---- commands ----
@@ -264,6 +323,16 @@ def std_sweep(spark, sf):
     return swept.select("event_id", F.substring(F.element_at("c", -1), 9, 9).alias("standard"), F.array_join("c", " ").alias("command"))
 
 
+CL_ARGV = "list_concat(argv, ['-fopenmp-version=51', '-fopenmp'])"
+
+
+@query(f"SELECT event_id, s AS standard, array_to_string(list_append(list_filter({CL_ARGV}, lambda x: NOT starts_with(x, '-fopenmp-version')), '-cl-std=clc++' || s), ' ') AS command FROM {ARGV_SQL}, (SELECT unnest(['1.0', '1.1', '1.2', '2.0', '2.1', '3.0']) AS s)")
+def cl_sweep(spark, sf):
+    argv = F.concat("argv", F.array(F.lit("-fopenmp-version=51"), F.lit("-fopenmp")))
+    swept = inputs.argv(spark, sf).select("event_id", F.explode(commands.cl_sweep(argv)).alias("c"))
+    return swept.select("event_id", F.substring(F.element_at("c", -1), 14, 9).alias("standard"), F.array_join("c", " ").alias("command"))
+
+
 ORDERED_SQL = f"(SELECT event_id, argv, list_transform(list_sort(list_transform(argv, lambda a, i: struct_pack(k := md5(concat_ws('|', event_id, i - 1, a)), a := a))), lambda s: s.a) AS dealt FROM {ARGV_SQL})"
 
 
@@ -319,11 +388,76 @@ def mutate_sample_k(spark, sf):
     return mutate.sample_per_group(v, ["doc_id", "symbol"], order, 1)
 
 
-@query("SELECT page_id, md5(replace(inner_text, chr(13), '')) AS inner_md5, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([^<>]*)>', 1)) AS inner_text FROM pages) GROUP BY ALL")
+CODE_SQL = f"(SELECT event_id, user_id, event_type, {inputs.CODE.format(s='VARCHAR', nl='chr(10)', slash='chr(92)')} AS text FROM events)"
+
+
+def _code(spark, sf):
+    return table(spark, sf, "events").select("event_id", "user_id", "event_type", F.expr(inputs.CODE.format(s="STRING", nl="char(10)", slash="char(92)")).alias("text"))
+
+
+#: Pairs by depth: a bracket that opens at a level is closed by the next one of its kind there.
+PAIRS_SQL = r"""(
+ SELECT event_id, user_id, mode, pos AS start_pos, close_pos AS end_pos, concat(CASE WHEN pos = 0 THEN '' ELSE string_split(left(text, pos), chr(10))[-1] END, regexp_extract(substr(text, pos + 1), '^((?:[^\n]*\\\n)*[^\n]*)', 1)) AS line,
+  concat(CASE WHEN pos = 0 THEN '' ELSE string_split(left(text, pos), chr(10))[-1] END, regexp_extract(concat(substr(text, pos + 2, close_pos - pos - 1), substr(text, close_pos + 2)), '^((?:[^\n]*\\\n)*[^\n]*)', 1)) AS modified
+ FROM (SELECT *, lead(pos) OVER w AS close_pos, lead(step) OVER w AS next_step FROM (
+   SELECT *, sum(step) OVER (PARTITION BY event_id, mode ORDER BY pos) + CASE WHEN step < 0 THEN 1 ELSE 0 END AS level FROM (
+     SELECT *, CASE WHEN c IN ('(', ')') THEN 'remove_parentheses' WHEN c IN ('[', ']') THEN 'remove_brackets' WHEN c IN ('{', '}') THEN 'remove_braces' ELSE 'remove_angle' END AS mode, CASE WHEN c IN ('(', '[', '{', '<') THEN 1 ELSE -1 END AS step
+     FROM (SELECT event_id, user_id, text, pos, substr(text, pos + 1, 1) AS c FROM (SELECT event_id, user_id, text, unnest(range(length(text))) AS pos FROM CODE)) WHERE c IN ('(', ')', '[', ']', '{', '}', '<', '>')))
+   WINDOW w AS (PARTITION BY event_id, mode, level ORDER BY pos)) WHERE step = 1 AND next_step = -1)""".replace("CODE", CODE_SQL)
+
+
+@query(f"SELECT event_id, mode, start_pos, end_pos, line, modified FROM {PAIRS_SQL}")
 def mutate_remove_pair(spark, sf):
-    found = mutate.remove_pairs(table(spark, sf, "pages"), "page_id", "html", {"<": ">"})
-    innermost = found.where(~F.col("inner").contains("<") & ~F.col("inner").contains(">"))
-    return innermost.groupBy(F.col("id").alias("page_id"), F.md5(F.replace("inner", F.lit("\r"), F.lit(""))).alias("inner_md5")).agg(F.count(F.lit(1)).alias("n"))
+    return mutate.remove_pairs(_code(spark, sf), "event_id", "text").select(F.col("id").alias("event_id"), "mode", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "line", "modified")
+
+
+@query(f"SELECT event_id, mode, start_pos FROM (SELECT *, row_number() OVER (PARTITION BY event_id, mode ORDER BY md5(concat_ws('|', 7, event_id, start_pos))) AS k FROM {PAIRS_SQL}) WHERE k <= 1")
+def mutate_remove_pair_sampled(spark, sf):
+    found = mutate.remove_pairs(_code(spark, sf), "event_id", "text").select(F.col("id").alias("event_id"), "mode", F.col("start").alias("start_pos"))
+    return mutate.sample_per_group(found, ["event_id", "mode"], F.md5(F.concat_ws("|", F.lit("7"), F.col("event_id").cast("string"), F.col("start_pos").cast("string"))), 1)
+
+
+@query(f"SELECT event_id, start_pos, modified, CASE WHEN start_pos < 70 THEN 'COMPOUND_STMT' ELSE 'TRANSLATION_UNIT' END AS node_kind FROM {PAIRS_SQL} WHERE mode = 'remove_parentheses' AND start_pos <> 4")
+def mutate_remove_parentheses(spark, sf):
+    """The loop's own pair, at place 4, stays: its deepest node is the loop's."""
+    node = lambda path, kind, a, b: F.struct(F.array(*map(F.lit, path)).alias("path"), F.lit(kind).alias("kind"), F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end"))
+    code = _code(spark, sf)
+    nodes = code.select(F.col("event_id").alias("tree_id"), F.explode(F.array(node([0], "TRANSLATION_UNIT", 0, 400), node([0, 0], "FOR_STMT", 0, 70), node([0, 0, 3], "COMPOUND_STMT", 30, 70))).alias("n")).select("tree_id", "n.*")
+    return mutate.remove_parentheses(code, "event_id", "text", nodes).select(F.col("id").alias("event_id"), F.col("start").alias("start_pos"), "modified", "node_kind")
+
+
+def _replace_sql(mode: str, old: str, new: str) -> str:
+    return f"SELECT event_id, line_no, '{mode}' AS mode, pos, concat(left(line, pos), '{new}', substr(line, pos + {len(old) + 1})) AS modified FROM (SELECT *, unnest(range(length(line))) AS pos FROM (SELECT event_id, i - 1 AS line_no, l[i] AS line FROM (SELECT event_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM {CODE_SQL}))) WHERE substr(line, pos + 1, {len(old)}) = '{old}'"
+
+
+@query(" UNION ALL ".join(_replace_sql(*x) for x in (
+    ("replace_colon_with_double_colon", ":", "::"), ("replace_double_colon_with_colon", "::", ":"), ("replace_colon_with_semicolon", ":", ";"), ("replace_colon_with_comma", ":", ","), ("replace_semicolon_with_colon", ";", ":"),
+    ("replace_semicolon_with_comma", ";", ","), ("replace_comma_with_colon", ",", ":"), ("replace_equal_with_double_equal", "=", "=="), ("replace_double_equal_with_equal", "==", "="),
+)))
+def mutate_replace_all(spark, sf):
+    rows = mutate.replace_all(mutate.lines(_code(spark, sf), "event_id", "text"))
+    return rows.select("event_id", F.col("line_no").cast("long").alias("line_no"), "mode", F.col("at").cast("long").alias("pos"), "modified")
+
+
+@query("""SELECT event_id, place, concat(left(text, place), '*', substr(text, place + 1)) AS modified FROM (
+ SELECT event_id, text, unnest([CASE WHEN event_id % 3 = 0 THEN 3 ELSE 4 END, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 9 END]) AS place FROM (SELECT event_id, 'int value = w' || user_id || ';' AS text FROM events)) WHERE place IS NOT NULL""")
+def mutate_add_asterisk(spark, sf):
+    """Per text a declaration (twice: repeated places count once), a reference, a pointer, an overloaded reference and a node of another file."""
+    code = table(spark, sf, "events").select(F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("main"), "event_id", F.expr("concat('int value = w', user_id, ';')").alias("text"))
+    fields = "kind string, type_kind string, start int, name_start int, type_ref_end int, referenced_kind string, elsewhere boolean"
+    node = lambda *v: F.struct(*(v_.cast(t).alias(n) if isinstance(v_, Column) else F.lit(v_).cast(t).alias(n) for v_, (n, t) in zip(v, (f.split() for f in fields.split(", ")))))
+    declared = node("VAR_DECL", "INT", 0, 4, F.when(F.col("event_id") % 3 == 0, 3), None, False)
+    reference = node("DECL_REF_EXPR", "INT", 9, None, None, F.when(F.col("event_id") % 4 == 0, "OVERLOADED_DECL_REF"), False)
+    others = [node("PARM_DECL", "POINTER", 0, 5, None, None, False), node("CALL_EXPR", "INT", 0, 6, None, None, False), node("FIELD_DECL", "INT", 0, 7, None, None, True)]
+    nodes = code.withColumn("n", F.explode(F.array(declared, declared, reference, *others))).select("event_id", "main", "text", "n.*")
+    nodes = nodes.withColumn("file", F.when(F.col("elsewhere"), "header").otherwise(F.col("main")))
+    return mutate.add_asterisk(nodes).select("event_id", F.col("at").alias("place"), "modified")
+
+
+@query(f"SELECT event_id, mode, count(*) AS n FROM {PAIRS_SQL} GROUP BY ALL")
+def variants_by_mode(spark, sf):
+    """Variants through the table of modes, as a run asks for them by name."""
+    return mutate.variants(_code(spark, sf), "remove_pair", "event_id").groupBy(F.col("id").alias("event_id"), "mode").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT event_id, unnest(['empty','by_value','by_reference','drop_first','prepend_reference','prepend_value','unknown','toggle']) AS mode,
@@ -338,7 +472,7 @@ def mutate_lambda_capture(spark, sf):
 
 
 def _nodes(spark, sf, version: int) -> DataFrame:
-    """region -> nation -> customer as one tree; the second version renames, retypes and drops some."""
+    """region -> nation -> customer as one tree; the second version renames, retypes, moves, adds and drops some."""
     r, n, c = (table(spark, sf, t) for t in ("region", "nation", "customer"))
     as_int = lambda x: F.col(x).cast("int")
     parts = [
@@ -346,11 +480,15 @@ def _nodes(spark, sf, version: int) -> DataFrame:
         n.select(F.array(as_int("n_regionkey"), as_int("n_nationkey")).alias("path"), F.lit("NATION").alias("kind"), F.col("n_name").alias("spelling"), F.lit("").alias("type")),
         c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.array(as_int("n_regionkey"), as_int("n_nationkey"), as_int("c_custkey")).alias("path"), F.lit("CUSTOMER").alias("kind"), F.col("c_name").alias("spelling"), F.col("c_mktsegment").alias("type")),
     ]
-    out = reduce(DataFrame.unionByName, parts).withColumn("key", F.element_at("path", -1))
+    out = reduce(DataFrame.unionByName, parts).withColumn("key", F.element_at("path", -1)).withColumn("location", F.concat(F.lit("f.c:"), F.col("key").cast("string")))
     if version == 2:
         out = out.where("NOT (kind = 'CUSTOMER' AND key % 10 = 3) AND NOT (size(path) >= 2 AND path[1] = 7)")
-        out = out.withColumn("spelling", F.expr("CASE WHEN key % 4 = 1 THEN concat(spelling, 'x') ELSE spelling END")).withColumn("type", F.expr("CASE WHEN kind = 'CUSTOMER' AND key % 5 = 0 THEN 'OTHER' ELSE type END"))
-    return out.select(F.lit(1).alias("tree_id"), "path", "kind", "spelling", "type", F.lit("").alias("location"), F.lit(0).alias("children"))
+        out = out.withColumn("spelling", F.expr("CASE WHEN key % 4 = 1 THEN concat(spelling, 'x') ELSE concat('modified1_', spelling) END")).withColumn("type", F.expr("CASE WHEN kind = 'CUSTOMER' AND key % 5 = 0 THEN 'OTHER' ELSE type END"))
+        out = out.withColumn("location", F.expr("CASE WHEN key % 6 = 2 THEN concat(location, '0') ELSE concat('modified1_', location) END")).withColumn("kind", F.expr("CASE WHEN kind = 'CUSTOMER' AND key % 7 = 4 THEN 'GUEST' ELSE kind END"))
+        added = n.where("n_nationkey % 3 = 0").select(F.array(as_int("n_regionkey"), as_int("n_nationkey"), F.lit(9_000_000)).alias("path"), F.lit("CUSTOMER").alias("kind"), F.lit("new").alias("spelling"), F.lit("").alias("type"), F.lit(9_000_000).alias("key"), F.lit("f.c:0").alias("location"))
+        out = out.unionByName(added)
+    counts = out.where("size(path) > 1").groupBy(F.slice("path", F.lit(1), F.size("path") - 1).alias("path")).agg(F.count(F.lit(1)).cast("int").alias("children"))
+    return out.join(counts, "path", "left").select(F.lit(1).alias("tree_id"), "path", "kind", "spelling", "type", "location", F.coalesce("children", F.lit(0)).alias("children"))
 
 
 TREE_SQL = """(SELECT concat(r_regionkey) AS path, '' AS up, 'REGION' AS kind, r_name AS spelling, '' AS type, r_regionkey AS key, -1 AS nation FROM region
@@ -359,12 +497,19 @@ UNION ALL SELECT concat_ws('.', n_regionkey, n_nationkey, c_custkey), concat_ws(
 
 
 @query(f"""
-WITH t AS {TREE_SQL}
-SELECT path, 'name_changed' AS change FROM t WHERE key % 4 = 1 AND NOT (kind = 'CUSTOMER' AND key % 10 = 3) AND nation <> 7
-UNION ALL SELECT path, 'type_changed' FROM t WHERE kind = 'CUSTOMER' AND key % 5 = 0 AND nation <> 7
+WITH t AS {TREE_SQL}, kept AS (SELECT * FROM t WHERE NOT (kind = 'CUSTOMER' AND key % 10 = 3) AND nation <> 7),
+ sizes AS (SELECT path, (SELECT count(*) FROM t c WHERE c.up = t.path) AS before_n,
+   (SELECT count(*) FROM kept c WHERE c.up = t.path) + CASE WHEN kind = 'NATION' AND key % 3 = 0 THEN 1 ELSE 0 END AS after_n FROM t WHERE kind <> 'CUSTOMER' AND nation <> 7)
+SELECT path, 'name_changed' AS change FROM kept WHERE key % 4 = 1
+UNION ALL SELECT path, 'type_changed' FROM kept WHERE kind = 'CUSTOMER' AND key % 5 = 0
+UNION ALL SELECT path, 'position_changed' FROM kept WHERE key % 6 = 2
+UNION ALL SELECT path, 'node_changed' FROM kept WHERE kind = 'CUSTOMER' AND key % 7 = 4
+UNION ALL SELECT path, 'structure_change' FROM sizes WHERE before_n <> after_n
+UNION ALL SELECT concat_ws('.', n_regionkey, n_nationkey, 9000000), 'node_added' FROM nation WHERE n_nationkey % 3 = 0
 UNION ALL SELECT path, 'node_removed' FROM t WHERE (kind = 'NATION' AND nation = 7) OR (kind = 'CUSTOMER' AND nation <> 7 AND key % 10 = 3)
 """)
 def tree_diff(spark, sf):
+    """All seven kinds of change."""
     return tree.diff(_nodes(spark, sf, 1), _nodes(spark, sf, 2)).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"), "change")
 
 
@@ -382,6 +527,32 @@ def node_at_offset(spark, sf):
     return tree.node_at(n, at, 64).select(F.col("tree_id").alias("o_orderkey"), F.col("offset").alias("pos"), "kind")
 
 
+@query(f"""SELECT event_id, side, CASE side WHEN 'left' THEN 4 + strpos(substr(text, 5, 60), '(') - 1 ELSE 4 + length(substr(text, 5, 60)) - strpos(reverse(substr(text, 5, 60)), ')') END AS pos
+ FROM {CODE_SQL}, (SELECT unnest(['left', 'right']) AS side) WHERE event_id % 3 <> 1""")
+def parentheses_of_calls(spark, sf):
+    """A call from place 4 to 64 in each text; every third node is of another kind."""
+    kind = F.when(F.col("event_id") % 3 == 1, "IF_STMT").otherwise("CALL_EXPR")
+    nodes = _code(spark, sf).select(F.col("event_id").alias("tree_id"), F.array(F.lit(0)).alias("path"), kind.alias("kind"), F.lit("m").alias("file"), F.lit("m").alias("main"), "text", F.lit(4).alias("start"), F.lit(64).alias("end"))
+    return tree.parentheses(nodes).select(F.col("tree_id").alias("event_id"), "side", "pos")
+
+
+@query("SELECT l_orderkey, arg_min(concat('n', l_partkey), {'a': l_linenumber, 'b': concat('n', l_partkey)}) AS spelling, min(l_linenumber) AS pos FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1")
+def first_identifier(spark, sf):
+    tokens = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("tree_id"), F.array(F.lit(0)).alias("path"), F.col("l_linenumber").alias("pos"), F.when(F.col("l_returnflag") != "N", "IDENTIFIER").otherwise("PUNCTUATION").alias("kind"), F.concat(F.lit("n"), F.col("l_partkey").cast("string")).alias("spelling"))
+    return tree.first_identifiers(tokens).select(F.col("tree_id").alias("l_orderkey"), "spelling", "pos")
+
+
+@query("""SELECT event_id, user_id % 40 AS col, CASE WHEN user_id % 40 >= 30 THEN NULL WHEN user_id % 40 >= 10 AND user_id % 40 <= 19 AND event_id % 4 < 2 THEN 'CALL_EXPR' ELSE 'FUNCTION_DECL' END AS kind FROM events WHERE event_id % 5 <> 0""")
+def parenthesis_owner(spark, sf):
+    """A function in columns 0 to 29, in it a call or reference in 10 to 19, in that an unexposed expression; every fifth place is no parenthesis."""
+    e = table(spark, sf, "events")
+    node = lambda path, kind, a, b: F.struct(F.array(*map(F.lit, path)).alias("path"), kind.alias("kind"), F.lit(1).alias("line_start"), F.lit(3).alias("line_end"), F.lit(a).alias("col_start"), F.lit(b).alias("col_end"))
+    inner = F.when(F.col("event_id") % 4 < 2, "CALL_EXPR").otherwise("DECL_REF_EXPR")
+    nodes = e.select(F.col("event_id").alias("tree_id"), F.explode(F.array(node([0], F.lit("FUNCTION_DECL"), 0, 29), node([0, 1], inner, 10, 19), node([0, 1, 0], F.lit("UNEXPOSED_EXPR"), 12, 15))).alias("n")).select("tree_id", "n.*")
+    places = e.select(F.col("event_id").alias("tree_id"), F.lit(2).alias("line"), (F.col("user_id") % 40).alias("col"), F.when(F.col("event_id") % 5 == 0, ";").otherwise(F.when(F.col("event_id") % 2 == 0, "(").otherwise(")")).alias("symbol"))
+    return tree.parenthesis_owner(nodes, places).select(F.col("tree_id").alias("event_id"), "col", "kind")
+
+
 # ---- streaming ----
 
 
@@ -391,12 +562,7 @@ def stream_label_counts(spark, sf):
 
     from ..streaming import ingest
 
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
-
-        found = "file://" + tempfile.mkdtemp(prefix="tracefold-")
-    base = f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{inputs.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     inputs.messages(spark, sf).select("message").write.parquet(f"{base}/in")
     stream = ingest.stream_log(spark, f"{base}/in", "message string", "parquet")
     ingest.run_available(ingest.label_counts(stream, RULES), f"{base}/out", f"{base}/state")

@@ -14,8 +14,8 @@ SCHEMA = "rule_ord long, file string, pos int, name string, kind string, summary
 
 
 def scan_definitions(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """file, text: one row per definition file."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", "*.td").option("recursiveFileLookup", str(recursive).lower())
+    """file, text: one row per definition file; below folders, files that cannot be read are skipped."""
+    reader = spark.read.option("ignoreCorruptFiles", str(recursive).lower()).option("wholetext", True).option("pathGlobFilter", "*.td").option("recursiveFileLookup", str(recursive).lower())
     return reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,16 @@ def read_folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("pathGlobFilter", "*.json").json(path)
 
 
+def count_lines(spark: SparkSession, path: str) -> int | str:
+    """Lines of a file, or a sentence if there is none."""
+    try:
+        return spark.read.text(path).count()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return "File not found. Please check the file path."
+
+
 def messages(*logs: DataFrame) -> DataFrame:
     """message of all logs; a tree log's is its error_message."""
     out = None

@@ -8,15 +8,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def run_variants(variants: DataFrame, runner: Callable[[list[str]], tuple[int, str]], command: str = "command") -> DataFrame:
-    """Adds status (SUCCESS or ERROR) and message.  ``runner`` takes a command and returns exit code and stderr."""
+def run_variants(variants: DataFrame, runner: Callable[[list[str]], tuple[int, str]], command: str = "command", original: str | None = None) -> DataFrame:
+    """Adds status (SUCCESS, ERROR or TIMEOUT) and message.  ``runner`` takes a command and returns exit code and stderr.
+
+    A TimeoutError of the runner discards what the command said.  With ``original``, the column of the
+    unchanged command, that is run as well and ``original_ok`` tells whether it still succeeds.
+    """
+
+    def outcome(c) -> tuple[str, str]:
+        try:
+            code, text = runner(list(c))
+        except TimeoutError:
+            return "TIMEOUT", ""
+        return ("SUCCESS" if code == 0 else "ERROR"), text
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            done = [runner(list(c)) for c in b[command]]
-            yield b.assign(status=["SUCCESS" if code == 0 else "ERROR" for code, _ in done], message=[text for _, text in done])
+            done = [outcome(c) for c in b[command]]
+            more = {"original_ok": [outcome(c)[0] == "SUCCESS" for c in b[original]]} if original else {}
+            yield b.assign(status=[s for s, _ in done], message=[t for _, t in done], **more)
 
-    from pyspark.sql.types import StringType, StructType
+    from pyspark.sql.types import BooleanType, StringType, StructType
 
     schema = StructType(list(variants.schema.fields)).add("status", StringType()).add("message", StringType())
-    return variants.mapInPandas(run, schema)
+    return variants.mapInPandas(run, schema.add("original_ok", BooleanType()) if original else schema)

@@ -29,6 +29,9 @@ def run_available(counts: DataFrame, out: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def new_keys(rows: DataFrame, key: str, time: str, delay: str = "1 hour") -> DataFrame:
-    """The first row of each key within the watermark: the ledger of a stream."""
-    return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+def new_keys(rows: DataFrame, key: str, time: str | None = None, delay: str = "1 hour") -> DataFrame:
+    """The first row of each key: the ledger of a stream.
+
+    It forgets nothing, so its state grows with the keys; with ``time`` a key is forgotten once the watermark passes it.
+    """
+    return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark([key]) if time else rows.dropDuplicates([key])
