@@ -135,10 +135,18 @@ def remove_pairs(docs: DataFrame, id_col: str, text_col: str, pairs: dict[str, s
         return PAIR_MODES.get(t[s], "remove_pair"), s, e, t[s + 1 : e], line_at(t, s), line_at(t[:s] + t[s + 1 : e] + t[e + 1 :], s)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["id", "mode", "start", "end", "inner", "line", "modified"]
         for b in batches:
+            rows, size = [], 0
             for i, t in zip(b["id"], b["text"]):
-                if t and (rows := [(i, *variant(t, s, e)) for s, e in bracket_pairs(t, pairs)]):
-                    yield pd.DataFrame(rows, columns=["id", "mode", "start", "end", "inner", "line", "modified"])
+                for s, e in bracket_pairs(t, pairs) if t else ():
+                    rows.append((i, *variant(t, s, e)))
+                    size += e - s + 100
+                    if size > 4_000_000:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, mode string, start long, end long, inner string, line string, modified string")
 
