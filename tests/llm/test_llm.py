@@ -61,6 +61,15 @@ def test_deduplicate_keeps_columns_and_one_of_each(spark, rows):
     assert exact_dedup.deduplicate(table(spark, [])).count() == 0
 
 
+def test_exact_duplicates_without_identifiers(spark):
+    rows = [(None, "a"), (None, "a"), (4, "a"), (None, "b"), (None, None), (9, ""), (9, ""), (9, "c")]
+    for keep, first in (("smallest", 4), ("largest", 4)):
+        got = sorted((r.id or 0, r.keep_id or 0, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(table(spark, rows), keep=keep).collect())
+        assert got == sorted([(0, first, 3, False)] * 2 + [(4, 4, 3, True), (0, 0, 1, True), (0, 9, 3, False), (9, 9, 3, True), (9, 9, 3, True), (9, 9, 1, True)])
+    left = Counter((r.doc_id, r.text) for r in exact_dedup.deduplicate(table(spark, rows)).collect())
+    assert left == Counter([(4, "a"), (None, "b"), (9, ""), (9, "c")])
+
+
 def test_index_merges_runs(spark):
     index = exact_dedup.MergeIndex(spark, keep="smallest", fan_in=5)
     for part in ([(5, "a"), (6, "b")], [(2, "a")], [(9, "a"), (1, "c")]):
@@ -258,6 +267,30 @@ def test_mixing_targets_of_named_and_other_values(spark, shares, want):
     assert {k: round(v, 6) for k, v in got.items()} == want
 
 
+def test_mixing_of_odd_rows(spark, rows):
+    odd = rows + [(None, None), (None, "a b"), (7000, "word " * 50_000)] + [(3, prose(3))] * 40
+    got = mixing.production(table(spark, odd)).collect()
+    assert len(got) == len(odd) and all(0 <= r.probability <= 1 and r.weight >= 0 for r in got)
+    text = defaultdict(list)
+    for i, t in odd:
+        text[i].append(t)
+    counts = Counter((r.id, r.n_tokens) for r in got)
+    assert counts == Counter((i, len((t or "").split())) for i, t in odd)
+    for cell in {(r.source, r.lang, r.topic) for r in got}:  # one probability for each cell, whatever the text
+        assert len({r.probability for r in got if (r.source, r.lang, r.topic) == cell}) == 1
+    assert all(len({r.sampled for r in got if r.id == 3 and r.topic == t}) == 1 for t in {r.topic for r in got if r.id == 3})
+    assert mixing.production(table(spark, [])).count() == 0
+    (alone,) = mixing.production(table(spark, [(1, None)])).collect()
+    assert (alone.n_tokens, alone.probability, alone.sampled) == (0, 1.0, True)
+
+
+def test_mixing_with_contradicting_marginals(spark):
+    rows = [(i, "w " * 10, ["en", "de"][i % 2], ["a", "b"][i % 2], 0) for i in range(100)]  # source and language go together
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = mixing.weigh(docs, shares={"lang": {"en": 0.9, "de": 0.1}, "source": {"a": 0.2, "b": 0.8}}).collect()
+    assert len(got) == 100 and math.isclose(sum(r.weight * r.n_tokens for r in got), 1.0, rel_tol=1e-6) and all(0 <= r.probability <= 1 for r in got)
+
+
 def test_mix_keeps_rows_whole(spark, rows):
     docs = table(spark, rows)
     left = mixing.mix(docs)
@@ -434,8 +467,11 @@ def test_structures_are_parsed():
 
 
 def test_secret_query_columns(spark, rows):
-    got = secrets.scan(table(spark, rows)).collect()
-    assert sorted(r.id for r in got) == sorted(i for i, _ in rows)
+    odd = rows + [(None, "token=abcdef"), (8000, "token=abcdef"), (8000, "token=abcdef"), (8001, "x" * 200_000 + " token=abcdef AKIA" + "A" * 100_000), (8002, "secret=password=abcdef")]
+    got = Counter((r.id, tuple((s.kind, s.start, s.end) for s in r.spans)) for r in secrets.scan(table(spark, odd)).collect())
+    assert got == Counter((i, tuple((k, a, b) for a, k, b in secrets.find(t)[1])) for i, t in odd)
+    assert got[(8000, (("assign", 0, 12),))] == 2 and got[(8001, (("assign", 200_001, 200_013), ("access", 200_014, 300_018)))] == 1
+    assert got[(8002, (("assign", 0, 22),))] == 1
     assert secrets.scan(table(spark, [])).count() == 0
 
 
@@ -459,6 +495,15 @@ def test_bpe_equals_library_and_round_trips(spark, rows):
     assert digests[303].decoded_sha256 == hashlib.sha256(b"one two").hexdigest() and digests[301].n_tokens == 0
 
 
+def test_bpe_of_odd_rows(spark, rows):
+    odd = rows + [(None, "x"), (5, "x"), (5, "x"), (None, None)]
+    got = Counter((r.id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(table(spark, odd)).collect())
+    own = bpe.Bpe(open(bpe.default_vocabulary(), encoding="utf-8").read())
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    assert got == Counter((i, len(own.encode(t or "")) // 4, sha(own.encode(t or "")), sha((t or "").encode())) for i, t in odd)
+    assert bpe.digests(table(spark, [])).count() == 0
+
+
 def test_bpe_of_a_word_over_16_mib():
     tokenizers = pytest.importorskip("tokenizers")
     path = bpe.default_vocabulary()
@@ -535,6 +580,16 @@ def test_html_template_decides(spark, monkeypatch):
     assert off[3] != got[3] and "Shop" in off[3] and "Our shop moves in May." in off[33] and off[9] == got[9]
 
 
+def test_html_of_odd_rows(spark):
+    page = "<html><body><div class=a><p>Same box</p></div><div class=b><p>Text {0} goes on</p></div><div class=c><p>Other {0} of it</p></div></body></html>"
+    rows = [(i, f"http://o.example/{i}", page.format(i), "h", 1, "t") for i in range(5)] + [(3, "http://o.example/3", page.format(3), "h", 1, "t")] * 3 + [(None, None, None, "h", 1, "t"), (7, "http://o.example/7", page.format("7 " * 40_000), "h", 1, "t")]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string, page_key int, text string")).collect()
+    assert Counter(r.page_id for r in got) == Counter(r[0] for r in rows)
+    want = lambda k: f"Text {k} goes on\nOther {k} of it"
+    for r in got:
+        assert r.text == ("" if r.page_id is None else want(" ".join(["7"] * 40_000)) if r.page_id == 7 else want(r.page_id))
+
+
 def test_html_deep_pages(spark):
     deep = "<html><body><div id=wrap><article><p>start {0}</p>" + "<div>" * 400 + "<div class=menu><div>no<p>no</p></div></div><p>deep {0}</p>" + "</div>" * 400 + "<p>end {0}</p></article></div><p>after {0}</p></body></html>"
     got = extracted(spark, [(i, f"http://deep.example/{i}", deep.format(i)) for i in range(4)] + [(9, None, deep.format(9))])
@@ -731,6 +786,14 @@ def test_licenses_against_brute_force(spark, rows):
     assert licenses.scan(table(spark, [])).count() == 0
 
 
+def test_licenses_of_odd_rows(spark):
+    text = "x\nReleased under the MIT License\n" + "word " * 30_000
+    odd = [(None, text), (None, None), (1, text), (1, text), (1, ""), (2, "MIT\nLicense")]
+    got = Counter((r.id, r.n_words, r.n_base, r.base_labels, r.labels, r.score) for r in licenses.scan(table(spark, odd)).collect())
+    row = (30_006, 1, "mit", "mit", 1.0)
+    assert got == Counter([(None, *row), (None, 0, 0, "", "", 0.0), (1, *row), (1, *row), (1, 0, 0, "", "", 0.0), (2, 2, 1, "mit", "mit", 0.0)])
+
+
 def test_licenses_in_wrapped_and_long_lines(spark):
     wrap = lambda text, n: "\n".join(" ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
     rng = np.random.default_rng(5)

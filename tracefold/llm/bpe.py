@@ -190,4 +190,5 @@ def digests(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_i
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole table ``documents``: doc_id, n_tokens, ids_sha256, decoded_sha256 (see the module's text)."""
     return digests(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -150,6 +150,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole table ``documents``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (see the module's text)."""
     return scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 

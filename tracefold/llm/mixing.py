@@ -144,4 +144,5 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole table ``documents``: doc_id, source, lang, topic, n_tokens, weight, probability, sampled (see the module's text)."""
     return production(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
