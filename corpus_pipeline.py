@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracefold.llm import bpe, exact_dedup, mixing, near_dedup, quality
-from tracefold.llm.common import materialise, table
+from tracefold.llm.common import clean, mark, materialise, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; what a stage and its operator have written goes once the next one is stored."""
+    docs, since = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        clean(spark, since, keep=docs)
     return docs

@@ -147,10 +147,21 @@ def test_near_duplicates(spark, rows, k, similarity):
     assert sorted((r.id, r.n_shingles, r.component_id, r.kept) for r in got) == sorted((i, *want[i], want[i][1] == i) for i, _ in rows)
 
 
-def test_near_duplicates_in_blocks(spark, rows, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
-    want = brute_components(rows, 3, 85)
-    got = near_dedup.near_duplicates(table(spark, rows), words=3, similarity=0.85).collect()
+@pytest.mark.parametrize("block,elements", [(4, 1_000_000), (2048, 150), (7, 400)])
+def test_near_duplicates_in_blocks(spark, rows, monkeypatch, block, elements):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "ELEMENTS", elements)
+    base = prose(77, 70).split()
+    chained = []  # near copies, copies that drift away step by step, and groups that only share a part
+    for i in range(60):
+        words = list(base)
+        for j in range(i):
+            words[j % 70] = f"step{j}x"
+        chained.append((1000 + i, " ".join(words)))
+    chained += [(2000 + i, prose(88, 70) + f" tail{i}") for i in range(25)] + [(3000 + i, " ".join(base[:55]) + " " + prose(500 + i % 9, 15)) for i in range(30)]
+    every = rows + chained
+    want = brute_components(every, 3, 85)
+    got = near_dedup.near_duplicates(table(spark, every), words=3, similarity=0.85).collect()
     assert {r.id: r.component_id for r in got} == {i: c for i, (_, c) in want.items()}
 
 

@@ -1,5 +1,7 @@
 """The pipeline's stages on a small table, each against brute force on its own input."""
 
+import os
+
 import pytest
 
 SF = "/root/testdata/sf0.001"
@@ -64,4 +66,7 @@ def test_awkward_rows_pass_through_all_stages(spark, tmp_path):
     assert kept["mixing"] <= kept["near dedup"]
     got = Counter((r.doc_id, r.decoded_sha256) for r in kept["bpe"])
     assert got == Counter((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in kept["mixing"].elements())
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")))
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, sf).collect()) == Counter(r.doc_id for r in kept["bpe"])
+    after = set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")))
+    assert [x.rpartition("-")[0] for x in after - before] == ["bpe"]

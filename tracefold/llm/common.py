@@ -83,10 +83,18 @@ def forget(*tables: DataFrame) -> None:
             _paths.remove(path)
 
 
-def clean(spark: SparkSession) -> None:
-    """Remove all folders that operators have written here; for the caller, once results are stored elsewhere."""
-    while _paths:
-        remove(spark, _paths.pop())
+def mark() -> int:
+    """How many folders are there now, for ``clean``."""
+    return len(_paths)
+
+
+def clean(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Remove the folders that operators have written since a ``mark``, but that of ``keep``; for the caller, once results are stored."""
+    kept = getattr(keep, "_written_to", None)
+    for path in _paths[since:]:
+        if path != kept:
+            remove(spark, path)
+            _paths.remove(path)
 
 
 def split_join(left: DataFrame, right: DataFrame, on: list[str], sizes: DataFrame, total: int, how: str = "inner", spread: str = "id", pieces: int = 1000) -> DataFrame:

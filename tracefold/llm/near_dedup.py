@@ -7,12 +7,16 @@
 2. Equal sets (same size and 128-bit fingerprint) fold into one representative, their smallest identifier.
    Different sets share size and fingerprint with a probability below 2**-90 for 10**9 documents.
 3. Representatives that share a band key form a bucket; buckets with the same members are one.
-   Inside a bucket sketches are compared in blocks, and those that agree in more than ``similarity``
-   less 0.2 are united; a bucket gives at most one edge per member, never its pairs.
+   Inside a bucket sketches are compared, and those that agree in more than ``similarity``
+   less 0.2 are united; a bucket gives at most one edge per member, never its pairs.  In a bucket of more than ``BLOCK``
+   members all are united unseen: that only adds candidates.
 4. Connected components of these edges hold all true links.  Each component's texts are read again
-   and all its sets are compared, in pairs of bounded blocks, by exact intersection counts (a
-   document-by-shingle product); confirmed links are united in the task and leave as one edge per member.
-5. Connected components of the confirmed links are the result.
+   and its sets are compared by exact intersection counts (a document-by-shingle product); confirmed links are
+   united in the task and leave as one edge per member.  A component above a block's bounds is cut into blocks, and its
+   smallest member stands in each of them, so copies of one text are one group after this step.
+5. What is still apart in such a component is compared across blocks: sets of different groups, in all pairs of
+   blocks that are not of one group.
+6. Connected components of the confirmed links are the result.
 
 Misses: with r rows in each of b bands a pair of similarity s shares no band with probability
 (1 - s**r)**b; r and b are chosen so that this is below 1e-6 at the threshold, and the sketch's margin
@@ -23,10 +27,11 @@ over written edge tables, two exchanges and one broadcast of at most 1000 keys a
 all rows share is one representative after a map-side combine.  Nodes with over a thousandth of the edges are
 dealt over parts; band keys, components and sets that many rows share are joined to one short row each, by a
 broadcast where Spark measures that row's side as small, else by a join whose large partitions the adaptive
-skew join splits.  Hot buckets and components are cut into blocks, each block pair a group of its
+skew join splits.  Large components are cut into blocks, each block or block pair a group of its
 own, so no task holds an unbounded group.  Only texts of candidate components are shuffled, found by
-a bit map of bounded size.  Within one dense component the work is its number of block pairs, and its texts
-are shuffled once for each other block.
+a bit map of bounded size: once, and for those of large components that hold several groups once more for each block
+of another group.  So many copies of one text cost what they weigh; many small groups chained in one candidate
+component cost the number of its block pairs.
 
 Defined results: a null or empty text, or one without words, has an empty set, links with nothing
 and is its own component.  A text with fewer words than a shingle is one shingle.  A row whose identifier is
@@ -247,7 +252,7 @@ def star(ids: np.ndarray, union: Union) -> list[tuple[int, int]]:
 def similar_sketches(least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         need = int(np.ceil(least * M))
-        for f, b in whole_groups(batches, ["key", "a", "b"]):
+        for f, b in whole_groups(batches, ["key"]):
             ids, s = f["id"].to_numpy(), np.frombuffer(b"".join(f["sketch"]), np.uint8).reshape(-1, M)
             size = np.diff(b)
             two = b[:-1][size == 2]
@@ -345,15 +350,38 @@ def components(edges: DataFrame) -> DataFrame:
         old, step = path, star_round(found.select(F.col("root").alias("lo"), F.col("node").alias("hi")), n)
 
 
-def in_blocks(members: DataFrame, blocks: Column) -> DataFrame:
-    """Deal members of a group to blocks; each goes to the pairs that hold its block, (0, 0) if there is one block."""
-    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
-    return (
-        dealt.withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")), lambda x: x != F.col("block")))))
-        .withColumn("a", F.least("block", "other"))
-        .withColumn("b", F.greatest("block", "other"))
-        .drop("blocks", "block", "other")
-    )
+def _needed(count, elements) -> Column:
+    """Blocks for so many members and set elements."""
+    return F.greatest(F.ceil(count / BLOCK), F.ceil(elements / ELEMENTS)).cast("int")
+
+
+def in_blocks(sized: DataFrame, large: DataFrame) -> DataFrame:
+    """component, a, b, id, h: members dealt to the blocks of their component; its root stands in each."""
+    dealt = sized.join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.array(F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
+    each = F.when(F.col("id") == F.col("component"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)
+    return dealt.withColumn("a", F.explode(each)).select("component", "a", F.col("a").alias("b"), "id", "h")
+
+
+def across_groups(sized: DataFrame, large: DataFrame, links: DataFrame) -> DataFrame:
+    """component, a, b, id, h: pairs of blocks of large components that bring every two members of different groups together.
+
+    Groups that need more than half a block have blocks of their own, which are not paired with each other; the others are dealt by group.
+    """
+    named = sized.join(large.select("component"), "component").join(links.select(F.col("node").alias("id"), F.col("root").alias("group")), "id", "left").withColumn("group", F.coalesce("group", "id"))
+    groups = named.groupBy("component", "group").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n")).withColumn("own", _needed(F.col("m") * 2, F.col("n") * 2) > 1)
+    groups = materialise(groups.withColumn("k", F.when(F.col("own"), _needed(F.col("m"), F.col("n"))).otherwise(0)), "groups")
+    several = groups.groupBy("component").agg(F.count(F.lit(1)).alias("groups"), _needed(F.sum(F.when(~F.col("own"), F.col("m"))), F.sum(F.when(~F.col("own"), F.col("n")))).alias("shared"), F.sum("k").alias("owned"))
+    several = several.where("groups > 1").withColumn("shared", F.coalesce("shared", F.lit(0))).withColumn("total", (F.col("shared") + F.col("owned")).cast("int"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy("component").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # groups with blocks of their own are few: one for each half block at most
+    first = groups.where("own").join(several.select("component", "shared"), "component").select("component", "group", "k", (F.col("shared") + before).cast("int").alias("first"))
+    placed = named.join(several, "component").join(first, ["component", "group"], "left")
+    block = F.when(F.col("first").isNull(), F.pmod(F.xxhash64("group", F.lit(7)), F.col("shared"))).otherwise(F.col("first") + F.pmod(F.xxhash64("id", F.lit(7)), F.col("k"))).cast("int")
+    mine = lambda x: F.when(F.col("first").isNull(), x == F.col("block")).otherwise((x >= F.col("first")) & (x < F.col("first") + F.col("k")))
+    others = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda x: ~mine(x))
+    paired = placed.withColumn("block", block).withColumn("other", F.explode(F.when(F.col("total") == 1, F.array(F.lit(0))).otherwise(others)))
+    return paired.select("component", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "id", "h")
 
 
 def _keys(id_col: str, text_col: str) -> list[Column]:
@@ -377,23 +405,30 @@ def decisions(docs: DataFrame, words: int, similarity: float, id_col: str, text_
 
     keyed = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("lo"), F.bit_xor(F.xxhash64("id")).alias("members")).where("size > 1")
-    chosen = buckets.groupBy("size", "lo", "members").agg(F.min("key").alias("key")).select("key", "size")
-    members = in_blocks(keyed.join(chosen, "key"), F.ceil(F.col("size") / BLOCK)).select("key", "a", "b", "id")
+    chosen = buckets.groupBy("size", "lo", "members").agg(F.min("key").alias("key")).select("key", "size", "lo")
+    members = materialise(keyed.join(chosen, "key"), "members")
     parts = shuffle_partitions(spark)
-    sketched = members.join(classes.select(F.col("rep").alias("id"), "sketch"), "id").repartition(parts, "key", "a", "b").sortWithinPartitions("key", "a", "b")
-    candidates = components(sketched.mapInPandas(similar_sketches(similarity - 0.2), "lo long, hi long"))
+    sketched = members.where(F.col("size") <= BLOCK).select("key", "id").join(classes.select(F.col("rep").alias("id"), "sketch"), "id").repartition(parts, "key").sortWithinPartitions("key")
+    united = members.where((F.col("size") > BLOCK) & (F.col("id") > F.col("lo"))).select("lo", F.col("id").alias("hi"))
+    candidates = components(sketched.mapInPandas(similar_sketches(similarity - 0.2), "lo long, hi long").unionByName(united))
 
     nodes = candidates.select(F.col("root").alias("component"), F.col("node").alias("id")).unionByName(candidates.select(F.col("root").alias("component"), F.col("root").alias("id")).distinct())
     sized = materialise(nodes.join(classes.select(F.col("rep").alias("id"), "h", "n"), "id"), "candidates")
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / ELEMENTS))
-    large = materialise(sized.groupBy("component").agg(blocks.alias("blocks")).where("blocks > 1"), "large-components")
-    placed = in_blocks(sized.join(large, "component", "left"), F.coalesce("blocks", F.lit(1))).select("component", "a", "b", "id", "h")
+    large = materialise(sized.groupBy("component").agg(_needed(F.count(F.lit(1)), F.sum("n")).alias("blocks")).where("blocks > 1"), "large-components")
     held = may_hold(texts.withColumn("digest", F.col("node")), bit_filter(sized.select(F.col("id").alias("digest")), filter_bits), filter_bits).where("maybe")
     once = held.groupBy(F.col("node").alias("id"), "h").agg(F.first("text").alias("text"))  # rows that repeat identifier and text
-    checked = placed.join(once, ["id", "h"]).repartition(parts, "component", "a", "b").sortWithinPartitions("component", "a", "b")
+
+    def confirmed(placed: DataFrame) -> DataFrame:
+        checked = placed.join(once, ["id", "h"]).repartition(parts, "component", "a", "b").sortWithinPartitions("component", "a", "b")
+        return checked.select("component", "a", "b", "id", "h", "text").mapInPandas(confirm(words, percent), "lo long, hi long")
+
     with small_batches(spark):
-        links = components(checked.select("component", "a", "b", "id", "h", "text").mapInPandas(confirm(words, percent), "lo long, hi long"))
-    forget(candidates, sized, large)
+        links = components(confirmed(in_blocks(sized, large)))
+        if not large.isEmpty():
+            apart, known = across_groups(sized, large, links), links
+            links = components(confirmed(apart).unionByName(known.select(F.col("root").alias("lo"), F.col("node").alias("hi"))))
+            forget(known)
+    forget(members, candidates, sized, large)
 
     grouped = classes.join(links, F.col("rep") == F.col("node"), "left").select("n", "f1", "f2", F.coalesce("root", "rep").alias("root"))
     linked = base.where("n > 0").select("node", "h", "n", "f1", "f2").join(grouped, ["n", "f1", "f2"]).select("node", "h", "n", "root")
