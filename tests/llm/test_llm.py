@@ -150,6 +150,7 @@ def test_near_duplicates(spark, rows, k, similarity):
 @pytest.mark.parametrize("block,elements", [(4, 1_000_000), (2048, 150), (7, 400)])
 def test_near_duplicates_in_blocks(spark, rows, monkeypatch, block, elements):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BUCKET", block)
     monkeypatch.setattr(near_dedup, "ELEMENTS", elements)
     base = prose(77, 70).split()
     chained = []  # near copies, copies that drift away step by step, and groups that only share a part

@@ -8,7 +8,7 @@
    Different sets share size and fingerprint with a probability below 2**-90 for 10**9 documents.
 3. Representatives that share a band key form a bucket; buckets with the same members are one.
    Inside a bucket sketches are compared, and those that agree in more than ``similarity``
-   less 0.2 are united; a bucket gives at most one edge per member, never its pairs.  In a bucket of more than ``BLOCK``
+   less 0.2 are united; a bucket gives at most one edge per member, never its pairs.  In a bucket of more than ``BUCKET``
    members all are united unseen: that only adds candidates.
 4. Connected components of these edges hold all true links.  Each component's texts are read again
    and its sets are compared by exact intersection counts (a document-by-shingle product); confirmed links are
@@ -61,6 +61,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 CHUNK = 1 << 20  # bytes of text that are hashed at once
 BLOCK = 2048  # members of a block
+BUCKET = 512  # members of a bucket whose sketches are compared
 ELEMENTS = 1_000_000  # set elements of a block
 NAMELESS = 1 << 62  # nodes from here on stand for rows without an identifier
 HUB = 256  # edges below which no node is a hub
@@ -408,8 +409,8 @@ def decisions(docs: DataFrame, words: int, similarity: float, id_col: str, text_
     chosen = buckets.groupBy("size", "lo", "members").agg(F.min("key").alias("key")).select("key", "size", "lo")
     members = materialise(keyed.join(chosen, "key"), "members")
     parts = shuffle_partitions(spark)
-    sketched = members.where(F.col("size") <= BLOCK).select("key", "id").join(classes.select(F.col("rep").alias("id"), "sketch"), "id").repartition(parts, "key").sortWithinPartitions("key")
-    united = members.where((F.col("size") > BLOCK) & (F.col("id") > F.col("lo"))).select("lo", F.col("id").alias("hi"))
+    sketched = members.where(F.col("size") <= BUCKET).select("key", "id").join(classes.select(F.col("rep").alias("id"), "sketch"), "id").repartition(parts, "key").sortWithinPartitions("key")
+    united = members.where((F.col("size") > BUCKET) & (F.col("id") > F.col("lo"))).select("lo", F.col("id").alias("hi"))
     candidates = components(sketched.mapInPandas(similar_sketches(similarity - 0.2), "lo long, hi long").unionByName(united))
 
     nodes = candidates.select(F.col("root").alias("component"), F.col("node").alias("id")).unionByName(candidates.select(F.col("root").alias("component"), F.col("root").alias("id")).distinct())
