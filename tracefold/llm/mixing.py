@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import forget, materialise, table
 
 MARGINALS = ("source", "lang", "topic")
 #: Wanted shares of languages in the registered query and the pipeline.
@@ -69,13 +69,15 @@ def rake(cells: DataFrame, shares: dict[str, dict[str, float]], alphas: dict[str
         grid = grid.join(_targets(cells, m, shares.get(m), alphas.get(m, 1.0)), m, "left")
     total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
     grid = grid.fillna(0.0, [f"{m}_target" for m in MARGINALS]).withColumn("weight", F.when(F.col("tokens") > 0, F.col("tokens") / total).otherwise(0.0))
-    grid = materialise(grid, "cells")
+    grid = stored = materialise(grid, "cells")
     for _ in range(-(-rounds // per_round)):
         for _ in range(per_round):
             for m in MARGINALS:
                 held = F.sum("weight").over(Window.partitionBy(m))
                 grid = grid.withColumn("weight", F.when(held > 0, F.col("weight") * F.col(f"{m}_target") / held).otherwise(0.0))
-        grid = materialise(grid, "cells")
+        old, grid = stored, materialise(grid, "cells")
+        stored = grid
+        forget(old)
         off = grid.select(*(F.abs(F.sum("weight").over(Window.partitionBy(m)) - F.col(f"{m}_target")).alias(m) for m in MARGINALS)).agg(F.max(F.greatest(*MARGINALS))).first()[0]
         if off is None or off < tolerance:
             break
@@ -126,6 +128,7 @@ def weigh(
     fitted = rake(cells, shares or {}, alphas or {})
     rated = calibrate(fitted, keep_share).select(*MARGINALS, F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0).alias("weight"), "probability")
     rated = materialise(rated, "rates")
+    forget(cells)
     return rows.join(rated, list(MARGINALS)).withColumn("sampled", uniform(F.col("id"), seed) < F.col("probability")).select("id", *MARGINALS, "n_tokens", "weight", "probability", "sampled")
 
 

@@ -135,7 +135,7 @@ def super_minhash(h: np.ndarray, bounds: np.ndarray, m: int = M) -> np.ndarray:
             perm = perm[still] if perm is not None else None
         if not len(live):
             break
-        rank = mix(live + U(j + 1) * _BASE)
+        rank = mix(live + U((j + 1) * int(_BASE) % (1 << 64)))
         k = (j + (mix(rank) >> U(33)).astype(np.int64) % (m - j)).astype(np.int64)
         slot = k
         if j == 1:  # few documents get here with many elements
@@ -364,8 +364,8 @@ def in_blocks(sized: DataFrame, large: DataFrame) -> DataFrame:
     return dealt.withColumn("a", F.explode(each)).select("component", "a", F.col("a").alias("b"), "id", "h")
 
 
-def across_groups(sized: DataFrame, large: DataFrame, links: DataFrame) -> DataFrame:
-    """component, a, b, id, h: pairs of blocks of large components that bring every two members of different groups together.
+def across_groups(sized: DataFrame, large: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """component, a, b, id, h: pairs of blocks of large components that bring every two members of different groups together; and the table it reads.
 
     Groups that need more than half a block have blocks of their own, which are not paired with each other; the others are dealt by group.
     """
@@ -382,7 +382,7 @@ def across_groups(sized: DataFrame, large: DataFrame, links: DataFrame) -> DataF
     mine = lambda x: F.when(F.col("first").isNull(), x == F.col("block")).otherwise((x >= F.col("first")) & (x < F.col("first") + F.col("k")))
     others = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda x: ~mine(x))
     paired = placed.withColumn("block", block).withColumn("other", F.explode(F.when(F.col("total") == 1, F.array(F.lit(0))).otherwise(others)))
-    return paired.select("component", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "id", "h")
+    return paired.select("component", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "id", "h"), groups
 
 
 def _keys(id_col: str, text_col: str) -> list[Column]:
@@ -426,9 +426,10 @@ def decisions(docs: DataFrame, words: int, similarity: float, id_col: str, text_
     with small_batches(spark):
         links = components(confirmed(in_blocks(sized, large)))
         if not large.isEmpty():
-            apart, known = across_groups(sized, large, links), links
+            known = links
+            apart, groups = across_groups(sized, large, known)
             links = components(confirmed(apart).unionByName(known.select(F.col("root").alias("lo"), F.col("node").alias("hi"))))
-            forget(known)
+            forget(known, groups)
     forget(members, candidates, sized, large)
 
     grouped = classes.join(links, F.col("rep") == F.col("node"), "left").select("n", "f1", "f2", F.coalesce("root", "rep").alias("root"))
