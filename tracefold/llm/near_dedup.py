@@ -59,7 +59,7 @@ _BASE = U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = U(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-CHUNK = 1 << 20  # bytes of text that are hashed at once
+CHUNK = 1 << 19  # bytes of text that are hashed at once
 BLOCK = 2048  # members of a block
 BUCKET = 512  # members of a bucket whose sketches are compared
 ELEMENTS = 1_000_000  # set elements of a block
