@@ -220,6 +220,25 @@ def test_super_minhash_estimates_similarity():
 # ---- mixing ----
 
 
+def test_mixing_probabilities_fill_cells_in_order_of_rate(spark):
+    rng = np.random.default_rng(5)
+    tokens, weight = rng.integers(0, 1000, 60), rng.random(60) ** 6
+    tokens[:3], weight[3:6] = 0, 0.0
+    weight[:3] = 0.0
+    rows = [(f"s{i}", "en", "x", int(t), float(w / weight.sum())) for i, (t, w) in enumerate(zip(tokens, weight))]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, weight double")
+    for share in (0.0, 0.1, 0.7, 1.0):
+        got = {r.source: r.probability for r in mixing.calibrate(cells, share).collect()}
+        low, high = 0.0, 1e40  # bisection on the scale
+        for _ in range(200):
+            c = (low + high) / 2
+            kept = sum(min(t, c * w) for _, _, _, t, w in rows)
+            low, high = (c, high) if kept < share * tokens.sum() else (low, c)
+        for s, _, _, t, w in rows:
+            assert got[s] == pytest.approx(1.0 if t == 0 else min(1.0, low * w / t), abs=1e-6), (share, s)
+    assert mixing.calibrate(cells.where("tokens < 0"), 0.7).count() == 0
+
+
 def test_mixing_meets_targets(spark):
     rng = np.random.default_rng(2)
     rows = [(i, " ".join(["w"] * int(rng.integers(1, 400))), ["en", "de", None][rng.integers(3)], f"s{min(3, int(rng.integers(8)))}", 0) for i in range(600)]

@@ -12,7 +12,8 @@ nothing, the part that power gives them among all values, and the named ones sha
 ``shares`` every value goes by that power, which flattens a source that holds a third of all rows.
 
 Scale: one pass over the text to (id, cell, tokens); all else runs on cells, after a map-side sum.
-Cells stay a DataFrame, in the shared folder between rounds; the driver sees one deviation a round.
+Cells stay a DataFrame, in the shared folder between rounds; the driver sees one row of sums a step
+(totals, a deviation).  Only the sums of raking are windows, each over the cells of one marginal value.
 The last join is on the cell; a hot cell is a hot key on the document side alone, which the adaptive
 skew join splits (or the cells are broadcast when their measured size allows).
 
@@ -49,17 +50,17 @@ def form_topic(text: Column) -> Column:
 
 
 def _targets(cells: DataFrame, name: str, shares: dict[str, float] | None, alpha: float) -> DataFrame:
-    sums = cells.where("tokens > 0").groupBy(name).agg(F.sum("tokens").alias("tokens"))
-    every = Window.partitionBy(F.lit(0))
-    share, flat = F.lit(None).cast("double"), F.pow(F.col("tokens").cast("double"), F.lit(float(alpha)))
-    for k, v in (shares or {}).items():
+    shares, share = shares or {}, F.lit(None).cast("double")
+    for k, v in shares.items():
         share = F.when(F.col(name) == k, F.lit(float(v))).otherwise(share)
-    sums = sums.withColumn("share", share).withColumn("other", F.when(F.col("share").isNull(), flat).otherwise(0.0))
-    left = 1.0 - sum((shares or {}).values())
-    rest = F.lit(left) if left > 1e-9 else F.sum("other").over(every) / F.sum(flat).over(every)
-    of_named, of_other = F.try_divide("share", F.sum("share").over(every)), F.try_divide("other", F.sum("other").over(every))
-    sums = sums.withColumn("want", F.when(F.col("share").isNull(), rest * of_other).otherwise((1.0 - rest) * F.coalesce(of_named, F.lit(0.0))))
-    return sums.select(name, F.try_divide("want", F.sum("want").over(every)).alias(f"{name}_target"))
+    flat = F.pow(F.col("tokens").cast("double"), F.lit(float(alpha)))
+    sums = cells.where("tokens > 0").groupBy(name).agg(F.sum("tokens").alias("tokens")).select(name, share.alias("share"), flat.alias("flat"))
+    named, other, every = (x or 0.0 for x in sums.agg(F.sum("share"), F.sum(F.when(F.col("share").isNull(), F.col("flat"))), F.sum("flat")).first())
+    left = 1.0 - sum(shares.values())
+    rest = left if left > 1e-9 else other / every if every else 0.0
+    whole = (rest if other else 0.0) + ((1.0 - rest) if named else 0.0)
+    of_other, of_named = (part / (whole * held) if whole and held else 0.0 for part, held in ((rest, other), (1.0 - rest, named)))
+    return sums.select(name, F.when(F.col("share").isNull(), F.col("flat") * of_other).otherwise(F.col("share") * of_named).alias(f"{name}_target"))
 
 
 def rake(cells: DataFrame, shares: dict[str, dict[str, float]], alphas: dict[str, float], rounds: int = 24, per_round: int = 3, tolerance: float = 1e-6) -> DataFrame:
@@ -67,8 +68,8 @@ def rake(cells: DataFrame, shares: dict[str, dict[str, float]], alphas: dict[str
     grid = cells
     for m in MARGINALS:
         grid = grid.join(_targets(cells, m, shares.get(m), alphas.get(m, 1.0)), m, "left")
-    total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
-    grid = grid.fillna(0.0, [f"{m}_target" for m in MARGINALS]).withColumn("weight", F.when(F.col("tokens") > 0, F.col("tokens") / total).otherwise(0.0))
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    grid = grid.fillna(0.0, [f"{m}_target" for m in MARGINALS]).withColumn("weight", F.when(F.col("tokens") > 0, F.col("tokens") / F.lit(total)).otherwise(0.0))
     grid = stored = materialise(grid, "cells")
     for _ in range(-(-rounds // per_round)):
         for _ in range(per_round):
@@ -88,20 +89,24 @@ def calibrate(cells: DataFrame, share: float) -> DataFrame:
     """Adds ``probability`` = min(1, c * weight / tokens), with c so that ``share`` of all tokens is expected.
 
     Where the cells with weight do not hold that many tokens, all their documents have probability 1.
-    In order of rate, c is that of the first cell which stays below 1 when all above it are full.
+    c rises by steps, one sum over the cells each: cells that are full at the last c give their tokens, the
+    others share what is left.  No cell leaves the full ones, so the steps end, as a rule after a few.
     """
     rate = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("rate"), *MARGINALS)
-    above, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    budget = F.lit(float(share)) * F.sum("tokens").over(Window.partitionBy(F.lit(0)))
-    ranked = (
-        cells.withColumn("rate", rate)
-        .withColumn("scale", F.try_divide(budget - F.coalesce(F.sum("tokens").over(above), F.lit(0)), F.sum("weight").over(rest)))
-        .withColumn("fits", (F.col("rate") > 0) & (F.col("scale") * F.col("rate") <= 1))
-    )
-    c = F.max(F.when(F.col("fits"), F.col("scale"))).over(Window.partitionBy(F.lit(0)))
-    chance = F.when(F.col("tokens") == 0, 1.0).when(F.col("rate") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.coalesce(c * F.col("rate"), F.lit(1.0))))
-    return ranked.withColumn("probability", chance).drop("rate", "scale", "fits")
+    budget = float(share) * float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    c, n_full = 0.0, -1
+    while True:
+        full = rate * F.lit(c) > 1
+        filled, open_weight, n = cells.where(rate > 0).agg(F.sum(F.when(full, F.col("tokens"))), F.sum(F.when(~full, F.col("weight"))), F.count_if(full)).first()
+        if not open_weight:
+            c = None
+            break
+        c = max(c, (budget - (filled or 0)) / open_weight)
+        if n == n_full:
+            break
+        n_full = n
+    chance = F.least(F.lit(1.0), rate * F.lit(c)) if c is not None else F.lit(1.0)
+    return cells.withColumn("probability", F.when(F.col("tokens") == 0, 1.0).when(rate == 0, 0.0).otherwise(chance))
 
 
 def uniform(id_col: Column, seed: int) -> Column:
