@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op6_bpe
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .fill_middle import OP13_SQL, op13_fill_middle
 from .html_extract import op3_html_extract
 from .licenses import OP10_SQL, op10_license_scan
 from .mixing import op1_mixing
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_sharding": op9_sharding,
     "op10_license_scan": op10_license_scan,
+    "op13_fill_middle": op13_fill_middle,
 }
-SQL = {"op5_exact_dedup": OP5_SQL, "op10_license_scan": OP10_SQL}
+SQL = {"op5_exact_dedup": OP5_SQL, "op10_license_scan": OP10_SQL, "op13_fill_middle": OP13_SQL}
