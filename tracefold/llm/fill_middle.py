@@ -2,8 +2,8 @@
 
 The index has one row per distinct text: rows are grouped by their SHA-256, the group's set of texts is
 kept by content (two texts of one digest stop the job), and where each code point begins in the
-UTF-8 bytes is held as an Elias-Fano list, computed once a text.  Documents join it by digest alone, so a
-text crosses the network once; ``select`` on the list gives the two byte places of a document's cut.
+UTF-8 bytes is held as an Elias-Fano list, computed once a text, when its documents have joined it by digest
+alone.  So a text crosses the network once; ``select`` on the list gives the two byte places of a document's cut.
 
 A digest of more than 1 / ``pieces`` of all rows is hot.  Fewer than ``pieces`` are, and as each stands for that
 many rows, their texts weigh less than ``pieces`` times the mean text: they are broadcast, and their
@@ -17,6 +17,8 @@ Lengths and places count code points.  An empty table gives no rows; extra colum
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,8 +66,16 @@ def boundaries(text: str) -> np.ndarray:
     return np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw)).astype(np.int64)
 
 
-def _listed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: elias_fano(boundaries(t)))
+def _listed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Lists of texts; documents of one text follow each other, and its list is computed once."""
+    last, found = None, b""
+    for digests, texts in batches:
+        out = []
+        for digest, text in zip(digests, texts):
+            if digest != last:
+                last, found = digest, elias_fano(boundaries(text))
+            out.append(found)
+        yield pd.Series(out, dtype=object)
 
 
 def _places(lists: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
@@ -79,10 +89,15 @@ def seeds(id_col: Column) -> list[Column]:
 
 
 def text_index(rows: DataFrame) -> DataFrame:
-    """digest, text, n, starts: one row per distinct text of rows (digest, text)."""
+    """digest, text, n: one row per distinct text of rows (digest, text), dealt by digest."""
     grouped = rows.groupBy("digest").agg(F.collect_set("text").alias("texts"))
     one = F.when(F.size("texts") == 1, F.get("texts", F.lit(0))).otherwise(F.raise_error(F.lit("two texts have one digest")).cast("string"))
-    return grouped.select("digest", one.alias("text")).select("digest", "text", F.char_length("text").cast("long").alias("n"), F.pandas_udf(_listed, "binary")("text").alias("starts"))
+    return grouped.select("digest", one.alias("text")).select("digest", "text", F.char_length("text").cast("long").alias("n"))
+
+
+def with_starts(rows: DataFrame) -> DataFrame:
+    """Adds ``starts``, the Elias-Fano list of the text's code points."""
+    return rows.withColumn("starts", F.pandas_udf(_listed, "binary")("digest", "text"))
 
 
 def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plain: int = 10, spm: int = 20, pieces: int = 1000) -> DataFrame:
@@ -95,9 +110,10 @@ def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     most = max(1, docs.count() // pieces)
     hot = F.broadcast(materialise(counts.where(F.col("copies") > most).select("digest"), "hot-texts"))  # fewer than pieces digests
     asked = rows.select("id", "digest")
-    warm = text_index(rows.join(hot, "digest", "left_semi"))
+    warm = with_starts(text_index(rows.join(hot, "digest", "left_semi")))
     cold = text_index(rows.join(hot, "digest", "left_anti"))
-    found = cold.join(asked.join(hot, "digest", "left_anti").hint("shuffle_hash"), "digest").unionByName(asked.join(F.broadcast(warm), "digest"), allowMissingColumns=False)
+    # lists come after the join: a Python column would hide that the texts are dealt by digest, and they would cross the network again
+    found = with_starts(cold.join(asked.join(hot, "digest", "left_anti").hint("shuffle_hash"), "digest")).unionByName(asked.join(F.broadcast(warm), "digest"))
 
     h1, h2, h3, h4 = seeds(F.col("id"))
     whole = (F.col("n") == 0) | (h3 % 100 >= 100 - plain)
