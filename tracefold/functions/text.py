@@ -94,12 +94,12 @@ def remove_comments(c: Column) -> Column:
 
 
 def normalise_summary(c: Column) -> Column:
-    """Trim lines, drop comments, unescaped quotes and breaks, collapse blanks."""
-    out = F.regexp_replace(c, r"(?m)^[ \t]+", "")
+    """Trim lines, drop comments, unescaped quotes and breaks, make runs of white space one blank."""
+    out = F.regexp_replace(c, r"(?dm)^\s+", "")
     out = remove_comments(out)
     out = F.regexp_replace(out, r'(?<!\\)"', "")
-    out = F.regexp_replace(out, r"\n|\t|\\n", "")
-    return F.trim(F.regexp_replace(out, " +", " "))
+    out = F.regexp_replace(out, r"\n|\r|\t|\\n", "")
+    return F.trim(F.regexp_replace(out, r"[\s\x0B]+", " "))
 
 
 def line_count(c: Column) -> Column:

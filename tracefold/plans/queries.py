@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import commands, text
-from ..functions.templates import Compiler
-from ..operators import coverage, match, mutate, tree
+from ..functions import commands, templates, text
+from ..operators import coverage, groups, match, mutate, tree
+from ..sources import definitions
 from . import inputs
 from .inputs import ARGV_SQL, LOG_SQL, MESSAGES_SQL, RULES, RULES_SQL, table
 
@@ -256,19 +256,90 @@ def normalise_summary(spark, sf):
 TEMPLATES = (
     "expected %0", "use of %select{class|struct|%1}0 type", "%plural{1:error|:errors}0 in %q1", "%diff{from $ to $|types}0,1 (%s2) %ordinal3", 'a.b*c? "%0"', "%sub{base}0,1 and %select{a|%select{b|c}1}0",
     "%s10 of %10", "%diff{x %select{p|q}2 $|y}0,1", "%select{a|%select{b|%select{c|d}2}1}0", "%diff{$ %select{$|z}0|w}0,1", "%select{%plural{1:a|:b}0|x}1", "%diff{a $|b}10,1 c",
+    "see %sub{twice}0,12", "%select{%sub{base}1|no}0 %sub{round}3",
 )
+#: What %sub stands for: one within another, and one that leads back to itself.
+SUBSTITUTIONS = {"base": "the '%0' of %select{this|that}1", "twice": "%sub{base}0,1 (again)", "round": "x %sub{back}0", "back": "y %sub{round}0"}
 
 
-@query(r"""SELECT * FROM (VALUES
+@query(r"""SELECT p_partkey, mode, concat(pattern, ' ', p_type) AS pattern FROM part JOIN (VALUES
  (0, 'compat', 'expected .*'), (1, 'compat', 'use of (class|struct|.*) type'), (2, 'compat', '(error|errors) in .*'), (3, 'compat', '(from .* to .*|types) \(.*\) .*'),
  (4, 'compat', 'a\.b\*c\? .*'), (5, 'compat', '.* and (a|(b|c))'), (6, 'compat', '.* of .*0'), (7, 'compat', '(x (p|q) .*|y)'), (8, 'compat', '(a|(b|%select\{c|d)\}1)'),
- (9, 'compat', '(.* (\.*|z)|w)'), (10, 'compat', '(%plural\{1:a|:b\}0|x)'), (11, 'compat', '(a .*|b),1 c'),
+ (9, 'compat', '(.* (\.*|z)|w)'), (10, 'compat', '(%plural\{1:a|:b\}0|x)'), (11, 'compat', '(a .*|b),1 c'), (12, 'compat', 'see .*2'), (13, 'compat', '(%sub\{base\}1|no) .*'),
  (0, 'fixed', 'expected .*'), (1, 'fixed', 'use of (class|struct|.*) type'), (2, 'fixed', '(error|errors) in .*'), (3, 'fixed', '(from .* to .*|types) \(.*\) .*'),
- (4, 'fixed', 'a\.b\*c\? ".*"'), (5, 'fixed', '.* and (a|(b|c))'), (6, 'fixed', '.* of .*'), (7, 'fixed', '(x (p|q) .*|y)'), (8, 'fixed', '(a|(b|(c|d)))'),
- (9, 'fixed', '(.* (.*|z)|w)'), (10, 'fixed', '((a|b)|x)'), (11, 'fixed', '(a .*|b) c')) AS t(template_id, mode, pattern)""")
+ (4, 'fixed', 'a\.b\*c\? ".*"'), (5, 'fixed', 'the ''.*'' of (this|that) and (a|(b|c))'), (6, 'fixed', '.* of .*'), (7, 'fixed', '(x (p|q) .*|y)'), (8, 'fixed', '(a|(b|(c|d)))'),
+ (9, 'fixed', '(.* (.*|z)|w)'), (10, 'fixed', '((a|b)|x)'), (11, 'fixed', '(a .*|b) c'), (12, 'fixed', 'see the ''.*'' of (this|that) \(again\)'), (13, 'fixed', '(the ''.*'' of (this|that)|no) x y .*')
+) AS t(template_id, mode, pattern) ON p_partkey % 14 = template_id""")
 def template_to_regex(spark, sf):
-    rows = [(i, m, Compiler(m).compile(t)) for m in ("compat", "fixed") for i, t in enumerate(TEMPLATES)]
-    return spark.createDataFrame(rows, "template_id int, mode string, pattern string")
+    """A template for each part, its type behind it."""
+    template = F.concat(F.element_at(F.array(*map(F.lit, TEMPLATES)), (F.col("p_partkey") % len(TEMPLATES) + 1).cast("int")), F.lit(" "), "p_type")
+    rows = table(spark, sf, "part").select("p_partkey", template.alias("template"))
+    both = [rows.select("p_partkey", F.lit(m).alias("mode"), templates.compiled(F.col("template"), m, SUBSTITUTIONS).alias("pattern")) for m in ("compat", "fixed")]
+    return both[0].unionByName(both[1])
+
+
+# ---- long catalogues, definition files, groups ----
+
+_PIECES = "SELECT item_id * 3 + p AS ord, concat('item_', item_id, '_', p) AS name, substr(text, 1 + 40 * p, 25) AS s FROM benchmark, (SELECT unnest([0, 1, 2]) AS p)"
+_TRIED = f"""WITH lines AS (SELECT line, count(*) AS n FROM (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) GROUP BY 1),
+ rules AS (SELECT * FROM ({_PIECES}) WHERE length(s) = 25 AND NOT contains(s, chr(10))),
+ tried AS (SELECT line, ord, name, contains(substr(line, strpos(line, s) + 25), '.') AS hit FROM lines, rules WHERE contains(line, s))"""
+
+
+def _piece_rules(spark, sf) -> list[tuple[str, str]]:
+    """Rules from the passages of ``benchmark``, a catalogue of fixed size: 25 characters somewhere, a full stop after them."""
+    piece = F.substring("text", 1 + 40 * F.col("p"), F.lit(25))
+    rows = table(spark, sf, "benchmark").withColumn("p", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("s", piece).where((F.char_length("s") == 25) & ~F.col("s").contains("\n"))
+    pattern = F.concat(F.lit(".*"), F.regexp_replace("s", r"([\\.^$*+?{}\[\]()|])", r"\\$1"), F.lit(r".*\."))
+    return [tuple(r) for r in rows.orderBy("item_id", "p").select(F.concat_ws("_", F.lit("item"), "item_id", "p"), pattern).collect()]
+
+
+def _lines(spark, sf) -> DataFrame:
+    lines = table(spark, sf, "documents").select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("message"))
+    return lines.groupBy("message").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_TRIED} SELECT md5(l.line) AS line_md5, any_value(n) AS n, arg_min(name, ord) FILTER (WHERE hit) AS name, cast(count(ord) AS INT) AS n_candidates FROM lines l LEFT JOIN tried t ON l.line = t.line GROUP BY l.line")
+def match_catalogue_first(spark, sf):
+    """Every line of the documents against a long catalogue, by the index; the rules tried are counted."""
+    found = match.match_indexed(_lines(spark, sf), _piece_rules(spark, sf), every=False)
+    return found.select(F.md5("message").alias("line_md5"), "n", "name", "n_candidates")
+
+
+@query(f"{_TRIED} SELECT md5(line) AS line_md5, string_agg(name, ',' ORDER BY ord) AS names FROM tried WHERE hit GROUP BY line")
+def match_catalogue_all(spark, sf):
+    found = match.match_indexed(_lines(spark, sf), _piece_rules(spark, sf), every=True).where("names is not null")
+    return found.select(F.md5("message").alias("line_md5"), F.array_join("names", ",").alias("names"))
+
+
+def _definition_files(spark, sf) -> DataFrame:
+    """A file for each item: a group with subgroups, an error over two lines and a warning with a group of its own."""
+    text = F.expr(r"""concat('// a note > , ; "\nlet Component = "', coalesce(kind, ''), '" in {\ndef G', item_id, ' : DiagGroup<"f-', item_id, '", [G', item_id * 2 + 1, ', G', item_id * 2 + 2,
+ CASE WHEN item_id % 10 = 5 THEN concat(', G', (item_id - 1) div 2) ELSE '' END, ']>;\n/* def err_no : Error<"no">; */\ndef err_', item_id, '\n  : Error <\n  "bad ', coalesce(name, ''), ' > , ; %0"  // why\n  " of kind \\"x\\" %select{a|b}1">',
+ CASE size % 3 WHEN 0 THEN ', DefaultFatal' WHEN 1 THEN concat(', InGroup<G', item_id, '>') ELSE '' END, ';\ndef warn_', item_id, ' : ', CASE WHEN price > 100 THEN 'Warning' ELSE 'ExtWarn' END, '<"use ', coalesce(name, ''), '">, InGroup<DiagGroup<"own-', item_id % 7, '">>',
+ CASE WHEN size % 5 = 0 THEN ', DefaultError' ELSE '' END, ';\n}\n')""")
+    return table(spark, sf, "items").where("item_id is not null").select(F.col("item_id").cast("string").alias("file"), text.alias("text"))
+
+
+@query(r"""WITH i AS (SELECT *, coalesce(name, '') AS title FROM items WHERE item_id IS NOT NULL)
+SELECT item_id, concat('err_', item_id) AS name, 'Error' AS kind, trim(regexp_replace(concat('bad ', title, ' > , ; %0 of kind \"x\" %select{a|b}1'), '\s+', ' ', 'g')) AS summary, CASE WHEN size % 3 = 0 THEN 'fatal' ELSE 'error' END AS severity,
+ CASE WHEN size % 3 = 1 THEN concat('G', item_id) END AS group_name, cast(NULL AS VARCHAR) AS flag FROM i
+UNION ALL SELECT item_id, concat('warn_', item_id), CASE WHEN price > 100 THEN 'Warning' ELSE 'ExtWarn' END, trim(regexp_replace(concat('use ', title), '\s+', ' ', 'g')), CASE WHEN size % 5 = 0 THEN 'error' ELSE 'warning' END, NULL, concat('own-', item_id % 7) FROM i""")
+def definition_records(spark, sf):
+    found = definitions.diagnostics(_definition_files(spark, sf))
+    return found.select(F.col("file").cast("long").alias("item_id"), "name", "kind", "summary", "severity", "group_name", "flag")
+
+
+@query("""WITH RECURSIVE i AS (SELECT * FROM items WHERE item_id IS NOT NULL),
+ e AS (SELECT item_id AS a, item_id * 2 + 1 AS b FROM i UNION SELECT item_id, item_id * 2 + 2 FROM i UNION SELECT item_id, (item_id - 1) // 2 FROM i WHERE item_id % 10 = 5),
+ r(a, b) AS (SELECT a, a FROM (SELECT a FROM e UNION SELECT b FROM e) UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+ d AS (SELECT item_id AS g, count(*) AS n FROM i WHERE size % 3 = 1 GROUP BY 1)
+SELECT concat('f-', a) AS flag, count(*) AS n_groups, cast(coalesce(sum(n), 0) AS BIGINT) AS n_diagnostics FROM r JOIN (SELECT DISTINCT item_id AS a FROM i) USING (a) LEFT JOIN d ON b = g GROUP BY 1
+UNION ALL SELECT concat('own-', item_id % 7), 0, count(*) FROM i GROUP BY 1""")
+def warning_flags(spark, sf):
+    """What each flag switches, through all subgroups; some groups hold each other."""
+    files = _definition_files(spark, sf)
+    return groups.switched(definitions.groups(files), definitions.diagnostics(files), inputs.shared_dir(spark))
 
 
 @query("""SELECT event_id, concat_ws(',', coalesce(a.p_name, ''), coalesce(b.p_name, ''), coalesce(a.p_name, '')) AS names FROM events LEFT JOIN part a ON a.p_partkey = user_id LEFT JOIN part b ON b.p_partkey = event_id % 5000""")

@@ -49,7 +49,7 @@ def messages(*logs: DataFrame) -> DataFrame:
 
 def read_count_map(spark: SparkSession, path: str) -> DataFrame:
     """name, n of one JSON object."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", "map<string,bigint>")).alias("name", "n"))
 
 
