@@ -497,6 +497,54 @@ def test_structures_are_parsed():
     assert span == (9, "signed_token", 9 + len(token))
 
 
+def plain_tags(data):
+    """Tags of bytes whose DER lengths nest exactly, by recursion over whole copies; None else."""
+    out, at = [], 0
+    while at < len(data):
+        if at + 2 > len(data):
+            return None
+        tag, n, at = data[at], data[at + 1], at + 2
+        if n & 0x80:
+            k = n & 0x7F
+            n, at = (int.from_bytes(data[at : at + k], "big"), at + k) if 1 <= k <= 4 and at + k <= len(data) else (-1, at)
+            if n < 0x80:
+                return None
+        if at + n > len(data) or tag & 0x20 and plain_tags(data[at : at + n]) is None:
+            return None
+        out.append(tag)
+        at += n
+    return out
+
+
+def test_secret_nesting_equals_plain_recursion():
+    rng = np.random.default_rng(2)
+
+    def made(depth):
+        body = b"".join(made(depth - 1) if depth and rng.random() < 0.6 else bytes([2, 2, 1, 1]) for _ in range(rng.integers(0, 4)))
+        return (bytes([0x30]) + (bytes([len(body)]) if len(body) < 128 else bytes([0x82]) + len(body).to_bytes(2, "big")) + body) if depth else bytes([4, 1, 0])
+
+    for _ in range(300):
+        data = bytearray(made(5))
+        for _ in range(rng.integers(0, 2)):
+            data[rng.integers(len(data))] = rng.integers(256)
+        bits = secrets.Symbols(bytes(data), 8)
+        for start in range(len(data)):  # shared knowledge must not change an answer
+            assert secrets.nests(bits, 8 * start, bits.size) == (plain_tags(bytes(data[start:])) is not None)
+
+
+@pytest.mark.parametrize("piece", ["MIR/", "MIIB", "3082", "b3BlbnNzaC1rZXktdjEA", "MIIBAgEA", "MIIBAgEAMIIB", "M A ", "eyJ.", "-----BEGIN PRIVATE KEY-----", "password "])
+def test_secret_scan_takes_time_in_proportion(piece):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        secrets.find(piece * (n // len(piece)))
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(400_000) < 8 * max(0.1, seconds(100_000))
+
+
 def test_secret_query_columns(spark, rows):
     odd = rows + [(None, "token=abcdef"), (8000, "token=abcdef"), (8000, "token=abcdef"), (8001, "x" * 200_000 + " token=abcdef AKIA" + "A" * 100_000), (8002, "secret=password=abcdef")]
     got = Counter((r.id, tuple((s.kind, s.start, s.end) for s in r.spans)) for r in secrets.scan(table(spark, odd)).collect())

@@ -16,7 +16,8 @@ DER header gives the length, and as much of the text is taken as it asks for.
 
 Python regular expressions in Arrow batches: code-point offsets and captures per match are not
 expressible with built-in functions.  A task holds one batch; batches are cut by row count, and a
-text is scanned whole.  No shuffle.  Parsing costs what the candidates' lengths are.
+text is scanned whole.  No shuffle.  A run of an alphabet is turned into symbols once, a candidate in it is judged by
+its headers alone, and what is known of a nested content is kept: the time is in proportion to the text.
 
 Defined results: a null or empty text has no spans; its digest is that of the empty string.  Every
 row gives one row, repeated ones too; an empty table gives none; extra columns are ignored.  Spans
@@ -31,7 +32,8 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -49,8 +51,10 @@ ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*(?:-(?!----)[
 DER_START = re.compile(r"M(?=[A-Za-z0-9+/_-]{15})")  # a SEQUENCE (0x30) begins with M
 SSH_START = re.compile(r"b3BlbnNzaC1rZXktdjEA")  # the container's magic
 HEX_START = re.compile(r"30(?=(?:[ \t\r\n:]?[0-9a-fA-F]{2}){10})")
-BASE64_GAP, HEX_GAP = " \t\r\n", " \t\r\n:"
-BASE64, HEXITS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"), frozenset("0123456789abcdefABCDEF")
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+#: Runs: their pieces, the gaps between pieces, the value of each symbol, bits in one.
+BASE64 = (re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"[ \t\r\n]*"), {ord(c): i for i, c in enumerate(_ALPHABET)} | {ord("-"): 62, ord("_"): 63}, 6)
+HEXITS = (re.compile(r"[0-9a-fA-F]+"), re.compile(r"[ \t\r\n:]*"), {ord(c): int(c, 16) for c in "0123456789abcdefABCDEF"}, 4)
 #: The magic of an OpenSSH container, and the object identifier (1.2.840.113549.1.5) of password-based encryption.
 SSH_MAGIC = b"openssh-key-v1\0"
 PBE = bytes.fromhex("2a864886f70d0105")
@@ -66,90 +70,143 @@ def from_base64(s: str) -> bytes | None:
         return None
 
 
-def der_tags(data: bytes) -> list[int] | None:
-    """Tags of all elements if the bytes are one DER SEQUENCE whose lengths nest exactly, else None."""
-    tags: list[int] = []
-    todo = [(0, len(data), True)]
-    while todo:
-        at, end, top = todo.pop()
-        while at < end:
-            if at + 2 > end:
-                return None
-            tag, n, at = data[at], data[at + 1], at + 2
-            if n & 0x80:
-                k = n & 0x7F
-                if not 1 <= k <= 4 or at + k > end:
-                    return None
-                n, at = int.from_bytes(data[at : at + k], "big"), at + k
-                if n < 0x80:
-                    return None
-            if at + n > end or top and (tag != 0x30 or at + n != end):
-                return None
-            tags.append(tag)
-            if tag & 0x20:
-                todo.append((at, at + n, False))
-            at += n
-    return tags or None
-
-
-def der_fields(data: bytes) -> list[tuple[int, bytes]]:
-    """(tag, content) of the elements in a constructed element whose lengths are known to nest."""
-    out, at = [], 0
-    while at < len(data):
-        tag, n, at = data[at], data[at + 1], at + 2
-        if n & 0x80:
-            n, at = int.from_bytes(data[at : at + (n & 0x7F)], "big"), at + (n & 0x7F)
-        out.append((tag, data[at : at + n]))
-        at += n
-    return out
-
-
-def der_length(head: bytes) -> int:
-    """Bytes of the SEQUENCE that begins with ``head``, 0 if none does."""
-    if len(head) < 6 or head[0] != 0x30:
+class Symbols:
+    """A text's run of one alphabet, gaps left out, as symbols of ``width`` bits; all places are in bits.
+
+    It is made once for all places in a run where something may begin; reading at a place costs what is read.
+    """
+
+    def __init__(self, codes: bytes, width: int, places: tuple[list[int], list[int]] = ([0], [0]), end: int = 0):
+        self.codes, self.width, self.size, self.end = codes, width, len(codes) * width, end
+        self.known: dict[tuple[int, int], bool] = {}  # contents that nest, or do not
+        self.inside, self.outside = places  # where each piece begins in the codes and in the text
+
+    @classmethod
+    def run(cls, text: str, start: int, piece: re.Pattern, gap: re.Pattern, table: dict[int, int], width: int) -> Symbols:
+        """The run that goes on from ``start``."""
+        pieces, inside, outside, at, n = [], [], [], start, 0
+        while m := piece.match(text, at):
+            pieces.append(m.group())
+            inside.append(n)
+            outside.append(at)
+            n, at = n + len(m.group()), gap.match(text, m.end()).end()
+        return cls("".join(pieces).translate(table).encode("latin-1"), width, (inside, outside), outside[-1] + len(pieces[-1]))
+
+    def bit(self, place: int) -> int:
+        """Of a place in the text."""
+        i = bisect_right(self.outside, place) - 1
+        return (self.inside[i] + place - self.outside[i]) * self.width
+
+    def place(self, bit: int) -> int:
+        """Where in the text the symbols before ``bit`` end."""
+        n = -(-bit // self.width)
+        i = bisect_right(self.inside, n - 1) - 1
+        return self.outside[i] + n - self.inside[i]
+
+    def read(self, at: int, n: int) -> bytes:
+        """``n`` bytes from bit ``at`` on; fewer at the end."""
+        n = min(n, (self.size - at) // 8)
+        first, last = at // self.width, -(-(at + 8 * n) // self.width)
+        value = 0
+        for c in self.codes[first:last]:
+            value = value << self.width | c
+        return (value >> (last * self.width - at - 8 * n) & ((1 << 8 * n) - 1)).to_bytes(n, "big") if n > 0 else b""
+
+
+def element(bits: Symbols, at: int, end: int) -> tuple[int, int, int] | None:
+    """Tag of the DER element at ``at`` and where its content begins and ends, None if it does not end by ``end``."""
+    head = bits.read(at, 6) if at + 16 <= end else b""
+    if len(head) < 2:
+        return None
+    n, start = head[1], at + 16
+    if n & 0x80:
+        k = n & 0x7F
+        if not 1 <= k <= 4 or start + 8 * k > end or len(head) < 2 + k:
+            return None
+        n, start = int.from_bytes(head[2 : 2 + k], "big"), start + 8 * k
+        if n < 0x80:
+            return None
+    return (head[0], start, start + 8 * n) if start + 8 * n <= end else None
+
+
+def nests(bits: Symbols, start: int, stop: int) -> bool:
+    """Whether elements fill the content from ``start`` to ``stop`` at every depth; what is known of a content is not asked again."""
+    open_, at = [(start, stop)], [start]
+    while open_:
+        if at[-1] == open_[-1][1]:
+            bits.known[open_.pop()] = True
+            end = at.pop()
+            if at:
+                at[-1] = end
+            continue
+        found = element(bits, at[-1], open_[-1][1])
+        known = bits.known.get(found[1:]) if found and found[0] & 0x20 else True
+        if not found or known is False:
+            bits.known.update(dict.fromkeys(open_, False))
+            return False
+        if known:
+            at[-1] = found[2]
+        else:
+            open_.append(found[1:])
+            at.append(found[1])
+    return True
+
+
+def private_end(bits: Symbols, at: int) -> int:
+    """Where the private key that begins at ``at`` ends, 0 if none does: PKCS#1, DSA, PKCS#8, SEC1 and encrypted PKCS#8.
+
+    At most eleven headers are read before the layout is known; none of the layouts has more fields.
+    """
+    top = element(bits, at, bits.size)
+    if not top or top[0] != 0x30 or top[2] - at < 24 * 8:
         return 0
-    n = head[1]
-    if n < 0x80:
-        return n + 2
-    k = n & 0x7F
-    return 2 + k + int.from_bytes(head[2 : 2 + k], "big") if 1 <= k <= 4 else 0
+    fields, a = [], top[1]
+    while a < top[2]:
+        found = element(bits, a, top[2])
+        if not found or len(fields) == 10 or not fields and found[0] not in (2, 0x30):
+            return 0
+        fields.append(found)
+        a = found[2]
+    tags = [t for t, _, _ in fields]
+    content = lambda i, n: bits.read(fields[i][1], min(n, (fields[i][2] - fields[i][1]) // 8))
+    version = content(0, 2) if tags[:1] == [2] else b""
+    first = lambda i: element(bits, fields[i][1], fields[i][2])
+    if tags[:9] == [2] * 9 and version in (b"\0", b"\1"):
+        held = tags[9:] in ([], [0x30])
+    elif tags == [2] * 6:
+        held = version == b"\0"
+    elif tags[:3] == [2, 0x30, 4] and version in (b"\0", b"\1"):
+        kind = first(1)
+        held = kind is not None and kind[0] == 6 and set(tags[3:]) <= {0xA0, 0xA1, 0x81}
+    elif tags[:2] == [2, 4]:
+        held = version == b"\1" and set(tags[2:]) <= {0xA0, 0xA1}
+    elif tags == [0x30, 4]:
+        kind = first(0)
+        held = kind is not None and kind[0] == 6 and bits.read(kind[1], min(len(PBE), (kind[2] - kind[1]) // 8)) == PBE
+    else:
+        held = False
+    return top[2] if held and nests(bits, top[1], top[2]) else 0
 
 
 def is_private_key(data: bytes | None) -> bool:
-    """The layouts of PKCS#1, DSA, PKCS#8, SEC1 and encrypted PKCS#8."""
-    if not data or len(data) < 24 or der_tags(data) is None:
-        return False
-    fields = der_fields(der_fields(data)[0][1])
-    tags = [t for t, _ in fields]
-    version = fields[0][1] if tags[:1] == [2] else b""
-    if tags[:9] == [2] * 9 and version in (b"\0", b"\1"):
-        return tags[9:] in ([], [0x30])
-    if tags == [2] * 6:
-        return version == b"\0"
-    if tags[:3] == [2, 0x30, 4] and version in (b"\0", b"\1"):
-        return [t for t, _ in der_fields(fields[1][1])][:1] == [6] and set(tags[3:]) <= {0xA0, 0xA1, 0x81}
-    if tags[:2] == [2, 4]:
-        return version == b"\1" and set(tags[2:]) <= {0xA0, 0xA1}
-    if tags == [0x30, 4]:
-        kind = der_fields(fields[0][1])[:1]
-        return bool(kind) and kind[0][0] == 6 and kind[0][1].startswith(PBE)
-    return False
-
-
-def ssh_length(data: bytes) -> int:
-    """Bytes of the OpenSSH container that ``data`` begins with, 0 if it holds none."""
-    at = len(SSH_MAGIC)
-    if not data.startswith(SSH_MAGIC):
+    """Whether the bytes are one private key."""
+    return bool(data) and private_end(Symbols(data, 8), 0) == 8 * len(data)
+
+
+def ssh_end(bits: Symbols, at: int) -> int:
+    """Where the OpenSSH container that begins at ``at`` ends, 0 if it holds none; it is of one key, as the format is written."""
+    if bits.read(at, len(SSH_MAGIC)) != SSH_MAGIC:
         return 0
-    for part in range(4):  # cipher, key derivation, its options, then the keys
-        count = 1
+    at += 8 * len(SSH_MAGIC)
+    for part in range(5):  # cipher, key derivation, its options, then how many, the public key and the private part
         if part == 3:
-            count, at = int.from_bytes(data[at : at + 4], "big") + 1, at + 4  # public ones, and the private part
-        for _ in range(count):
-            n = int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else -1
-            if n < 0 or at + 4 + n > len(data):
+            if bits.read(at, 4) != b"\0\0\0\1":
                 return 0
-            at += 4 + n
+            at += 32
+        head = bits.read(at, 4)
+        at += 32 + 8 * int.from_bytes(head, "big")
+        if len(head) < 4 or at > bits.size:
+            return 0
     return at
 
 
@@ -160,7 +217,7 @@ def is_private_body(body: str) -> bool:
     data = from_base64("".join(x for x in lines if ":" not in x).replace(" ", "").replace("\\", ""))
     if any(h.startswith("Proc-Type:") and "ENCRYPTED" in h for h in headers):
         return bool(data) and len(data) % 8 == 0
-    return bool(data) and (ssh_length(data) == len(data) or is_private_key(data))
+    return bool(data) and (ssh_end(Symbols(data, 8), 0) == 8 * len(data) or is_private_key(data))
 
 
 def is_signed_token(parts: list[str]) -> bool:
@@ -173,51 +230,26 @@ def is_signed_token(parts: list[str]) -> bool:
     return isinstance(first, dict) and isinstance(first.get("alg"), str) and isinstance(second, dict)
 
 
-def taken(text: str, at: int, n: int, alphabet: frozenset, gap: str) -> tuple[str, int]:
-    """The next ``n`` characters of ``alphabet`` from ``at`` and where they end; gaps are skipped, another character ends it."""
-    out: list[str] = []
-    end = at
-    while n and at < len(text):
-        c = text[at]
-        at += 1
-        if c in alphabet:
-            out.append(c)
-            n, end = n - 1, at
-        elif c not in gap:
-            break
-    return "".join(out), end
-
-
-def der_spans(text: str) -> list[tuple[int, str, int]]:
-    out, after = [], 0
-    for m in DER_START.finditer(text):
-        if m.start() < after:
-            continue
-        n = der_length(from_base64(text[m.start() : m.start() + 12]) or b"")
-        if n >= 24:
-            chars = -(-n * 4 // 3)
-            run, end = taken(text, m.start(), chars, BASE64, BASE64_GAP)
-            if len(run) == chars and is_private_key((from_base64(run) or b"")[:n]):
-                out.append((m.start(), "der_key", after := end))
-    after = 0
-    for m in HEX_START.finditer(text):
+def run_spans(text: str, starts: re.Pattern, run: tuple, ends: Callable[[Symbols, int], int], kind: str) -> list[tuple[int, str, int]]:
+    """What ``ends`` confirms of the places that match ``starts``, leftmost first; a run of symbols is read once."""
+    out, after, bits = [], 0, None
+    for m in starts.finditer(text):
         if m.start() < after:
             continue
-        n = der_length(bytes.fromhex(taken(text, m.start(), 12, HEXITS, HEX_GAP)[0]))
-        if n >= 24:
-            run, end = taken(text, m.start(), 2 * n, HEXITS, HEX_GAP)
-            if len(run) == 2 * n and is_private_key(bytes.fromhex(run)):
-                out.append((m.start(), "der_key", after := end))
+        if bits is None or m.start() >= bits.end:
+            bits = Symbols.run(text, m.start(), *run)
+        if end := ends(bits, bits.bit(m.start())):
+            after = bits.place(end)
+            out.append((m.start(), kind, after))
     return out
 
 
+def der_spans(text: str) -> list[tuple[int, str, int]]:
+    return run_spans(text, DER_START, BASE64, private_end, "der_key") + run_spans(text, HEX_START, HEXITS, private_end, "der_key")
+
+
 def ssh_spans(text: str) -> list[tuple[int, str, int]]:
-    out = []
-    for m in SSH_START.finditer(text):
-        run, _ = taken(text, m.start(), len(text), BASE64, BASE64_GAP)
-        if n := ssh_length(from_base64(run[: len(run) // 4 * 4]) or b""):
-            out.append((m.start(), "openssh_key", taken(text, m.start(), -(-n * 4 // 3), BASE64, BASE64_GAP)[1]))
-    return out
+    return run_spans(text, SSH_START, BASE64, ssh_end, "openssh_key")
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
