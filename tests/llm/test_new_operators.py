@@ -143,15 +143,15 @@ def frames(spark, sales, changes):
     return s, c
 
 
-@pytest.mark.parametrize("rows_per_key", [30, 10_000])  # few rows to a key: clients are cut into slices of time
-def test_valid_time_equals_brute_force(spark, rows_per_key):
+@pytest.mark.parametrize(("rows_per_key", "batches"), [(30, 8), (10_000, 3)])  # few rows to a key: clients are cut into slices of time
+def test_valid_time_equals_brute_force(spark, rows_per_key, batches):
     sales, changes = shop()
-    got = valid_time.enrich(*frames(spark, sales, changes), rows_per_key=rows_per_key, pieces=50).collect()
-    assert Counter(map(tuple, got)) == Counter(brute_valid_time(sales, changes))
+    got = valid_time.enrich(*frames(spark, sales, changes), batches=batches, rows_per_key=rows_per_key, pieces=50).collect()
+    assert Counter(map(tuple, got)) == Counter(brute_valid_time(sales, changes, batches))
 
 
 def test_valid_time_of_empty_tables(spark):
-    assert valid_time.enrich(*frames(spark, [], [])).collect() == []
+    assert valid_time.enrich(*frames(spark, [], []), batches=1).collect() == []
 
 
 def test_bisect_and_prune():

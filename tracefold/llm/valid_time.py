@@ -65,17 +65,17 @@ def day_of(c: Column) -> Column:
     return F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date"))
 
 
-def sale_rows(sales: DataFrame) -> DataFrame:
+def sale_rows(sales: DataFrame, batches: int = 8) -> DataFrame:
     number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NONE))
-    return sales.select(F.lit("sale").alias("kind"), number("client_id").alias("client"), number("sale_id").alias("id"), micros(F.col("sold_at")).alias("at"), F.lit(NONE).alias("seq"), F.lit(NONE).alias("cents"), F.lit(None).cast("string").alias("op"), batch_number(day_of(F.col("arrived_at"))).alias("batch"))
+    return sales.select(F.lit("sale").alias("kind"), number("client_id").alias("client"), number("sale_id").alias("id"), micros(F.col("sold_at")).alias("at"), F.lit(NONE).alias("seq"), F.lit(NONE).alias("cents"), F.lit(None).cast("string").alias("op"), batch_number(day_of(F.col("arrived_at")), batches).alias("batch"))
 
 
-def change_rows(changes: DataFrame) -> DataFrame:
+def change_rows(changes: DataFrame, batches: int = 8) -> DataFrame:
     number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NONE))
     shift = F.pmod(F.crc32(F.coalesce(F.col("change_id").cast("string"), F.lit(""))), F.lit(4))
     balance = F.col("balance").cast("double")
     cents = F.when(F.isnan(balance) | (F.abs(balance) > 9e15), F.lit(None)).otherwise(F.floor(100 * balance + 0.5))
-    return changes.distinct().where(F.col("valid_at").isNotNull()).select(F.lit("change").alias("kind"), number("client_id").alias("client"), number("change_id").alias("id"), micros(F.col("valid_at")).alias("at"), number("seq").alias("seq"), F.coalesce(cents, F.lit(NONE)).alias("cents"), "op", batch_number(day_of(F.col("valid_at")) + shift).alias("batch"))
+    return changes.distinct().where(F.col("valid_at").isNotNull()).select(F.lit("change").alias("kind"), number("client_id").alias("client"), number("change_id").alias("id"), micros(F.col("valid_at")).alias("at"), number("seq").alias("seq"), F.coalesce(cents, F.lit(NONE)).alias("cents"), "op", batch_number(day_of(F.col("valid_at")) + shift, batches).alias("batch"))
 
 
 # ---- state ----
@@ -276,7 +276,7 @@ def enrich(sales: DataFrame, changes: DataFrame, batches: int = 8, delay_hours:
     """rec, id, batch, n_held, change_id, balance_cents, op of all sales and of late changes; files stay in a new folder until ``clean``."""
     spark = sales.sparkSession
     home = fresh_path(spark, "valid-time")
-    rows = sale_rows(sales).unionByName(change_rows(changes))
+    rows = sale_rows(sales, batches).unionByName(change_rows(changes, batches))
     rows.write.parquet(f"{home}/rows")
     rows = spark.read.schema(rows.schema).parquet(f"{home}/rows")
 
@@ -312,27 +312,29 @@ def _resolve(out: DataFrame) -> DataFrame:
     """Rows of hot clients with what their slice could not know.
 
     Of the settled versions of a client only the one in its last such slice is held; earlier ones are pruned,
-    and so is all before them.
+    and so is all before them.  What a slice's sales need is gathered in one row per slice and batch: the sum for the
+    client is broadcast (a row per hot client and batch), what earlier slices carry comes from a window over
+    the slices of a client that have sales or open versions.
     """
     names = ["rec", "id", "batch", "n_held", "change_id", "balance_cents", "op"]
     slices = out.where(F.col("rec") == "slice")
     client = slices.groupBy("client", "batch").agg((F.sum("n_held") + F.max(F.col("own").cast("long"))).alias("all_held"), F.max(F.when(F.col("own"), F.col("slice"))).alias("settled_slice"))
-    # a slice's last version counts if it is not settled or in the last settled slice: as many rows as slices with open versions, and one
+    client = F.broadcast(client)
+    # a slice's last version counts if it is not settled or in the last settled slice
     valid = slices.join(client, ["client", "batch"]).where(~F.col("settled") | (F.col("slice") == F.col("settled_slice")))
-    step = valid.select("client", "batch", "slice", F.struct("change_id", "balance_cents", "op").alias("carried"))
-    ends = Window.partitionBy("client", "batch").orderBy("slice")
-    spans = step.withColumn("until", F.coalesce(F.lead("slice").over(ends), F.lit(HIGHEST)))
+    step = valid.select("client", "batch", "slice", F.lit(1).alias("kind"), F.struct("change_id", "balance_cents", "op").alias("carried"))
 
     rows = out.where(F.col("rec") != "slice")
-    sliced = rows.where(F.col("slice") != 0).join(client, ["client", "batch"], "left")
-    usable = F.col("own") & (~F.col("settled") | (F.col("slice") == F.col("settled_slice")))
-    sliced = sliced.withColumn("_row", F.col("slice")).withColumn("usable", usable)
-    mine = sliced.where("usable").select("rec", "id", "batch", F.col("all_held").alias("n_held"), "change_id", "balance_cents", "op")
-    place = sliced.where(~F.col("usable")).drop("change_id", "balance_cents", "op", "n_held")
-    asked = place.select("client", "batch", "slice").distinct()
-    found = asked.alias("a").join(spans.alias("s"), (F.col("a.client") == F.col("s.client")) & (F.col("a.batch") == F.col("s.batch")) & (F.col("a.slice") > F.col("s.slice")) & (F.col("a.slice") <= F.col("s.until"))).select("a.client", "a.batch", "a.slice", "carried")
-    carried = place.join(found, ["client", "batch", "slice"], "left").select("rec", "id", "batch", F.coalesce("all_held", F.lit(0)).cast("long").alias("n_held"), "carried.change_id", "carried.balance_cents", "carried.op")
-    return rows.where(F.col("slice") == 0).select(*names).unionByName(mine.select(*names)).unionByName(carried.select(*names))
+    sliced = rows.where(F.col("slice") != 0)
+    asked = sliced.select("client", "batch", "slice").distinct().withColumns({"kind": F.lit(0), "carried": F.lit(None).cast(step.schema["carried"].dataType)})
+    before = Window.partitionBy("client", "batch").orderBy("slice", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    found = asked.unionByName(step).withColumn("carried", F.last("carried", ignorenulls=True).over(before)).where("kind = 0").drop("kind").join(client, ["client", "batch"], "left")
+
+    joined = sliced.join(found, ["client", "batch", "slice"], "left")
+    own = F.struct("change_id", "balance_cents", "op")
+    held = F.when(F.col("own") & (~F.col("settled") | (F.col("slice") == F.col("settled_slice"))), own).otherwise(F.col("carried"))
+    resolved = joined.select("rec", "id", "batch", F.coalesce("all_held", F.lit(0)).alias("n_held"), held.alias("held")).select("rec", "id", "batch", "n_held", "held.*")
+    return rows.where(F.col("slice") == 0).select(*names).unionByName(resolved.select(*names))
 
 
 def op12_valid_time(spark: SparkSession, sf_dir: str) -> DataFrame:
