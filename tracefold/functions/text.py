@@ -1,7 +1,11 @@
-"""Text extraction as Column expressions; all stay inside the JVM."""
+"""Text extraction as Column expressions; all stay inside the JVM but those that look up many offsets of a text."""
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,19 +24,59 @@ def error_messages(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r":\s+error:\s+([^\n]*)\n"), F.lit(1))
 
 
+#: Fixed value: an annotation and its content.
 ANNOTATION = r"(expected-error(?:@(?:\+\d+|[\w.]+:\*?))?)\s*\{\{([^}]+)\}\}"
+_ANNOTATION = re.compile(ANNOTATION, re.ASCII)
+
+
+class Lines:
+    """Where the lines of a text begin, found once; an offset is looked up by binary search."""
+
+    def __init__(self, text: str):
+        self.text, self.breaks = text, [m.start() for m in re.finditer("\n", text)]
+
+    def number(self, offset: int) -> int:
+        """1-based line of a 0-based offset; one on a newline is on the line that ends there."""
+        return bisect_left(self.breaks, offset) + 1
+
+    def line(self, offset: int) -> str:
+        """The line of an offset with the continuations that follow it."""
+        i = last = bisect_left(self.breaks, offset)
+        start = self.breaks[i - 1] + 1 if i else 0
+        while last < len(self.breaks) and self.breaks[last] > 0 and self.text[self.breaks[last] - 1] == "\\" and self.breaks[last] > offset:
+            last += 1
+        return self.text[start : self.breaks[last] if last < len(self.breaks) else len(self.text)]
 
 
 def expected_annotations(c: Column) -> Column:
-    """Array of (full, content, line) of expected-error comments; lines count from 1."""
-    full, content = F.regexp_extract_all(c, F.lit(ANNOTATION), F.lit(0)), F.transform(F.regexp_extract_all(c, F.lit(ANNOTATION), F.lit(2)), lambda x: F.trim(x))
-    breaks = lambda x: F.transform(x, lambda t: F.char_length(t) - F.char_length(F.replace(t, F.lit("\n"), F.lit(""))))
-    bound = F.array(F.struct(full.alias("full"), content.alias("content"), breaks(F.split(c, ANNOTATION, -1)).alias("before"), breaks(full).alias("inside")))
-    total = lambda x, n: F.aggregate(F.slice(x, F.lit(1), n), F.lit(0), lambda a, b: a + b)
-    one = lambda s: F.transform(
-        s["full"], lambda f, i: F.struct(f.alias("full"), F.get(s["content"], i).alias("content"), (total(s["before"], i + 1) + total(s["inside"], i) + 1).cast("long").alias("line"))
-    )
-    return F.flatten(F.transform(bound, one))
+    """Array of (full, content, line) of expected-error comments; lines count from 1.  Arrow batches: one pass over a text."""
+
+    def found(text: str) -> list[dict]:
+        lines = Lines(text)
+        return [{"full": m.group(), "content": m.group(2).strip(" "), "line": lines.number(m.start())} for m in _ANNOTATION.finditer(text)]
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(found, na_action="ignore")
+
+    return F.pandas_udf(run, "array<struct<full: string, content: string, line: long>>")(c)
+
+
+def line_numbers(c: Column, offsets: Column) -> Column:
+    """1-based lines of an array of 0-based offsets, in its order; for many offsets in long texts."""
+
+    def run(texts: pd.Series, places: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or o is None else list(map(Lines(t).number, o)) for t, o in zip(texts, places)], dtype=object)
+
+    return F.pandas_udf(run, "array<long>")(c, offsets)
+
+
+def lines_at(c: Column, offsets: Column) -> Column:
+    """The lines of an array of 0-based offsets, as ``line_at_offset`` gives them."""
+
+    def run(texts: pd.Series, places: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or o is None else list(map(Lines(t).line, o)) for t, o in zip(texts, places)], dtype=object)
+
+    return F.pandas_udf(run, "array<string>")(c, offsets)
 
 
 def run_lines(c: Column, most: int = 5) -> Column:
@@ -52,6 +96,7 @@ def pragma_scope(c: Column, line: Column) -> Column:
     return F.when(s.isNotNull(), F.struct(trimmed(F.slice(s["t"], line, n)).alias("lines"), line.alias("start"), (line + n - 1).alias("end")))
 
 
+#: Fixed values in it: the report's labels.
 def annotation_report(file: Column, line: Column, full: Column, content: Column) -> Column:
     """A block of the console report of annotations."""
     return F.concat_ws("\n", F.concat(F.lit("File: "), file), F.concat(F.lit("Line: "), line.cast("string")), F.concat(F.lit("Full Error: "), full), F.concat(F.lit("Error Content: "), content), F.lit("-" * 80))

@@ -8,13 +8,14 @@ backslash continuations.  Every variant has the name of its mode.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.commands import remove_some, seeded_order
 from ..functions.text import line_at_offset
 from .tree import node_at
 
@@ -125,30 +126,41 @@ def line_at(text: str, offset: int) -> str:
     return text[start:] if end < 0 else text[start:end]
 
 
+def without_pair(text: str, start: int, end: int) -> str:
+    """The line at ``start`` once the characters at both places are gone; costs that line, not the text."""
+    out, before = [text[text.rfind("\n", 0, start) + 1 : start]], text[start - 1] if start else ""
+    for a, b in ((start + 1, end), (end + 1, len(text))):
+        at = text.find("\n", a, b)
+        while at >= 0 and (text[at - 1] if at > a else before) == "\\":  # the next line continues it
+            at = text.find("\n", at + 1, b)
+        if at >= 0:
+            return "".join(out) + text[a:at]
+        out.append(text[a:b])
+        before = text[b - 1] if b > a else before
+    return "".join(out)
+
+
 def remove_pairs(docs: DataFrame, id_col: str, text_col: str, pairs: dict[str, str] = PAIRS) -> DataFrame:
-    """A variant per matched pair, nested ones too: id, mode, start, end, inner, line, modified.
+    """A variant per matched pair, nested ones too: id, mode, start, end, line, modified.
 
     ``line`` and ``modified`` are the line at the pair's start before and after both ends are gone.  Nesting needs a stack: Arrow batches.
     """
 
-    def variant(t: str, s: int, e: int) -> tuple:
-        return PAIR_MODES.get(t[s], "remove_pair"), s, e, t[s + 1 : e], line_at(t, s), line_at(t[:s] + t[s + 1 : e] + t[e + 1 :], s)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["id", "mode", "start", "end", "inner", "line", "modified"]
+        columns = ["id", "mode", "start", "end", "line", "modified"]
         for b in batches:
             rows, size = [], 0
             for i, t in zip(b["id"], b["text"]):
                 for s, e in bracket_pairs(t, pairs) if t else ():
-                    rows.append((i, *variant(t, s, e)))
-                    size += e - s + 100
+                    rows.append((i, PAIR_MODES.get(t[s], "remove_pair"), s, e, line_at(t, s), without_pair(t, s, e)))
+                    size += 2 * len(rows[-1][-1]) + 100
                     if size > 4_000_000:
                         yield pd.DataFrame(rows, columns=columns)
                         rows, size = [], 0
             if rows:
                 yield pd.DataFrame(rows, columns=columns)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, mode string, start long, end long, inner string, line string, modified string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, mode string, start long, end long, line string, modified string")
 
 
 def remove_parentheses(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> DataFrame:
@@ -203,7 +215,17 @@ def _captures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return found.withColumn("v", F.explode(forms)).select("id", "v.mode", "line", "v.modified")
 
 
-#: Source modes and what makes their variants: id, mode, line, modified.
+def _arguments(mode: str, change) -> Callable:
+    """Of a command in the text column; its identifier is the seed."""
+
+    def run(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        argv = F.filter(F.split(F.col(text_col), r"\s+"), lambda a: a != "")
+        return docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.lit(mode).alias("mode"), F.col(text_col).alias("line"), F.array_join(change(argv, F.col(id_col)), " ").alias("modified"))
+
+    return run
+
+
+#: Modes of sources and arguments and what makes their variants: id, mode, line, modified.
 DISPATCH = {
     "remove_parentheses": lambda docs, i, t: remove_pairs(docs, i, t, {"(": ")"}).select("id", "mode", "line", "modified"),
     "replace_colon_with_semicolon": _of_lines(lambda rows: replace_symbol(rows, ":", ";").withColumn("mode", F.lit("replace_colon_with_semicolon"))),
@@ -211,11 +233,15 @@ DISPATCH = {
     "remove_single": _of_lines(delete_symbols),
     "remove_pair": lambda docs, i, t: remove_pairs(docs, i, t).select("id", "mode", "line", "modified"),
     "lambda_captures": _captures,
+    "argsreorder": _arguments("argsreorder", lambda argv, seed: seeded_order(argv, seed)),
+    "argsremove": _arguments("argsremove", lambda argv, seed: remove_some(argv, seed, 4)),
 }
 
 
-def variants(docs: DataFrame, mode: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All variants of a source mode: id, mode, line, modified."""
+def variants(docs: DataFrame, mode: str, id_col: str = "doc_id", text_col: str = "text", nodes: DataFrame | None = None) -> DataFrame:
+    """All variants of a mode: id, mode, line, modified.  add_asterisk_to_variables takes its places from ``nodes`` (see ``add_asterisk``), which name their text in ``id_col``."""
+    if mode == "add_asterisk_to_variables" and nodes is not None:
+        return add_asterisk(nodes).select(F.col(id_col).alias("id"), F.lit(mode).alias("mode"), "line", "modified")
     if mode not in DISPATCH:
         raise ValueError(f"mode: {mode!r}")
     return DISPATCH[mode](docs, id_col, text_col)

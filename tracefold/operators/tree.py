@@ -65,14 +65,27 @@ def parentheses(nodes: DataFrame) -> DataFrame:
     return own.select("tree_id", "path", "kind", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("s")).select("tree_id", "path", "kind", "s.*")
 
 
+#: Kinds of nodes that own no parenthesis.
+NO_OWNER = ("UNEXPOSED_EXPR", "DECL_REF_EXPR")
+
+
 def parenthesis_owner(nodes: DataFrame, places: DataFrame) -> DataFrame:
-    """The construct a parenthesis is part of: the deepest node around it that is neither UNEXPOSED_EXPR nor DECL_REF_EXPR.
+    """The construct a parenthesis is part of: the walk from the root goes on to the first child that holds the place, as far as one does.
+
+    Its end, or the nearest node above that is no ``NO_OWNER``, is the owner.  What stands below a node that does not hold the place is
+    never reached, nor is a second child that holds it.
 
-    nodes: tree_id, path, kind, line_start, line_end, col_start, col_end (both ends inside).  places: tree_id, line, col, symbol; other
-    symbols than parentheses have no owner.  Returns tree_id, line, col, kind (null if none).
+    nodes: tree_id, path, kind, line_start, line_end, col_start, col_end (both ends inside); a root's path is the shortest of its tree.  places:
+    tree_id, line, col, symbol; other symbols than parentheses have no owner.  Returns tree_id, line, col, kind (null if none).
     """
     asked = places.where("symbol in ('(', ')')")
+    roots = nodes.groupBy("tree_id").agg(F.min(F.size("path")).alias("top"))
     spread = nodes.withColumn("line", F.explode(F.sequence("line_start", "line_end")))  # an equi-join on the line
-    around = asked.join(spread, ["tree_id", "line"]).where("col_start <= col and col <= col_end and kind not in ('UNEXPOSED_EXPR', 'DECL_REF_EXPR')")
-    owner = around.groupBy("tree_id", "line", "col").agg(F.max_by("kind", F.struct(F.size("path"), F.col("path"))).alias("kind"))
+    around = asked.join(spread, ["tree_id", "line"]).where("col_start <= col and col <= col_end")
+    held = around.groupBy("tree_id", "line", "col").agg(F.array_sort(F.collect_set(F.struct("path", "kind"))).alias("held")).join(roots, "tree_id")
+    # in the order of paths a node stands before what is below it, and that before its next sibling
+    start = F.struct(F.lit(None).cast(nodes.schema["path"].dataType).alias("path"), F.lit(None).cast("string").alias("kind"))
+    next_ = lambda at, x: F.when(at["path"].isNull(), F.size(x["path"]) == F.col("top")).otherwise((F.size(x["path"]) == F.size(at["path"]) + 1) & (F.slice(x["path"], F.lit(1), F.size(at["path"])) == at["path"]))
+    step = lambda at, x: F.when(next_(at, x), F.struct(x["path"].alias("path"), F.when(x["kind"].isin(*NO_OWNER), at["kind"]).otherwise(x["kind"]).alias("kind"))).otherwise(at)
+    owner = held.select("tree_id", "line", "col", F.aggregate("held", start, step)["kind"].alias("kind"))
     return asked.select("tree_id", "line", "col").join(owner, ["tree_id", "line", "col"], "left")

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import commands, templates, text
-from ..operators import coverage, groups, match, mutate, tree
-from ..sources import definitions
+from ..operators import coverage, groups, match, mutate, tree, variants
+from ..sources import definitions, encodings, logs
 from . import inputs
 from .inputs import ARGV_SQL, LOG_SQL, MESSAGES_SQL, RULES, RULES_SQL, table
 
@@ -615,15 +615,73 @@ def first_identifier(spark, sf):
 
 @query("""SELECT event_id, user_id % 40 AS col, CASE WHEN user_id % 40 >= 30 THEN NULL WHEN user_id % 40 >= 10 AND user_id % 40 <= 19 AND event_id % 4 < 2 THEN 'CALL_EXPR' ELSE 'FUNCTION_DECL' END AS kind FROM events WHERE event_id % 5 <> 0""")
 def parenthesis_owner(spark, sf):
-    """A function in columns 0 to 29, in it a call or reference in 10 to 19, in that an unexposed expression; every fifth place is no parenthesis."""
+    """A function in columns 0 to 29, in it a call or reference in 10 to 19, in that an unexposed expression; every fifth place is no parenthesis.
+
+    A second child over the same columns, and one that holds a place below a node that does not, are never reached.
+    """
     e = table(spark, sf, "events")
     node = lambda path, kind, a, b: F.struct(F.array(*map(F.lit, path)).alias("path"), kind.alias("kind"), F.lit(1).alias("line_start"), F.lit(3).alias("line_end"), F.lit(a).alias("col_start"), F.lit(b).alias("col_end"))
     inner = F.when(F.col("event_id") % 4 < 2, "CALL_EXPR").otherwise("DECL_REF_EXPR")
-    nodes = e.select(F.col("event_id").alias("tree_id"), F.explode(F.array(node([0], F.lit("FUNCTION_DECL"), 0, 29), node([0, 1], inner, 10, 19), node([0, 1, 0], F.lit("UNEXPOSED_EXPR"), 12, 15))).alias("n")).select("tree_id", "n.*")
+    nodes = e.select(F.col("event_id").alias("tree_id"), F.explode(F.array(node([0], F.lit("FUNCTION_DECL"), 0, 29), node([0, 1], inner, 10, 19), node([0, 1, 0], F.lit("UNEXPOSED_EXPR"), 12, 15), node([0, 2], F.lit("IF_STMT"), 10, 19), node([0, 3], F.lit("IF_STMT"), 90, 99), node([0, 3, 0], F.lit("FOR_STMT"), 20, 25))).alias("n")).select("tree_id", "n.*")
     places = e.select(F.col("event_id").alias("tree_id"), F.lit(2).alias("line"), (F.col("user_id") % 40).alias("col"), F.when(F.col("event_id") % 5 == 0, ";").otherwise(F.when(F.col("event_id") % 2 == 0, "(").otherwise(")")).alias("symbol"))
     return tree.parenthesis_owner(nodes, places).select(F.col("tree_id").alias("event_id"), "col", "kind")
 
 
+# ---- many offsets, encodings, long logs, modes in SQL ----
+
+
+@query("SELECT doc_id, k, len(string_split(left(text, o), chr(10))) AS line_no, md5(string_split(text, chr(10))[len(string_split(left(text, o), chr(10)))]) AS line_md5 FROM (SELECT doc_id, text, k, cast(length(text) * k // 20 AS INT) AS o FROM documents, (SELECT unnest(range(20)) AS k) WHERE text IS NOT NULL AND NOT contains(text, chr(92)))")
+def lines_of_offsets(spark, sf):
+    """Twenty places of each text, looked up in one list of its lines."""
+    d = table(spark, sf, "documents").where(F.col("text").isNotNull() & ~F.col("text").contains("\\"))
+    offsets = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.floor(F.char_length("text").cast("long") * k / 20))
+    found = d.select("doc_id", text.line_numbers(F.col("text"), offsets).alias("n"), text.lines_at(F.col("text"), offsets).alias("l"))
+    return found.select("doc_id", F.posexplode(F.arrays_zip("n", "l")).alias("k", "x")).select("doc_id", F.col("k").cast("long").alias("k"), F.col("x.n").alias("line_no"), F.md5("x.l").alias("line_md5"))
+
+
+@query(r"""SELECT doc_id, md5(t) AS text_md5, CASE WHEN t = '' THEN 'ascii' WHEN doc_id % 4 = 0 THEN 'utf-16-le' WHEN doc_id % 4 = 1 THEN 'utf-16' WHEN regexp_full_match(t, '[\x{00}-\x{7f}]*') THEN 'ascii' WHEN doc_id % 4 = 2 AND regexp_full_match(t, '[\x{00}-\x{7f}\x{a0}-\x{ff}]*') THEN 'latin-1' ELSE 'utf-8' END AS encoding
+ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WHERE length(t) <> 0""")
+def decode_sources(spark, sf):
+    """Each text in one of four encodings, with or without a mark, read by what its bytes tell."""
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")).where("t <> ''")
+    latin = (F.col("doc_id") % 4 == 2) & F.col("t").rlike(r"^[\x00-\x7f\xa0-\xff]*$")
+    raw = F.when(F.col("doc_id") % 4 == 0, F.encode("t", "UTF-16LE")).when(F.col("doc_id") % 4 == 1, F.encode("t", "UTF-16")).when(latin, F.encode(F.when(latin, F.col("t")), "ISO-8859-1")).otherwise(F.encode("t", "UTF-8"))
+    found = d.select("doc_id", encodings.decoded(raw).alias("d"))
+    return found.select("doc_id", F.md5("d.text").alias("text_md5"), F.col("d.encoding").alias("encoding"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'ERROR' ELSE 'INFO' END AS level, md5(coalesce(text, '')) AS message_md5 FROM documents WHERE doc_id IS NOT NULL")
+def attempt_entries(spark, sf):
+    """The documents as entries of long log files, read by byte ranges."""
+    import uuid
+
+    path = f"{inputs.shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    head = F.concat(F.lit("2024-11-18 10:00:00,"), F.col("doc_id").cast("string"), F.lit(" - "), F.when(F.col("doc_id") % 3 == 0, "ERROR").otherwise("INFO"), F.lit(" - "))
+    table(spark, sf, "documents").where("doc_id is not null").select(F.concat(head, F.coalesce("text", F.lit(""))).alias("value")).write.option("lineSep", "\n").text(path)
+    found = logs.read_attempts_in_blocks(spark, path)
+    return found.select(F.substring_index("time", ",", -1).cast("long").alias("doc_id"), "level", F.md5("message").alias("message_md5"))
+
+
+_NINE = ", ".join(f"('{old}', '{new}', '{mode}')" for (old, new), mode in mutate.REPLACE_MODES.items())
+
+
+@query(f"SELECT doc_id, mode, md5(line) AS line_md5, md5(substr(line, 1, pos) || new || substr(line, pos + 1 + length(old))) AS modified_md5 FROM {_places(':;,=')} JOIN (VALUES {_NINE}) AS t(old, new, mode) ON substr(line, pos + 1, length(old)) = old")
+def variants_lateral(spark, sf):
+    """The nine replacements of every document by the table function, in SQL."""
+    variants.register(spark)
+    docs = table(spark, sf, "documents")
+    return spark.sql("SELECT d.doc_id, v.mode, md5(v.line) AS line_md5, md5(v.modified) AS modified_md5 FROM {docs} d, LATERAL variants(d.text, 'replace_all', 0) v", docs=docs)
+
+
+@query()
+def pair_variants_of_pages(spark, sf):
+    """All pairs of brackets in whole pages and documents, nested ones too; per text and mode how many and how long their lines are."""
+    pages = table(spark, sf, "pages").select(F.lit("page").alias("source"), F.col("page_id").alias("id"), F.col("html").alias("text"))
+    docs = table(spark, sf, "documents").select(F.lit("document").alias("source"), F.col("doc_id").alias("id"), "text")
+    found = [mutate.remove_pairs(t, "id", "text").withColumn("source", F.lit(name)) for name, t in (("page", pages), ("document", docs))]
+    return found[0].unionByName(found[1]).groupBy("source", "id", "mode").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("modified")).alias("chars"), F.max(F.col("end") - F.col("start")).alias("widest"))
+
+
 # ---- streaming ----
 
 
@@ -638,3 +696,23 @@ def stream_label_counts(spark, sf):
     stream = ingest.stream_log(spark, f"{base}/in", "message string", "parquet")
     ingest.run_available(ingest.label_counts(stream, RULES), f"{base}/out", f"{base}/state")
     return spark.read.parquet(f"{base}/out")
+
+
+@query(SQL["attempts_until_success"])
+def stream_attempts(spark, sf):
+    """``attempts_until_success`` as a stream: the rows come in two parts, the query starts anew for each on one checkpoint."""
+    import uuid
+
+    from ..streaming import ingest
+
+    base = f"{inputs.shared_dir(spark)}/attempts-{uuid.uuid4().hex}"
+    rows = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"), (F.col("l_quantity") > 44).alias("small"), (F.col("l_discount") > 0.07).alias("large"))
+    before = spark.conf.get(ingest.ROCKSDB[0], None)
+    spark.conf.set(*ingest.ROCKSDB)
+    try:
+        for part in range(2):
+            rows.where(F.pmod(F.xxhash64("place"), F.lit(2)) == part).write.mode("append").parquet(f"{base}/in")
+            ingest.collect_updates(ingest.attempts(ingest.stream_log(spark, f"{base}/in", "key long, place long, small boolean, large boolean", "parquet")), f"{base}/out", f"{base}/state")
+    finally:
+        spark.conf.unset(ingest.ROCKSDB[0]) if before is None else spark.conf.set(ingest.ROCKSDB[0], before)
+    return ingest.latest(spark.read.parquet(f"{base}/out")).withColumnRenamed("key", "l_partkey")
