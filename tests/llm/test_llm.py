@@ -633,14 +633,23 @@ def test_html_keeps_all_slots_that_vary(spark):
 
 def test_html_classes_need_equal_counts_and_a_tag():
     token = lambda t, n=4, total=4, vector="1", least=1, most=1: dict(token=t, pages=n, total=total, vector=vector, least=least, most=most)
-    body, box = token("body"), token("body>div.x", total=8, vector="2", least=2, most=2)
-    inside, beside = token("body>div.x\nab", total=8, vector="2", least=2, most=2), token("body>p\ncd", 3, 3, "3")
-    assert html_extract.deduce([body, box, inside, beside], 4, 0.6) == (["body", "body>div.x"], ["body>div.x\nab"])
-    assert html_extract.deduce([body, box | dict(least=1, most=3)], 4, 0.6) == (["body"], [])  # 8 in 4 pages, but not 2 in each
-    assert html_extract.deduce([body, token("body>p\nef")], 4, 0.6) == (["body"], ["body>p\nef"])  # nested in body's span
+    body, box = token("body:1"), token("div:2", total=8, vector="2", least=2, most=2)
+    inside, beside = token("div:2\nab", total=8, vector="2", least=2, most=2), token("p:3\ncd", 3, 3, "3")
+    assert html_extract.deduce([body, box, inside, beside], 4, 0.6) == ({"body:1": 1, "div:2": 2}, {"div:2\nab": 2})
+    assert html_extract.deduce([body, box | dict(least=1, most=3)], 4, 0.6) == ({"body:1": 0}, {})  # 8 in 4 pages, but not 2 in each
+    assert html_extract.deduce([body, token("p:3\nef")], 4, 0.6) == ({"body:1": 0}, {"p:3\nef": 0})
     assert html_extract.deduce([beside], 4, 0.6) is None
 
 
+def test_html_runs_are_template_inside_a_tag_of_their_class():
+    page = "<body><div class=a><p>fixed words</p></div><div class=b><p>fixed words</p><p>own words of it, and more than those</p></div></body>"
+    opened = [e for kind, e, _ in html_extract.events(page) if kind == "open"]
+    a, b = (e for e in opened if e.name == "div")
+    runs = {html_extract.run_token(e.path, "fixed words"): 1 for e in opened if e.name == "p"}
+    assert html_extract.main_text(page, ({a.path: 1, b.path: 2}, runs)) == "fixed words\nown words of it, and more than those"  # dropped in a, kept in b
+    assert html_extract.main_text(page, ({a.path: 1, b.path: 1}, runs)) == "own words of it, and more than those"
+
+
 def test_html_template_decides(spark, monkeypatch):
     page = (
         "<html><body><div class=q1><div class=q2>Start <a href=/>Here</a></div><div class=q2>Shop</div></div><div class=w><header><h1>Title {0}</h1></header><p>First {0} of it.</p>"
@@ -676,6 +685,9 @@ def test_html_deep_pages(spark):
     assert got[9] == "start 9\ndeep 9\nend 9"
     unclosed = "<div id=wrap><article>" + "<section>" * 30000 + "text"
     assert html_extract.main_text(unclosed, None) == "text"
+    for depth in (100, 198, 250, 3000):
+        page = "<body>" + "<div>" * depth + "<p>teaser outside</p><article><p>the article</p></article>" + "</div>" * depth + "</body>"
+        assert html_extract.main_text(page, None) == "the article"
 
 
 # ---- neighbours ----

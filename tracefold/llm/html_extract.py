@@ -6,7 +6,7 @@
    the least and largest count on a page and a commutative fingerprint of the occurrence vector over all the host's pages are summed.
 2. Tokens with the same vector form an equivalence class.  A class is valid when it holds a tag, and its tokens occur in at
    least ``support`` of the host's pages and equally often in each of them.  The template is the tags of valid classes and
-   those runs, on ``STEADY`` pages at least, that stand inside a tag of their own class.  Classes nest by path: a run or
+   those runs, on ``STEADY`` pages at least, that stand inside a tag of their own class, as the page's own elements tell.  Classes nest by path: a run or
    tag belongs into the span of the nearest tag above it.
 3. A slot is the text in a tag's span that is not template.  A page's text is that of its blocks with a word in
    a slot, in page order, wherever they are on the page; a block of template runs alone is dropped.
@@ -17,7 +17,7 @@
 A page that has no tag of its template but html and body, on which the template's runs outweigh the slots (as on hosts
 of copies of one page), or whose host has no valid class, is
 read by its own article elements, else main, else body; a page without tags is one block.  Elements with the same
-path share a slot.  From ``DEPTH`` open elements on, deeper ones count for the path of the last above them.
+path share a slot.  A path is held as a digest chained over the elements above, so it is as short at any depth.
 
 Python in Arrow batches: tokenising markup is sequential; pages are parsed once for statistics and once for their text.
 Statistics cover all pages; they are summed map-side per (host, token), so a host with a third of all pages is a row per
@@ -36,7 +36,7 @@ import hashlib
 import html
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,17 +61,35 @@ ATTRIBUTE = re.compile(r"""(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*(?:
 NUMBER = re.compile(r"\d+")
 DROPPED_LEAVES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promo(?:tion)?s?|comments?|newsletter|cookies?|consent|gdpr|hidden)(?:$|[\s_-])", re.IGNORECASE)
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption address".split())
-#: Elements of a path; all open elements are held.
-DEPTH = 200
 #: Pages that must agree before a text counts as constant over a host.
 STEADY = 3
 
 
 class Element:
-    __slots__ = ("name", "path", "dropped", "within")
+    __slots__ = ("name", "path", "up", "dropped", "within")
 
-    def __init__(self, name: str, path: str, dropped: bool, within: bool):
-        self.name, self.path, self.dropped, self.within = name, path, dropped, within  # within an article or main element
+    def __init__(self, name: str, mark: str, up: Element | None, dropped: bool, within: bool):
+        self.name, self.up, self.dropped, self.within = name, up, dropped, within  # within an article or main element
+        self.path = path_of(name, mark, up.path if up else "")
+
+
+def path_of(name: str, mark: str, up: str) -> str:
+    """A path as the element's name and a digest of its marks and the path above: of constant length at any depth."""
+    return f"{name}:{hashlib.blake2b(f'{up}>{name}{mark}'.encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}"
+
+
+def stands_in(element: Element | None, holds: Callable[[str], bool], known: dict) -> bool:
+    """Whether ``holds`` is true of an element's path or of one above it; ``known`` keeps what was found, so each element is asked once."""
+    way = []
+    while element is not None and element not in known:
+        way.append(element)
+        if holds(element.path):
+            known[element] = True
+            break
+        element = element.up
+    found = element is not None and known[element]
+    known.update(dict.fromkeys(way, found))
+    return found
 
 
 def is_dropped(name: str, attributes: dict[str, str], within: bool) -> bool:
@@ -126,12 +144,10 @@ def events(page: str) -> Iterator[tuple[str, Element | None, str]]:
         found = {a.lower(): (b or c or d or "") for a, b, c, d in ATTRIBUTE.findall(m.group(3))}
         mark = "".join("." + ".".join(NUMBER.sub("#", found[k]).split()) for k in ("id", "class", "role") if found.get(k))
         up = stack[-1] if stack else None
-        deep = len(stack) >= DEPTH  # paths stay short; the element itself is open like any other
         within = bool(up and up.within)
         dropped = bool(up and up.dropped) or is_dropped(name, found, within)
-        element = Element(name, up.path if deep else (up.path + ">" if up else "") + name + mark, dropped, within or name in ("article", "main"))
-        if not deep:
-            yield "open", element, ""
+        element = Element(name, mark, up, dropped, within or name in ("article", "main"))
+        yield "open", element, ""
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else n
@@ -151,13 +167,7 @@ def clean(parts: list[str]) -> str:
 
 
 def kind_of(path: str) -> str:
-    return re.split(r"[.>]", path.rpartition(">")[2])[0]
-
-
-def above(path: str) -> list[str]:
-    """The path's prefixes, itself the last."""
-    parts = path.split(">")
-    return [">".join(parts[:i]) for i in range(1, len(parts) + 1)]
+    return path.partition(":")[0]
 
 
 def run_token(path: str, text: str) -> str:
@@ -190,31 +200,36 @@ def blocks_of(every: list, keep) -> list[list[tuple[Element | None, str]]]:
     return blocks
 
 
-def main_text(page: str | None, template: tuple[set, set] | None) -> str:
+def main_text(page: str | None, template: tuple[dict[str, int], dict[str, int]] | None) -> str:
     """Text of the blocks in the slots of ``template`` (see ``deduce``), or of the page's own main elements."""
     if not page:
         return ""
     every = list(events(page))
     paths = dict.fromkeys(e.path for kind, e, _ in every if kind == "open" and not e.dropped)
     if template and any(p in template[0] and kind_of(p) not in ("html", "body") for p in paths):
-        slots, fixed = [], 0
+        tags, runs = template
+        slots, length, inside = [], 0, defaultdict(dict)
+
+        def fixed(element: Element | None, text: str) -> bool:
+            """Whether a run is template: it is in a class, and stands inside a tag of that class."""
+            c = runs.get(run_token(element.path, text)) if element is not None else None
+            return c is not None and stands_in(element, lambda p: tags.get(p) == c, inside[c])
+
         for block in blocks_of(every, lambda e: e is None or not e.dropped):
             text = clean([t for _, t in block])
-            if text and all(e is not None and run_token(e.path, t) in template[1] for e, t in block if t.strip()):
-                fixed += len(text)
+            if text and all(fixed(e, t) for e, t in block if t.strip()):
+                length += len(text)
             elif text:
                 slots.append(text)
-        if sum(map(len, slots)) > fixed:
+        if sum(map(len, slots)) > length:
             return "\n".join(slots)
     own = next((found for name in ("article", "main", "body") if (found := {p for p in paths if kind_of(p) == name})), None)
-    verdicts: dict[str, bool] = {}
+    verdicts: dict[Element, bool] = {}
 
     def mine(element: Element | None) -> bool:
         if own is None or element is None:
             return own is None and (element is None or not element.dropped)
-        if element.path not in verdicts:
-            verdicts[element.path] = not own.isdisjoint(above(element.path))
-        return verdicts[element.path] and not element.dropped
+        return not element.dropped and stands_in(element, own.__contains__, verdicts)
 
     return "\n".join(filter(None, (clean([t for _, t in block]) for block in blocks_of(every, mine))))
 
@@ -223,22 +238,26 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def deduce(tokens: list[dict], pages: int, support: float) -> tuple[list[str], list[str]] | None:
-    """A host's template from its tokens (token, pages, total, vector, least, most): its tags and its runs."""
+def deduce(tokens: list[dict], pages: int, support: float) -> tuple[dict[str, int], dict[str, int]] | None:
+    """A host's template from its tokens (token, pages, total, vector, least, most): its tags and its runs, each with its class.
+
+    A run is template only inside a tag of its own class; whether it is, a page's own elements tell.
+    """
     classes: dict[tuple, list[dict]] = defaultdict(list)
     for t in tokens:
         classes[(t["pages"], t["total"], t["vector"])].append(t)
-    tags: set[str] = set()
-    runs: set[str] = set()
-    for (n, _, _), c in classes.items():
-        own = {t["token"] for t in c if "\n" not in t["token"]}
+    tags: dict[str, int] = {}
+    runs: dict[str, int] = {}
+    for number, key in enumerate(sorted(classes)):
+        c, n = classes[key], key[0]
+        own = [t["token"] for t in c if "\n" not in t["token"]]
         # valid: enough pages and equally often in each of them
         if not own or n < support * pages or any(t["least"] != t["most"] for t in c):
             continue
-        tags |= own
+        tags.update(dict.fromkeys(own, number))
         if n >= STEADY:
-            runs |= {t["token"] for t in c if "\n" in t["token"] and not own.isdisjoint(above(t["token"].partition("\n")[0]))}
-    return (sorted(tags), sorted(runs)) if tags else None
+            runs.update((t["token"], number) for t in c if "\n" in t["token"])
+    return (tags, runs) if tags else None
 
 
 def templates(pages: DataFrame, support: float = 0.6) -> DataFrame:
@@ -277,7 +296,7 @@ def templates(pages: DataFrame, support: float = 0.6) -> DataFrame:
             found = [deduce([dict(t) if isinstance(t, dict) else t.asDict() for t in ts], n, support) or (None, None) for ts, n in zip(b["tokens"], b["of"])]
             yield pd.DataFrame({"host": b["host"], "tags": [f[0] for f in found], "runs": [f[1] for f in found]})
 
-    out = materialise(listed.mapInPandas(judge, "host string, tags array<string>, runs array<string>"), "templates")
+    out = materialise(listed.mapInPandas(judge, "host string, tags map<string, int>, runs map<string, int>"), "templates")
     forget(summed)
     return out
 
@@ -290,7 +309,7 @@ def extract(pages: DataFrame, support: float = 0.6) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = [main_text(h, None if tags is None else (set(tags), set(runs))) for h, tags, runs in zip(b["html"], b["tags"], b["runs"])]
+            texts = [main_text(h, None if tags is None else (dict(tags), dict(runs))) for h, tags, runs in zip(b["html"], b["tags"], b["runs"])]
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts})
 
     kind = pages.schema["page_id"].dataType.simpleString()
