@@ -211,3 +211,39 @@ def test_attempt_stream_forgets_idle_keys(spark, tmp_path):
         spark.conf.unset(ingest.ROCKSDB[0])
     got = {r.key: (r.n_small, r.solved_by) for r in ingest.latest(spark.read.parquet(str(tmp_path / "out"))).collect()}
     assert got == {1: (1, "large"), 3: (2, "small")}  # what key 1 tried was forgotten before it came again
+
+
+# ---- variants and trees ----
+
+
+def test_kinds_at_equal_the_join(spark):
+    rng = random.Random(11)
+    nodes, places = [], []
+    for t in range(20):
+        for _ in range(rng.randrange(0, 12)):
+            a, b = sorted((rng.randrange(40), rng.randrange(40)))
+            nodes.append((t, [0] * rng.randrange(1, 4), rng.choice("ABCD"), a, b))
+        places += [(t, rng.randrange(40)) for _ in range(15)]
+    n = spark.createDataFrame(nodes, "tree_id long, path array<int>, kind string, start long, end long")
+    p = spark.createDataFrame(places, "tree_id long, offset long")
+    want = {(r.tree_id, r.offset): r.kind for r in tree.node_at(n, p, 8).collect()}
+    got = tree.kinds_at(n, p).collect()
+    assert {(r.tree_id, r.offset): r.kind for r in got} == {k: want.get(k) for k in places} and len(got) == len(set(places))
+
+
+def test_changes_of_variants(spark):
+    schema = "tree_id long, {0}path array<int>, kind string, spelling string, type string, location string, children int"
+    node = lambda path, kind, spelling, at, n: (path, kind, spelling, "int", at, n)
+    before = [node([], "UNIT", "a.c", "a.c:1:1", 1), node([0], "VAR_DECL", "x", "a.c:1:5", 1), node([0, 0], "LITERAL", "", "a.c:1:9", 0)]
+    after = [node([], "UNIT", "modified1_a.c", "modified1_a.c:1:1", 2), node([0], "FIELD_DECL", "y", "modified1_a.c:1:5", 0), node([1], "NULL_STMT", "", "modified1_a.c:1:7", 0)]
+    nodes = spark.createDataFrame([(1, *n) for n in before], schema.format(""))
+    modified = spark.createDataFrame([(1, 3, *n) for n in after] + [(1, 8, *n) for n in before], schema.format("position long, "))
+    docs = spark.createDataFrame([(1, "int: x :: 5")], "doc_id long, text string")
+    found = variants.placed(docs, "replace_colon_with_semicolon")
+    got = {r.position: r for r in tree.changes_of_variants(found, nodes, modified).collect()}
+    assert sorted(got) == [3, 7, 8] and got[7].ast_changes is None and got[8].ast_changes == []
+    assert (got[3].original_line, got[3].modified_line) == ("int: x :: 5", "int; x :: 5")
+    assert [tuple(c) for c in got[3].ast_changes] == [
+        ("structure_change", "UNIT children count changed from 1 to 2"), ("node_changed", "Node kind changed from 'VAR_DECL' to 'FIELD_DECL'"), ("name_changed", "Node spelling changed from 'x' to 'y'"),
+        ("structure_change", "VAR_DECL children count changed from 1 to 0"), ("node_removed", "LITERAL '' removed from a.c:1:9"), ("node_added", "New NULL_STMT '' added at modified1_a.c:1:7"),
+    ]

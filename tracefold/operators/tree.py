@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import heapq
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHANGES = ("node_changed", "name_changed", "type_changed", "position_changed", "structure_change")
+ALL_CHANGES = (*CHANGES, "node_added", "node_removed")
 
 
 def diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Changes between two versions by (tree_id, path): tree_id, path, change.
+    """Changes between two versions by (tree_id, path): tree_id, path, change, details (a sentence on it).
 
     An added or removed subtree gives one row, at its root.
     """
@@ -22,16 +26,40 @@ def diff(a: DataFrame, b: DataFrame) -> DataFrame:
     both = both.join(up(a, "up_a"), ["tree_id", "up"], "left").join(up(b, "up_b"), ["tree_id", "up"], "left")
     root = F.size("path") == 0
     pair = F.col("in_a") & F.col("in_b")
+    name = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for v in "ab" for c in (f"{v}_{x}" for x in cols)}
+    old, new = {c: strip(name[f"a_{c}"]) if c in ("spelling", "location") else name[f"a_{c}"] for c in cols}, {c: strip(name[f"b_{c}"]) if c in ("spelling", "location") else name[f"b_{c}"] for c in cols}
+
+    def change(when: Column, kind: str, sentence: str, *values: Column) -> Column:
+        return F.when(when, F.struct(F.lit(kind).alias("type"), F.format_string(sentence, *values).alias("details")))
+
     found = [
-        F.when(pair & (F.col("a_kind") != F.col("b_kind")), "node_changed"),
-        F.when(pair & (strip(F.col("a_spelling")) != strip(F.col("b_spelling"))), "name_changed"),
-        F.when(pair & (F.coalesce("a_type", F.lit("")) != F.coalesce("b_type", F.lit(""))), "type_changed"),
-        F.when(pair & (strip(F.col("a_location")) != strip(F.col("b_location"))), "position_changed"),
-        F.when(pair & (F.col("a_children") != F.col("b_children")), "structure_change"),
-        F.when(F.col("in_a").isNull() & (root | F.col("up_a").isNotNull()), "node_added"),
-        F.when(F.col("in_b").isNull() & (root | F.col("up_b").isNotNull()), "node_removed"),
+        change(pair & (F.col("a_kind") != F.col("b_kind")), "node_changed", "Node kind changed from '%s' to '%s'", old["kind"], new["kind"]),
+        change(pair & (old["spelling"] != new["spelling"]), "name_changed", "Node spelling changed from '%s' to '%s'", old["spelling"], new["spelling"]),
+        change(pair & (old["type"] != new["type"]), "type_changed", "Node type changed from '%s' to '%s'", old["type"], new["type"]),
+        change(pair & (old["location"] != new["location"]), "position_changed", "Node position changed from %s to %s", old["location"], new["location"]),
+        change(pair & (F.col("a_children") != F.col("b_children")), "structure_change", "%s children count changed from %s to %s", old["kind"], old["children"], new["children"]),
+        change(F.col("in_a").isNull() & (root | F.col("up_a").isNotNull()), "node_added", "New %s '%s' added at %s", name["b_kind"], name["b_spelling"], name["b_location"]),
+        change(F.col("in_b").isNull() & (root | F.col("up_b").isNotNull()), "node_removed", "%s '%s' removed from %s", name["a_kind"], name["a_spelling"], name["a_location"]),
     ]
-    return both.select("tree_id", "path", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("change"))
+    each = both.select("tree_id", "path", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("c"))
+    return each.select("tree_id", "path", F.col("c.type").alias("change"), F.col("c.details").alias("details"))
+
+
+def changes_of_variants(variants: DataFrame, nodes: DataFrame, modified: DataFrame) -> DataFrame:
+    """A row per variant with what it does to its text's tree: id, position, original_line, modified_line, ast_changes.
+
+    variants: id, at, line, modified.  nodes: the texts' trees (tree_id is the text).  modified: those of the variants (tree_id, position).
+    Changes stand in the order of a walk from the root; a variant without a tree of its own has null.
+    """
+    one = F.struct(F.col("id").alias("id"), F.col("at").alias("position"))
+    placed = variants.select(F.col("id").alias("tree_id"), F.col("at").alias("position"), one.alias("variant"))
+    after = modified.join(placed, ["tree_id", "position"]).drop("tree_id", "position").withColumnRenamed("variant", "tree_id")
+    before = nodes.join(placed.join(modified.select("tree_id", "position").distinct(), ["tree_id", "position"], "left_semi"), "tree_id").drop("tree_id", "position").withColumnRenamed("variant", "tree_id")
+    order = F.array_position(F.array(*map(F.lit, ALL_CHANGES)), F.col("change"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("path", order.alias("k"), "change", "details"))), lambda x: F.struct(x["change"].alias("type"), x["details"].alias("details")))
+    found = diff(before, after).groupBy("tree_id").agg(rows.alias("ast_changes"))
+    known = after.select(F.col("tree_id").alias("v")).distinct().join(found, F.col("v") == F.col("tree_id"), "left").select("v", F.coalesce("ast_changes", F.array().cast("array<struct<type:string,details:string>>")).alias("ast_changes"))
+    return variants.select("id", F.col("at").alias("position"), F.trim("line").alias("original_line"), F.trim("modified").alias("modified_line"), one.alias("v")).join(known, "v", "left").drop("v")
 
 
 def dump(nodes: DataFrame) -> DataFrame:
@@ -51,6 +79,33 @@ def node_at(nodes: DataFrame, offsets: DataFrame, width: int = 4096) -> DataFram
     return hit.groupBy("tree_id", "offset").agg(F.max_by("kind", F.struct(F.size("path"), F.col("kind"))).alias("kind"))
 
 
+def kinds_at(nodes: DataFrame, places: DataFrame) -> DataFrame:
+    """``node_at`` for many places of a text: tree_id, offset, kind (null outside all nodes), a row per distinct place.
+
+    One pass over a text's nodes and places by their start: nodes that have begun wait in a heap, deepest first, and leave when
+    they have ended.  Nodes may overlap in any way.  A text is a group.
+    """
+
+    def sweep(key: tuple, n: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        rank = {k: i for i, k in enumerate(sorted(set(n["kind"])))}
+        todo = sorted(zip(n["start"], n["end"], n["depth"], n["kind"]))
+        heap, i, out = [], 0, []
+        for at in sorted(set(p["offset"])):
+            while i < len(todo) and todo[i][0] <= at:
+                _, end, depth, kind = todo[i]
+                heapq.heappush(heap, (-depth, -rank[kind], end, kind))
+                i += 1
+            while heap and heap[0][2] <= at:
+                heapq.heappop(heap)
+            out.append((key[0], at, heap[0][3] if heap else None))
+        return pd.DataFrame(out, columns=["tree_id", "offset", "kind"])
+
+    asked = places.select("tree_id", F.col("offset").cast("long").alias("offset"))
+    own = nodes.select("tree_id", F.size("path").alias("depth"), "kind", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).join(asked.select("tree_id").distinct(), "tree_id", "left_semi")
+    kind = asked.schema["tree_id"].dataType.simpleString()
+    return own.groupBy("tree_id").cogroup(asked.groupBy("tree_id")).applyInPandas(sweep, f"tree_id {kind}, offset long, kind string")
+
+
 def first_identifiers(tokens: DataFrame) -> DataFrame:
     """tokens: tree_id, path, pos, kind, spelling.  The first IDENTIFIER of each node: tree_id, path, spelling, pos."""
     return tokens.where("kind = 'IDENTIFIER'").groupBy("tree_id", "path").agg(F.min_by("spelling", F.struct("pos", "spelling")).alias("spelling"), F.min("pos").alias("pos"))

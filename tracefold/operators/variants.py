@@ -13,12 +13,16 @@ import json
 import random
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from ..functions.commands import PROTECTED
 from .mutate import PAIR_MODES, PAIRS, REPLACE_MODES, SINGLE_MODES, SINGLES, bracket_pairs, line_at, without_pair
+from .tree import kinds_at
 
 Variant = tuple[str, int, str, str]  # mode, place in the text, line, modified line
 Mode = Callable[[str, int], Iterator[Variant]]
@@ -117,6 +121,27 @@ MODES: dict[str, Mode] = {
 }
 
 
+def placed(docs: DataFrame, mode: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
+    """The variants of a mode over a table: id, mode, at (place in the text), line, modified."""
+    make = MODES[mode]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i, t in zip(b["id"], b["text"]):
+                found = ((i, *v) for v in make(t, seed)) if t else iter(())
+                while rows := list(islice(found, 5000)):
+                    yield pd.DataFrame(rows, columns=["id", "mode", "at", "line", "modified"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, mode string, at long, line string, modified string")
+
+
+def with_kinds(variants: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Adds node_kind: that of the deepest node around each variant's place, null if none.  nodes: tree_id (the text), path, kind, start, end."""
+    kinds = kinds_at(nodes, variants.select(F.col("id").alias("tree_id"), F.col("at").alias("offset")))
+    return variants.join(kinds.select(F.col("tree_id").alias("id"), F.col("offset").alias("at"), F.col("kind").alias("node_kind")), ["id", "at"], "left")
+
+
 def register(spark: SparkSession, more: dict[str, Mode] | None = None, name: str = "variants") -> None:
     """Make the table function known to a session, with the modes of ``MODES`` and ``more``."""
     modes = MODES | (more or {})

@@ -584,6 +584,20 @@ def tree_diff(spark, sf):
     return tree.diff(_nodes(spark, sf, 1), _nodes(spark, sf, 2)).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"), "change")
 
 
+@query("""SELECT o_orderkey AS id, pos AS place, concat('KIND', k) AS node_kind, n FROM (
+ SELECT o_orderkey, pos, max(l_linenumber) AS k, any_value(n) AS n FROM (
+  SELECT o_orderkey, i AS pos, cast(1 AS BIGINT) AS n FROM (SELECT o_orderkey, unnest(list_filter(range(0, length(o_comment_like)), lambda i: o_comment_like[i + 1] IN (',', ':', '='))) AS i FROM (
+   SELECT o_orderkey, concat(o_orderpriority, ':', cast(cast(o_orderdate AS DATE) AS VARCHAR), ',', o_orderstatus, '=', cast(o_custkey AS VARCHAR)) AS o_comment_like FROM orders)))
+ LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber * 2 <= pos AND pos < l_linenumber * 2 + l_quantity GROUP BY 1, 2)""".replace("concat('KIND', k)", "CASE WHEN k IS NOT NULL THEN concat('KIND', k) END"))
+def single_variants_with_kinds(spark, sf):
+    """Variants of a line of each order, with the deepest of its items' ranges around each place."""
+    line = F.concat_ws("", "o_orderpriority", F.lit(":"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(","), "o_orderstatus", F.lit("="), F.col("o_custkey").cast("string"))
+    docs = table(spark, sf, "orders").select("o_orderkey", line.alias("text"))
+    nodes = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("tree_id"), F.sequence(F.lit(1), "l_linenumber").alias("path"), F.concat(F.lit("KIND"), F.col("l_linenumber").cast("string")).alias("kind"), (F.col("l_linenumber") * 2).alias("start"), (F.col("l_linenumber") * 2 + F.col("l_quantity")).cast("long").alias("end"))
+    found = variants.placed(docs, "remove_single", "o_orderkey").where("mode in ('remove_comma', 'remove_colon', 'remove_equal')")
+    return variants.with_kinds(found, nodes).groupBy("id", F.col("at").alias("place"), "node_kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"SELECT path, repeat('  ', len(string_split(path, '.'))) || kind || ': ' || spelling AS line FROM {TREE_SQL}")
 def tree_dump(spark, sf):
     out = tree.dump(_nodes(spark, sf, 1))
