@@ -247,3 +247,20 @@ def test_changes_of_variants(spark):
         ("structure_change", "UNIT children count changed from 1 to 2"), ("node_changed", "Node kind changed from 'VAR_DECL' to 'FIELD_DECL'"), ("name_changed", "Node spelling changed from 'x' to 'y'"),
         ("structure_change", "VAR_DECL children count changed from 1 to 0"), ("node_removed", "LITERAL '' removed from a.c:1:9"), ("node_added", "New NULL_STMT '' added at modified1_a.c:1:7"),
     ]
+
+
+def test_parentheses_of_other_files_are_not_looked_up(spark):
+    docs = spark.createDataFrame([(1, "for (x) (y)")], "doc_id long, text string")
+    schema = "tree_id long, path array<int>, kind string, start long, end long, file string, main string"
+    loop = lambda file: spark.createDataFrame([(1, [0], "FOR_STMT", 0, 6, file, "a.c")], schema)
+    found = lambda nodes: sorted((r.start, r.node_kind) for r in mutate.remove_parentheses(docs, "doc_id", "text", nodes).collect())
+    assert found(loop("a.c")) == [(8, None)] and found(loop("b.h")) == [(4, None), (8, None)]
+
+
+def test_run_of_a_call():
+    from tracefold.functions import commands
+
+    environment = {"FUZZ_MODE": "remove_pair", "REMOVE_LEVEL": "3"}
+    assert commands.run_of(["/x/wrapper++", "-c", "a.cpp"], environment) == (["clang++", "-c", "a.cpp"], ["remove_pair"], 3)
+    assert commands.run_of(["wrapper", "a.c"], {}) == (["clang", "a.c"], [], 1)
+    assert commands.run_of(["/usr/bin/cc", "a.c"], environment) == (["/usr/bin/cc", "a.c"], [], 1)

@@ -96,6 +96,17 @@ def modes_of_environment(environment: dict[str, str]) -> tuple[list[str], int]:
     return sorted(set(wanted) & set(MODES)), int(environment.get("REMOVE_LEVEL", "1"))
 
 
+def run_of(argv: list[str], environment: dict[str, str]) -> tuple[list[str], list[str], int]:
+    """(command, modes, removal level) of a call in place of a compiler.
+
+    A program that is not named as the wrapper is run as it is; the wrapper stands for clang, or clang++ where its name has two plus signs.
+    """
+    if "wrapper" not in argv[0]:
+        return list(argv), [], 1
+    modes, level = modes_of_environment(environment)
+    return ["clang++" if "++" in argv[0] else "clang", *argv[1:]], modes, level
+
+
 def normalise_modes(c: Column) -> Column:
     """Known modes named in a list separated by commas, ampersands or blanks; each once, sorted."""
     named = F.filter(F.split(F.regexp_replace(c, "[,&]", " "), r"\s+"), lambda m: m != "")

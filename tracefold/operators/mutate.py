@@ -166,8 +166,11 @@ def remove_pairs(docs: DataFrame, id_col: str, text_col: str, pairs: dict[str, s
 def remove_parentheses(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> DataFrame:
     """The variants of all pairs of parentheses but those whose first one is a loop's own: its deepest node is FOR_STMT.
 
-    nodes: tree_id (the text's identifier), path, kind, start, end.  Adds node_kind, null outside all nodes.
+    nodes: tree_id (the text's identifier), path, kind, start, end; if they have file and main, those of other files than main are left out,
+    as their places are in another text.  Adds node_kind, null outside all nodes.
     """
+    if {"file", "main"} <= set(nodes.columns):
+        nodes = nodes.where("file = main")
     found = remove_pairs(docs, id_col, text_col, {"(": ")"})
     kinds = node_at(nodes, found.select(F.col("id").alias("tree_id"), F.col("start").alias("offset"))).select(F.col("tree_id").alias("id"), F.col("offset").alias("start"), F.col("kind").alias("node_kind"))
     return found.join(kinds, ["id", "start"], "left").where("node_kind is null or node_kind <> 'FOR_STMT'")

@@ -62,6 +62,11 @@ def changes_of_variants(variants: DataFrame, nodes: DataFrame, modified: DataFra
     return variants.select("id", F.col("at").alias("position"), F.trim("line").alias("original_line"), F.trim("modified").alias("modified_line"), one.alias("v")).join(known, "v", "left").drop("v")
 
 
+def kinds(nodes: DataFrame) -> DataFrame:
+    """The kinds of node that a table has, and how many nodes of each: kind, n."""
+    return nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 def dump(nodes: DataFrame) -> DataFrame:
     """A line per node, two blanks per level: tree_id, place (preorder), line.  Order by place to print."""
     line = F.concat(F.expr("repeat('  ', size(path))"), F.col("kind"), F.lit(": "), F.col("spelling"))

@@ -598,6 +598,11 @@ def single_variants_with_kinds(spark, sf):
     return variants.with_kinds(found, nodes).groupBy("id", F.col("at").alias("place"), "node_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"SELECT kind, count(*) AS n FROM {TREE_SQL} GROUP BY 1")
+def node_kinds(spark, sf):
+    return tree.kinds(_nodes(spark, sf, 1))
+
+
 @query(f"SELECT path, repeat('  ', len(string_split(path, '.'))) || kind || ': ' || spelling AS line FROM {TREE_SQL}")
 def tree_dump(spark, sf):
     out = tree.dump(_nodes(spark, sf, 1))
