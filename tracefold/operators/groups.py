@@ -22,10 +22,10 @@ def closure(edges: DataFrame, folder: str) -> DataFrame:
         rows.write.parquet(f"{home}/round={n}")
         return spark.read.parquet(f"{home}/round={n}")
 
-    steps = edges.where("name is not null and subgroup is not null").select(F.col("name").alias("below"), F.col("subgroup").alias("next")).distinct()
-    steps.write.parquet(f"{home}/steps")
-    steps = spark.read.parquet(f"{home}/steps")
-    names = edges.select(F.explode(F.array("name", "subgroup")).alias("top")).where("top is not null").distinct()
+    edges.select("name", "subgroup").distinct().write.parquet(f"{home}/edges")
+    stored = spark.read.schema(edges.select("name", "subgroup").schema).parquet(f"{home}/edges")
+    steps = stored.where("name is not null and subgroup is not null").select(F.col("name").alias("below"), F.col("subgroup").alias("next"))
+    names = stored.select(F.explode(F.array("name", "subgroup")).alias("top")).where("top is not null").distinct()
     fresh, n = kept(names.select("top", F.col("top").alias("below")), 0), 0
     schema = fresh.schema
     while True:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -87,28 +88,34 @@ def node_at(nodes: DataFrame, offsets: DataFrame, width: int = 4096) -> DataFram
 def kinds_at(nodes: DataFrame, places: DataFrame) -> DataFrame:
     """``node_at`` for many places of a text: tree_id, offset, kind (null outside all nodes), a row per distinct place.
 
-    One pass over a text's nodes and places by their start: nodes that have begun wait in a heap, deepest first, and leave when
-    they have ended.  Nodes may overlap in any way.  A text is a group.
+    One pass over nodes and places in the order of texts and starts: nodes that have begun wait in a heap, deepest first, and leave
+    when they have ended.  Nodes may overlap in any way; a task holds the open nodes of one text.
     """
-
-    def sweep(key: tuple, n: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        rank = {k: i for i, k in enumerate(sorted(set(n["kind"])))}
-        todo = sorted(zip(n["start"], n["end"], n["depth"], n["kind"]))
-        heap, i, out = [], 0, []
-        for at in sorted(set(p["offset"])):
-            while i < len(todo) and todo[i][0] <= at:
-                _, end, depth, kind = todo[i]
-                heapq.heappush(heap, (-depth, -rank[kind], end, kind))
-                i += 1
-            while heap and heap[0][2] <= at:
-                heapq.heappop(heap)
-            out.append((key[0], at, heap[0][3] if heap else None))
-        return pd.DataFrame(out, columns=["tree_id", "offset", "kind"])
-
     asked = places.select("tree_id", F.col("offset").cast("long").alias("offset"))
-    own = nodes.select("tree_id", F.size("path").alias("depth"), "kind", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).join(asked.select("tree_id").distinct(), "tree_id", "left_semi")
     kind = asked.schema["tree_id"].dataType.simpleString()
-    return own.groupBy("tree_id").cogroup(asked.groupBy("tree_id")).applyInPandas(sweep, f"tree_id {kind}, offset long, kind string")
+
+    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, last, heap = None, None, []
+        for b in batches:
+            out = []
+            for t, at, place, end, depth, name in zip(*(b[c].tolist() for c in ("tree_id", "at", "place", "end", "depth", "kind"))):
+                if t != tree:
+                    tree, last, heap = t, None, []
+                if not place:
+                    # of equally deep ones the last name: each letter inverted, a shorter name behind its continuations
+                    heapq.heappush(heap, (-depth, (*(-ord(c) for c in name), 1), end, name))
+                elif at != last:
+                    last = at
+                    while heap and heap[0][2] <= at:
+                        heapq.heappop(heap)
+                    out.append((t, at, heap[0][3] if heap else None))
+            if out:
+                yield pd.DataFrame(out, columns=["tree_id", "offset", "kind"])
+
+    number = lambda x: F.lit(x).cast("long")
+    begun = nodes.select("tree_id", F.col("start").cast("long").alias("at"), F.lit(0).alias("place"), F.col("end").cast("long").alias("end"), F.size("path").cast("long").alias("depth"), "kind").where("at < end")
+    rows = begun.unionByName(asked.select("tree_id", F.col("offset").alias("at"), F.lit(1).alias("place"), number(0).alias("end"), number(0).alias("depth"), F.lit("").alias("kind")))
+    return rows.repartition("tree_id").sortWithinPartitions("tree_id", "at", "place").mapInPandas(sweep, f"tree_id {kind}, offset long, kind string")
 
 
 def first_identifiers(tokens: DataFrame) -> DataFrame:

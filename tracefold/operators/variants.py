@@ -127,10 +127,9 @@ def placed(docs: DataFrame, mode: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for i, t in zip(b["id"], b["text"]):
-                found = ((i, *v) for v in make(t, seed)) if t else iter(())
-                while rows := list(islice(found, 5000)):
-                    yield pd.DataFrame(rows, columns=["id", "mode", "at", "line", "modified"])
+            found = ((i, *v) for i, t in zip(b["id"], b["text"]) if t for v in make(t, seed))
+            while rows := list(islice(found, 5000)):
+                yield pd.DataFrame(rows, columns=["id", "mode", "at", "line", "modified"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, mode string, at long, line string, modified string")

@@ -338,8 +338,13 @@ SELECT concat('f-', a) AS flag, count(*) AS n_groups, cast(coalesce(sum(n), 0) A
 UNION ALL SELECT concat('own-', item_id % 7), 0, count(*) FROM i GROUP BY 1""")
 def warning_flags(spark, sf):
     """What each flag switches, through all subgroups; some groups hold each other."""
-    files = _definition_files(spark, sf)
-    return groups.switched(definitions.groups(files), definitions.diagnostics(files), inputs.shared_dir(spark))
+    import uuid
+
+    files, base = _definition_files(spark, sf), f"{inputs.shared_dir(spark)}/definitions-{uuid.uuid4().hex}"
+    found = {"groups": definitions.groups(files), "diagnostics": definitions.diagnostics(files).select("group_name", "flag")}
+    for name, rows in found.items():  # each file is parsed once for either
+        rows.write.parquet(f"{base}/{name}")
+    return groups.switched(*(spark.read.schema(rows.schema).parquet(f"{base}/{name}") for name, rows in found.items()), inputs.shared_dir(spark))
 
 
 @query("""SELECT event_id, concat_ws(',', coalesce(a.p_name, ''), coalesce(b.p_name, ''), coalesce(a.p_name, '')) AS names FROM events LEFT JOIN part a ON a.p_partkey = user_id LEFT JOIN part b ON b.p_partkey = event_id % 5000""")

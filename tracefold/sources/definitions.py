@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -142,11 +143,10 @@ def diagnostics(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for file, text in zip(b["file"], b["text"]):
-                rows = [{"file": file, **_described(text or "", r)} for r in records_of(text or "")]
-                rows = [r for r in rows if r["kind"] in SEVERITY and r["summary"] is not None]
-                if rows:
-                    yield pd.DataFrame(rows)
+            found = ({"file": file, **_described(text or "", r)} for file, text in zip(b["file"], b["text"]) for r in records_of(text or ""))
+            kept = (r for r in found if r["kind"] in SEVERITY and r["summary"] is not None)
+            while rows := list(islice(kept, 10_000)):
+                yield pd.DataFrame(rows)
 
     return files.select("file", "text").mapInPandas(run, RECORDS)
 
@@ -156,10 +156,9 @@ def groups(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for file, text in zip(b["file"], b["text"]):
-                rows = [(file, r.pos, r.name, *found) for r in records_of(text or "") if (found := _subgroups(r))]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["file", "pos", "name", "flag", "subgroups"])
+            kept = ((file, r.pos, r.name, *found) for file, text in zip(b["file"], b["text"]) for r in records_of(text or "") if (found := _subgroups(r)))
+            while rows := list(islice(kept, 10_000)):
+                yield pd.DataFrame(rows, columns=["file", "pos", "name", "flag", "subgroups"])
 
     return files.select("file", "text").mapInPandas(run, GROUPS)
 
