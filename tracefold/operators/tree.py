@@ -115,7 +115,7 @@ def kinds_at(nodes: DataFrame, places: DataFrame) -> DataFrame:
     number = lambda x: F.lit(x).cast("long")
     begun = nodes.select("tree_id", F.col("start").cast("long").alias("at"), F.lit(0).alias("place"), F.col("end").cast("long").alias("end"), F.size("path").cast("long").alias("depth"), "kind").where("at < end")
     rows = begun.unionByName(asked.select("tree_id", F.col("offset").alias("at"), F.lit(1).alias("place"), number(0).alias("end"), number(0).alias("depth"), F.lit("").alias("kind")))
-    return rows.repartition("tree_id").sortWithinPartitions("tree_id", "at", "place").mapInPandas(sweep, f"tree_id {kind}, offset long, kind string")
+    return rows.where("tree_id is not null").repartition("tree_id").sortWithinPartitions("tree_id", "at", "place").mapInPandas(sweep, f"tree_id {kind}, offset long, kind string")
 
 
 def first_identifiers(tokens: DataFrame) -> DataFrame:
