@@ -14,7 +14,7 @@ from .neighbours import op8_neighbours
 from .quality import op2_quality
 from .secrets import op4_secret_scan
 from .sharding import op9_sharding
-from .valid_time import op12_valid_time
+from .valid_time import OP12_SQL, op12_valid_time
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -31,4 +31,4 @@ QUERIES = {
     "op12_valid_time": op12_valid_time,
     "op13_fill_middle": op13_fill_middle,
 }
-SQL = {"op5_exact_dedup": OP5_SQL, "op10_license_scan": OP10_SQL, "op13_fill_middle": OP13_SQL}
+SQL = {"op5_exact_dedup": OP5_SQL, "op10_license_scan": OP10_SQL, "op12_valid_time": OP12_SQL, "op13_fill_middle": OP13_SQL}

@@ -340,3 +340,26 @@ def _resolve(out: DataFrame) -> DataFrame:
 def op12_valid_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole tables ``sales`` and ``client_changes``: rec, id, batch, n_held, change_id, balance_cents, op (see the module's text)."""
     return enrich(table(spark, sf_dir, "sales"), table(spark, sf_dir, "client_changes"))
+
+
+#: The same by sets instead of state: what is held at a batch is what came with it, what the watermark of the batch before has not
+#: passed, and the last of what that has passed.  The checksum of decimal digits is taken bit by bit.
+OP12_SQL = """
+WITH s AS (SELECT row_number() OVER () AS sid, sale_id, client_id, sold_at, cast(greatest(0, least(7, floor((datediff('day', DATE '1970-01-01', cast(arrived_at AS DATE)) - 19723) * 8 / 152))) AS BIGINT) AS b FROM sales),
+c AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(cast(change_id AS VARCHAR), ''), ''), lambda d: cast(ascii(d) AS BIGINT))),
+   lambda a, d: list_reduce([xor(a, d), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) % 4 AS shift
+  FROM (SELECT DISTINCT * FROM client_changes WHERE valid_at IS NOT NULL)),
+cb AS (SELECT *, CASE WHEN isfinite(balance) THEN cast(floor(100 * balance + 0.5) AS BIGINT) END AS cents, cast(greatest(0, least(7, floor((datediff('day', DATE '1970-01-01', cast(valid_at AS DATE)) + shift - 19723) * 8 / 152))) AS BIGINT) AS b FROM c),
+m AS (SELECT b, (SELECT max(sold_at) FROM s WHERE s.b < t.b) - INTERVAL 12 HOUR AS ms, (SELECT max(valid_at) FROM cb WHERE cb.b < t.b) - INTERVAL 12 HOUR AS mc FROM (SELECT unnest(range(8)) AS b) t),
+h AS (SELECT b, mc, CASE WHEN ms IS NOT NULL AND mc IS NOT NULL THEN least(ms, mc) END AS h FROM m),
+v AS (SELECT cb.*, row_number() OVER (PARTITION BY client_id ORDER BY valid_at, seq NULLS FIRST, change_id NULLS FIRST, cents NULLS FIRST, coalesce(op, '')) AS rn FROM cb JOIN h USING (b) WHERE client_id IS NOT NULL AND (mc IS NULL OR valid_at >= mc)),
+f AS (SELECT client_id, h.b, max(rn) AS rn FROM v JOIN h ON v.b <= h.b AND valid_at <= h.h GROUP BY ALL),
+e AS (SELECT t.e, h.h AS passed FROM (SELECT unnest(range(9)) AS e) t LEFT JOIN h ON h.b = t.e - 1),
+held AS (SELECT v.client_id, e.e, v.rn, valid_at, change_id, cents, op FROM v JOIN e ON v.b <= e.e LEFT JOIN f ON f.client_id = v.client_id AND f.b = e.e - 1 WHERE v.b = e.e OR passed IS NULL OR valid_at > passed OR v.rn = f.rn),
+n AS (SELECT client_id, e, count(*) AS n FROM held GROUP BY ALL),
+due AS (SELECT sid, any_value(s.sale_id) AS sale_id, any_value(client_id) AS client_id, any_value(sold_at) AS sold_at, CASE WHEN any_value(sold_at) IS NULL THEN any_value(s.b) ELSE coalesce(min(h.b), 8) END AS e FROM s LEFT JOIN h ON h.b >= s.b AND sold_at < h.h GROUP BY sid),
+best AS (SELECT sid, due.client_id, due.e, max(rn) AS rn FROM due JOIN held ON due.client_id = held.client_id AND due.e = held.e AND valid_at <= sold_at GROUP BY ALL)
+SELECT 'sale' AS rec, sale_id AS id, due.e AS batch, coalesce(n.n, 0) AS n_held, held.change_id, held.cents AS balance_cents, held.op
+FROM due LEFT JOIN n ON due.client_id = n.client_id AND due.e = n.e LEFT JOIN best ON due.sid = best.sid LEFT JOIN held ON held.client_id = best.client_id AND held.e = best.e AND held.rn = best.rn
+UNION ALL SELECT 'late', change_id, b, NULL, NULL, NULL, NULL FROM cb JOIN h USING (b) WHERE valid_at < mc
+"""
