@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -41,7 +40,7 @@ def new_keys(rows: DataFrame, key: str, time: str | None = None, delay: str = "1
     return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark([key]) if time else rows.dropDuplicates([key])
 
 
-ATTEMPTS = "{key}, revision long, n_small long, n_large long, solved_by string, solved_at long"
+ATTEMPTS = "{key}, n_small long, n_large long, solved_by string, solved_at long"
 #: The state store that transformWithState asks for.
 ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -59,19 +58,15 @@ class AttemptLedger(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getListState("held", "place long, small boolean, large boolean")
-        self.revision = handle.getValueState("revision", "n long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        tries = list(self.held.get())
-        last = 0
-        for b in rows:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        tries, last = list(self.held.get()), 0
+        for r in rows:
             if self.idle_ms is not None:
-                last = max(last, int(b["at"].max().timestamp() * 1000))
-            tries += zip(b["place"].tolist(), b["small"].tolist(), b["large"].tolist())
-            tries = sorted(tries)[: self.most]
+                last = max(last, int(r["at"].timestamp() * 1000))
+            tries.append((r["place"], r["small"], r["large"]))
+        tries = sorted(tries)[: self.most]
         self.held.put(tries)
-        n = (self.revision.get() or (0,))[0] + 1
-        self.revision.update((n,))
         if self.idle_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
@@ -79,31 +74,30 @@ class AttemptLedger(StatefulProcessor):
         at = next((i for i, (_, small, large) in enumerate(tries) if small or large), None)
         tried = len(tries) if at is None else at + 1
         small = at is not None and bool(tries[at][1])
-        yield pd.DataFrame([[*key, n, tried, tried - small, None if at is None else "small" if small else "large", None if at is None else at + 1]], columns=["key", "revision", "n_small", "n_large", "solved_by", "solved_at"]).astype({"solved_at": "Int64"})
+        yield Row(key=key[0], n_small=tried, n_large=tried - small, solved_by=None if at is None else "small" if small else "large", solved_at=None if at is None else at + 1)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.held.clear()
-        self.revision.clear()
         yield from ()
 
 
 def attempts(rows: DataFrame, key_type: str = "long", most: int = 3, time: str | None = None, delay: str = "1 hour", idle_ms: int = 86_400_000) -> DataFrame:
     """``coverage.attempts`` over a stream: rows have key, place (their order), small and large (whether that attempt succeeded; null is no).
 
-    A row for each key and batch that it had rows in: key, revision, n_small, n_large, solved_by, solved_at; the last revision of a key stands.
+    A row for each key and batch that it had rows in: key, n_small, n_large, solved_by, solved_at; that of a key's last batch stands.
     Nothing is forgotten unless ``time`` names a column of event times: then rows later than ``delay`` are left out and keys idle for ``idle_ms`` go.
     The session must name the state store of ``ROCKSDB``.
     """
     if time is not None:
         rows = rows.withColumn("at", F.col(time)).withWatermark("at", delay)
     given = rows.select("key", F.col("place").cast("long").alias("place"), *(F.coalesce(F.col(c).cast("boolean"), F.lit(False)).alias(c) for c in ("small", "large")), *(["at"] if time is not None else []))
-    return given.groupBy("key").transformWithStateInPandas(AttemptLedger(most, idle_ms if time is not None else None), ATTEMPTS.format(key=f"key {key_type}"), "update", "none" if time is None else "eventTime")
+    return given.groupBy("key").transformWithState(AttemptLedger(most, idle_ms if time is not None else None), ATTEMPTS.format(key=f"key {key_type}"), "update", "none" if time is None else "eventTime")
 
 
 def latest(found: DataFrame) -> DataFrame:
-    """The last revision of each key in what ``collect_updates`` wrote; revisions of a key that was forgotten begin anew, batches do not."""
-    names = [c for c in found.columns if c not in ("key", "revision", "batch")]
-    return found.groupBy("key").agg(F.max_by(F.struct(*names), F.struct("batch", "revision")).alias("s")).select("key", "s.*")
+    """The last row of each key in what ``collect_updates`` wrote."""
+    names = [c for c in found.columns if c not in ("key", "batch")]
+    return found.groupBy("key").agg(F.max_by(F.struct(*names), "batch").alias("s")).select("key", "s.*")
 
 
 def collect_updates(rows: DataFrame, out: str, checkpoint: str) -> None:
