@@ -8,6 +8,7 @@ backslash continuations.  Every variant has the name of its mode.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -110,11 +111,12 @@ def bracket_pairs(text: str, pairs: dict[str, str]) -> list[tuple[int, int]]:
     """Matched places of each kind of bracket, by a stack per kind."""
     out: list[tuple[int, int]] = []
     stacks: dict[str, list[int]] = {c: [] for c in pairs.values()}
-    for i, c in enumerate(text):
+    for m in re.finditer("[" + re.escape("".join([*pairs, *pairs.values()])) + "]", text):
+        c = m.group()
         if c in pairs:
-            stacks[pairs[c]].append(i)
-        elif c in stacks and stacks[c]:
-            out.append((stacks[c].pop(), i))
+            stacks[pairs[c]].append(m.start())
+        elif stacks[c]:
+            out.append((stacks[c].pop(), m.start()))
     return sorted(out)
 
 
