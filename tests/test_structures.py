@@ -28,6 +28,17 @@ def test_detect(raw, encoding):
     assert encodings.decode_with(raw) == (encoding, raw.decode(encoding) if encoding else None)
 
 
+@pytest.mark.parametrize("text", ["Çèen en vich de.", "Ößen ertzber eniechau ", "Una asas osci. Ñíco. Iejami", "und der. Öäver\nÖÄVER", "Éé"])
+def test_a_capital_and_a_small_letter_are_no_hanzi(text):
+    text.encode("latin-1").decode("gb18030")
+    assert encodings.decode_with(text.encode("latin-1")) == ("latin-1", text)
+
+
+@pytest.mark.parametrize("text", ["int 变量; // C语言 的 变量", "中", "// 级别A 请看"])
+def test_short_hanzi_stay_hanzi(text):
+    assert encodings.decode_with(text.encode("gb18030")) == ("gb18030", text)
+
+
 def test_sources_in_many_encodings(spark, tmp_path):
     (tmp_path / "below").mkdir()
     made = {"a.c": ("latin-1", GERMAN), "b.cpp": ("utf-16", GERMAN), "below/c.cc": ("shift_jis", JAPANESE), "d.cxx": ("gb18030", CHINESE), "e.c": ("ascii", "int x;")}
