@@ -209,6 +209,34 @@ def test_attempt_stream_equals_batch_over_shuffled_parts(spark, tmp_path):
     assert sorted(map(str, got.select("key", "n_small", "n_large", "solved_by", "solved_at").collect())) == want
 
 
+def test_attempt_stream_calls_python_per_group_of_keys(spark, tmp_path, monkeypatch):
+    """Named keys, the null one and null places in two groups; long keys beyond 2^53 beside a null stay exact."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    class Counted(ingest.AttemptLedger):
+        def handleInputRows(self, key, rows, timerValues):
+            (calls / f"{key[0]}-{time.time_ns()}").touch()
+            yield from super().handleInputRows(key, rows, timerValues)
+
+    monkeypatch.setattr(ingest, "AttemptLedger", Counted)
+    rows = [(None if k == 0 else 2**60 + k, None if p == 2 else p, p == 3, k % 2 == 0 and p == 1) for k in range(200) for p in range(5)]
+    schema = "key long, place long, small boolean, large boolean"
+    spark.conf.set(*ingest.ROCKSDB)
+    try:
+        for kind in ("long", "string"):
+            given = spark.createDataFrame(rows, schema).withColumn("key", F.col("key").cast(kind))
+            given.write.parquet(str(tmp_path / kind / "in"))
+            stream = ingest.stream_log(spark, str(tmp_path / kind / "in"), schema.replace("key long", f"key {kind}"), "parquet")
+            ingest.collect_updates(ingest.attempts(stream, kind, buckets=2), str(tmp_path / kind / "out"), str(tmp_path / kind / "state"))
+            want = sorted(map(str, coverage.attempts(given, "key", ["place"], F.col("small"), F.col("large")).collect()))
+            got = ingest.latest(spark.read.parquet(str(tmp_path / kind / "out"))).select("key", "n_small", "n_large", "solved_by", "solved_at")
+            assert sorted(map(str, got.collect())) == want
+    finally:
+        spark.conf.unset(ingest.ROCKSDB[0])
+    assert len(list(calls.iterdir())) == 6
+
+
 def test_attempt_stream_forgets_idle_keys(spark, tmp_path):
     schema = "key long, place long, small boolean, large boolean, came timestamp"
     hour = lambda h: datetime(2024, 1, 1, h)

@@ -731,12 +731,13 @@ def stream_attempts(spark, sf):
 
     base = f"{inputs.shared_dir(spark)}/attempts-{uuid.uuid4().hex}"
     rows = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"), (F.col("l_quantity") > 44).alias("small"), (F.col("l_discount") > 0.07).alias("large"))
+    buckets = max(1, rows.count() // 20_000)
     before = spark.conf.get(ingest.ROCKSDB[0], None)
     spark.conf.set(*ingest.ROCKSDB)
     try:
         for part in range(2):
             rows.where(F.pmod(F.xxhash64("place"), F.lit(2)) == part).write.mode("append").parquet(f"{base}/in")
-            ingest.collect_updates(ingest.attempts(ingest.stream_log(spark, f"{base}/in", "key long, place long, small boolean, large boolean", "parquet")), f"{base}/out", f"{base}/state")
+            ingest.collect_updates(ingest.attempts(ingest.stream_log(spark, f"{base}/in", "key long, place long, small boolean, large boolean", "parquet"), buckets=buckets), f"{base}/out", f"{base}/state")
     finally:
         spark.conf.unset(ingest.ROCKSDB[0]) if before is None else spark.conf.set(ingest.ROCKSDB[0], before)
     return ingest.latest(spark.read.parquet(f"{base}/out")).withColumnRenamed("key", "l_partkey")
