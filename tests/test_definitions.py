@@ -119,6 +119,22 @@ def test_closure_of_random_edges(spark, tmp_path):
     assert got == sorted(want)
 
 
+def test_closure_of_a_chain_takes_few_rounds(spark, tmp_path):
+    """A chain of 20 whose last group holds the fifth: rounds of 1, 2, 4, 8 and 16 steps and one that finds nothing."""
+    edges = [(f"g{i}", f"g{i + 1}") for i in range(19)] + [("g19", "g5")]
+    got = {tuple(r) for r in groups.closure(spark.createDataFrame(edges, "name string, subgroup string"), f"file://{tmp_path}").collect()}
+    assert got == {(f"g{i}", f"g{j}") for i in range(20) for j in range(20) if i <= j or (i > 5 and j >= 5)}
+    assert len(list(tmp_path.glob("closure-*/round=*"))) <= 7
+
+
+def test_files_are_parsed_once_for_groups_and_diagnostics(spark):
+    files = spark.createDataFrame([("a", TEXT), ("b", None), ("c", "")], "file string, text string")
+    rows = definitions.flagged(files)
+    for mine, names in ((rows.where("subgroups is not null"), ["file", "pos", "name", "flag", "subgroups"]), (rows.where("subgroups is null"), ["file", "pos", "name", "group_name", "flag"])):
+        whole = definitions.groups(files) if "subgroups" in names else definitions.diagnostics(files)
+        assert sorted(map(str, mine.select(names).collect())) == sorted(map(str, whole.select(names).collect()))
+
+
 def test_switched_flags(spark, tmp_path):
     g = spark.createDataFrame([("A", "a", ["B", "C"]), ("B", "b", ["A"]), ("D", "b", []), ("E", "e", None)], "name string, flag string, subgroups array<string>")
     d = spark.createDataFrame([("A", None), ("C", None), ("C", None), (None, "own"), (None, "b"), (None, None)], "group_name string, flag string")

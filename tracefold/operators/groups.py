@@ -11,30 +11,36 @@ from pyspark.sql import functions as F
 def closure(edges: DataFrame, folder: str) -> DataFrame:
     """top, below: every group with itself and all groups under it; edges: name, subgroup.
 
-    Rounds of joins, each only from pairs that the last one found and none before, so cycles end and pairs
-    that several ways lead to count once.  A round is written below ``folder``, which executors share, and
-    read again: plans stay short and survive lost executors.  There are as many rounds as the longest shortest way.
+    Each round doubles how far down pairs are known: from those exactly as far apart as the round before reached, all that is
+    known goes on.  What is known already is left out, so cycles end and pairs that several ways lead to count once.  A round
+    is written below ``folder``, which executors share, and read again: plans stay short and survive lost executors.  There are as
+    many rounds as the logarithm of the longest shortest way, so pairs are read as often as that.
     """
     spark = edges.sparkSession
     home = f"{folder}/closure-{uuid.uuid4().hex}"
+    schema = f"top {edges.schema['name'].dataType.simpleString()}, below {edges.schema['name'].dataType.simpleString()}, far long"
 
     def kept(rows: DataFrame, n: int) -> DataFrame:
         rows.write.parquet(f"{home}/round={n}")
-        return spark.read.parquet(f"{home}/round={n}")
-
-    edges.select("name", "subgroup").distinct().write.parquet(f"{home}/edges")
-    stored = spark.read.schema(edges.select("name", "subgroup").schema).parquet(f"{home}/edges")
-    steps = stored.where("name is not null and subgroup is not null").select(F.col("name").alias("below"), F.col("subgroup").alias("next"))
-    names = stored.select(F.explode(F.array("name", "subgroup")).alias("top")).where("top is not null").distinct()
-    fresh, n = kept(names.select("top", F.col("top").alias("below")), 0), 0
-    schema = fresh.schema
+        return spark.read.schema(schema).parquet(f"{home}/round={n}")
+
+    def nearest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("top", "below").agg(F.min("far").alias("far"))
+
+    far = lambda n: F.lit(n).cast("long").alias("far")
+    ways = F.array(F.struct(F.col("name").alias("top"), F.col("name").alias("below"), far(0)), F.struct(F.col("subgroup").alias("top"), F.col("subgroup").alias("below"), far(0)), F.struct(F.col("name").alias("top"), F.col("subgroup").alias("below"), far(1)))
+    kept(nearest(edges.select(F.explode(ways).alias("w")).select("w.*").where("top is not null and below is not null")), 0)
+    n, reach = 0, 1
     while True:
-        found = fresh.join(steps, "below").select("top", F.col("next").alias("below")).distinct()
         seen = spark.read.schema(schema).option("basePath", home).parquet(*(f"{home}/round={i}" for i in range(n + 1)))
-        fresh, n = kept(found.join(seen, ["top", "below"], "left_anti"), n + 1), n + 1
-        if fresh.isEmpty():
+        ends = seen.where(F.col("far") == reach).select("top", F.col("below").alias("mid"))
+        onward = seen.where("far > 0").select(F.col("top").alias("mid"), "below", (F.col("far") + reach).alias("far"))
+        found = ends.join(onward, "mid").select("top", "below", "far")
+        n += 1
+        if kept(nearest(found).join(seen, ["top", "below"], "left_anti"), n).isEmpty():
             break
-    return spark.read.schema(schema).parquet(*(f"{home}/round={i}" for i in range(n)))
+        reach *= 2
+    return spark.read.schema(schema).parquet(*(f"{home}/round={i}" for i in range(n))).select("top", "below")
 
 
 def switched(groups: DataFrame, diagnostics: DataFrame, folder: str) -> DataFrame:

@@ -341,10 +341,10 @@ def warning_flags(spark, sf):
     import uuid
 
     files, base = _definition_files(spark, sf), f"{inputs.shared_dir(spark)}/definitions-{uuid.uuid4().hex}"
-    found = {"groups": definitions.groups(files), "diagnostics": definitions.diagnostics(files).select("group_name", "flag")}
-    for name, rows in found.items():  # each file is parsed once for either
-        rows.write.parquet(f"{base}/{name}")
-    return groups.switched(*(spark.read.schema(rows.schema).parquet(f"{base}/{name}") for name, rows in found.items()), inputs.shared_dir(spark))
+    rows = definitions.flagged(files)
+    rows.write.parquet(base)
+    rows = spark.read.schema(rows.schema).parquet(base)
+    return groups.switched(rows.where("subgroups is not null"), rows.where("subgroups is null"), inputs.shared_dir(spark))
 
 
 @query("""SELECT event_id, concat_ws(',', coalesce(a.p_name, ''), coalesce(b.p_name, ''), coalesce(a.p_name, '')) AS names FROM events LEFT JOIN part a ON a.p_partkey = user_id LEFT JOIN part b ON b.p_partkey = event_id % 5000""")
