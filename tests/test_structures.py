@@ -303,3 +303,14 @@ def test_run_of_a_call():
     assert commands.run_of(["/x/wrapper++", "-c", "a.cpp"], environment) == (["clang++", "-c", "a.cpp"], ["remove_pair"], 3)
     assert commands.run_of(["wrapper", "a.c"], {}) == (["clang", "a.c"], [], 1)
     assert commands.run_of(["/usr/bin/cc", "a.c"], environment) == (["/usr/bin/cc", "a.c"], [], 1)
+
+
+def test_lines_leave_python_as_numbers():
+    """What Python gives back does not grow with the length of lines; nulls stay null."""
+    import pyarrow as pa
+
+    texts = pa.array(["é" * 1_000_000, None, "a\\\nb\nc", ""])
+    spans = text.spans_of(texts, pa.array([list(range(0, 1_000_000, 1000)), [1], [0, 4, 5], []]))
+    assert spans.nbytes < 100_000 and spans[0][0].as_py() == {"number": 1, "start": 0, "size": 1_000_000}
+    assert spans[1].as_py() is None and spans[3].as_py() == []
+    assert [tuple(s.values()) for s in spans[2].as_py()] == [(1, 0, 4), (2, 3, 1), (3, 5, 1)]

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,11 +45,23 @@ class Lines:
 
     def line(self, offset: int) -> str:
         """The line of an offset with the continuations that follow it."""
+        _, start, size = self.span(offset)
+        return self.text[start : start + size]
+
+    def span(self, offset: int) -> tuple[int, int, int]:
+        """Number, start and size of the line of an offset with the continuations that follow it."""
         i = last = bisect_left(self.breaks, offset)
         start = self.breaks[i - 1] + 1 if i else 0
         while last < len(self.breaks) and self.breaks[last] > 0 and self.text[self.breaks[last] - 1] == "\\" and self.breaks[last] > offset:
             last += 1
-        return self.text[start : self.breaks[last] if last < len(self.breaks) else len(self.text)]
+        return i + 1, start, (self.breaks[last] if last < len(self.breaks) else len(self.text)) - start
+
+
+def _lists(sizes: list[int | None], fields: dict[str, pa.Array]) -> pa.Array:
+    """Lists of structs from the columns of their fields and the size of each list; None is a null list."""
+    starts = [0, *accumulate(n or 0 for n in sizes)]
+    offsets = [None if n is None else start for start, n in zip(starts, sizes)] + starts[-1:]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
 
 
 def expected_annotations(c: Column) -> Column:
@@ -61,22 +77,40 @@ def expected_annotations(c: Column) -> Column:
     return F.pandas_udf(run, "array<struct<full: string, content: string, line: long>>")(c)
 
 
-def line_numbers(c: Column, offsets: Column) -> Column:
-    """1-based lines of an array of 0-based offsets, in its order; for many offsets in long texts."""
+def spans_of(texts: pa.Array, offsets: pa.Array) -> pa.Array:
+    """``line_spans`` of a batch: numbers alone, however long the lines are."""
+    sizes, found = [], (array("q"), array("q"), array("q"))
+    for t, o in zip(texts, offsets):
+        if not (t.is_valid and o.is_valid):
+            sizes.append(None)
+            continue
+        lines, places = Lines(t.as_py()), o.as_py()
+        for place in places:
+            for column, x in zip(found, lines.span(place)):
+                column.append(x)
+        sizes.append(len(places))
+    number, start, size = (np.array(x, np.int64) for x in found)
+    return _lists(sizes, {"number": pa.array(number), "start": pa.array(start.astype(np.int32)), "size": pa.array(size.astype(np.int32))})
 
-    def run(texts: pd.Series, places: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None or o is None else list(map(Lines(t).number, o)) for t, o in zip(texts, places)], dtype=object)
 
-    return F.pandas_udf(run, "array<long>")(c, offsets)
+def line_spans(c: Column, offsets: Column) -> Column:
+    """Array of (number from 1, start from 0, size) of the lines of an array of 0-based offsets, continuations included, in its order."""
+    return F.arrow_udf(spans_of, "array<struct<number: long, start: int, size: int>>")(c, offsets)
 
 
-def lines_at(c: Column, offsets: Column) -> Column:
-    """The lines of an array of 0-based offsets, as ``line_at_offset`` gives them."""
+def span_lines(c: Column, spans: Column) -> Column:
+    """The lines that ``line_spans`` found, cut from the text outside of Python."""
+    return F.transform(spans, lambda s: F.substring(c, s["start"] + 1, s["size"]))
 
-    def run(texts: pd.Series, places: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None or o is None else list(map(Lines(t).line, o)) for t, o in zip(texts, places)], dtype=object)
 
-    return F.pandas_udf(run, "array<string>")(c, offsets)
+def line_numbers(c: Column, offsets: Column) -> Column:
+    """1-based lines of an array of 0-based offsets, in its order; for many offsets in long texts."""
+    return F.transform(line_spans(c, offsets), lambda s: s["number"])
+
+
+def lines_at(c: Column, offsets: Column) -> Column:
+    """The lines of an array of 0-based offsets, as ``line_at_offset`` gives them."""
+    return span_lines(c, line_spans(c, offsets))
 
 
 def run_lines(c: Column, most: int = 5) -> Column:

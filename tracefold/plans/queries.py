@@ -659,8 +659,9 @@ def lines_of_offsets(spark, sf):
     """Twenty places of each text, looked up in one list of its lines."""
     d = table(spark, sf, "documents").where(F.col("text").isNotNull() & ~F.col("text").contains("\\"))
     offsets = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.floor(F.char_length("text").cast("long") * k / 20))
-    found = d.select("doc_id", text.line_numbers(F.col("text"), offsets).alias("n"), text.lines_at(F.col("text"), offsets).alias("l"))
-    return found.select("doc_id", F.posexplode(F.arrays_zip("n", "l")).alias("k", "x")).select("doc_id", F.col("k").cast("long").alias("k"), F.col("x.n").alias("line_no"), F.md5("x.l").alias("line_md5"))
+    found = d.select("doc_id", "text", text.line_spans(F.col("text"), offsets).alias("s"))
+    lines = F.arrays_zip(F.col("s.number").alias("n"), text.span_lines(F.col("text"), F.col("s")).alias("l"))
+    return found.select("doc_id", F.posexplode(lines).alias("k", "x")).select("doc_id", F.col("k").cast("long").alias("k"), F.col("x.n").alias("line_no"), F.md5("x.l").alias("line_md5"))
 
 
 @query(r"""SELECT doc_id, md5(t) AS text_md5, CASE WHEN t = '' THEN 'ascii' WHEN doc_id % 4 = 0 THEN 'utf-16-le' WHEN doc_id % 4 = 1 THEN 'utf-16' WHEN regexp_full_match(t, '[\x{00}-\x{7f}]*') THEN 'ascii' WHEN doc_id % 4 = 2 AND regexp_full_match(t, '[\x{00}-\x{7f}\x{a0}-\x{ff}]*') THEN 'latin-1' ELSE 'utf-8' END AS encoding
