@@ -314,3 +314,18 @@ def test_lines_leave_python_as_numbers():
     assert spans.nbytes < 100_000 and spans[0][0].as_py() == {"number": 1, "start": 0, "size": 1_000_000}
     assert spans[1].as_py() is None and spans[3].as_py() == []
     assert [tuple(s.values()) for s in spans[2].as_py()] == [(1, 0, 4), (2, 3, 1), (3, 5, 1)]
+
+
+def test_annotations_hold_one_text_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array(["x\n" * 100_000 + "// expected-error {{a}} expected-error{{b}}\n// expected-error {{c}}", None, ""] * 40)
+    tracemalloc.start()
+    try:
+        got = text.annotations_of(texts).to_pylist()
+        assert tracemalloc.get_traced_memory()[1] < 2_000_000
+    finally:
+        tracemalloc.stop()
+    assert got[1] is None and got[2] == [] and [(x["content"], x["line"]) for x in got[0]] == [("a", 100_001), ("b", 100_001), ("c", 100_002)]

@@ -8,7 +8,6 @@ from bisect import bisect_left
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,17 +63,27 @@ def _lists(sizes: list[int | None], fields: dict[str, pa.Array]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
 
 
-def expected_annotations(c: Column) -> Column:
-    """Array of (full, content, line) of expected-error comments; lines count from 1.  Arrow batches: one pass over a text."""
-
-    def found(text: str) -> list[dict]:
-        lines = Lines(text)
-        return [{"full": m.group(), "content": m.group(2).strip(" "), "line": lines.number(m.start())} for m in _ANNOTATION.finditer(text)]
+def annotations_of(texts: pa.Array) -> pa.Array:
+    """``expected_annotations`` of a batch; one text at a time is an object of Python."""
+    sizes, full, content, line = [], [], [], array("q")
+    for t in texts:
+        if not t.is_valid:
+            sizes.append(None)
+            continue
+        text, before = t.as_py(), len(line)
+        at = number = 0
+        for m in _ANNOTATION.finditer(text):
+            number, at = number + text.count("\n", at, m.start()), m.start()
+            full.append(m.group())
+            content.append(m.group(2).strip(" "))
+            line.append(number + 1)
+        sizes.append(len(line) - before)
+    return _lists(sizes, {"full": pa.array(full, pa.string()), "content": pa.array(content, pa.string()), "line": pa.array(np.array(line, np.int64))})
 
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(found, na_action="ignore")
 
-    return F.pandas_udf(run, "array<struct<full: string, content: string, line: long>>")(c)
+def expected_annotations(c: Column) -> Column:
+    """Array of (full, content, line) of expected-error comments; lines count from 1.  Arrow batches: one pass over a text."""
+    return F.arrow_udf(annotations_of, "array<struct<full: string, content: string, line: long>>")(c)
 
 
 def spans_of(texts: pa.Array, offsets: pa.Array) -> pa.Array:
