@@ -329,3 +329,21 @@ def test_annotations_hold_one_text_at_a_time():
     finally:
         tracemalloc.stop()
     assert got[1] is None and got[2] == [] and [(x["content"], x["line"]) for x in got[0]] == [("a", 100_001), ("b", 100_001), ("c", 100_002)]
+
+
+def test_kinds_of_variants_make_each_variant_once(spark, tmp_path):
+    """Variants with their lines pass the sweep: what makes them runs once, and rows without a text or a place keep a null kind."""
+
+    def made(batches):
+        for b in batches:
+            (tmp_path / f"{time.time_ns()}").touch()
+            yield b
+
+    schema = "id long, mode string, at long, line string, modified string"
+    rows = [(1, "m", 2, "abc", "ab"), (1, "n", 2, "abc", "bc"), (1, "m", None, "x", "y"), (None, "m", 1, "x", None), (2, "m", 0, "z", "")]
+    found = spark.createDataFrame(rows, schema).coalesce(1).mapInPandas(made, schema)
+    nodes = spark.createDataFrame([(1, [0], "A", 0, 9), (1, [0, 1], "B", 2, 3), (None, [0], "C", 0, 9)], "tree_id int, path array<int>, kind string, start int, end int")
+    got = variants.with_kinds(found, nodes)
+    assert got.columns == ["id", "at", "mode", "line", "modified", "node_kind"]
+    assert sorted((str(r.id), str(r["at"]), r.mode, r.modified, r.node_kind) for r in got.collect()) == [("1", "2", "m", "ab", "B"), ("1", "2", "n", "bc", "B"), ("1", "None", "m", "y", None), ("2", "0", "m", "", None), ("None", "1", "m", None, None)]
+    assert len(list(tmp_path.iterdir())) == 1

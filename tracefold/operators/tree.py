@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
+from functools import lru_cache
+from heapq import heappop, heappush
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 CHANGES = ("node_changed", "name_changed", "type_changed", "position_changed", "structure_change")
 ALL_CHANGES = (*CHANGES, "node_added", "node_removed")
@@ -85,37 +87,55 @@ def node_at(nodes: DataFrame, offsets: DataFrame, width: int = 4096) -> DataFram
     return hit.groupBy("tree_id", "offset").agg(F.max_by("kind", F.struct(F.size("path"), F.col("kind"))).alias("kind"))
 
 
-def kinds_at(nodes: DataFrame, places: DataFrame) -> DataFrame:
-    """``node_at`` for many places of a text: tree_id, offset, kind (null outside all nodes), a row per distinct place.
+@lru_cache(10_000)
+def _last_first(name: str) -> tuple[int, ...]:
+    """Orders names from the last to the first: each letter inverted, a shorter name behind its continuations."""
+    return (*(-ord(c) for c in name), 1)
+
+
+def add_kinds(nodes: DataFrame, rows: DataFrame, tree: str, at: str, name: str = "node_kind") -> DataFrame:
+    """Adds to rows of any columns the kind of the deepest node around their place ``at`` in the text ``tree``, null if none.
 
-    One pass over nodes and places in the order of texts and starts: nodes that have begun wait in a heap, deepest first, and leave
-    when they have ended.  Nodes may overlap in any way; a task holds the open nodes of one text.
+    One pass over nodes and rows in the order of texts and starts: nodes that have begun wait in a heap, deepest first, and leave
+    when they have ended.  Nodes may overlap in any way; a task holds the open nodes of one text.  Rows are shuffled once and pass
+    as Arrow columns that Python does not look into.
     """
-    asked = places.select("tree_id", F.col("offset").cast("long").alias("offset"))
-    kind = asked.schema["tree_id"].dataType.simpleString()
+    columns = rows.columns
 
-    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, last, heap = None, None, []
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, heap = None, []
         for b in batches:
-            out = []
-            for t, at, place, end, depth, name in zip(*(b[c].tolist() for c in ("tree_id", "at", "place", "end", "depth", "kind"))):
-                if t != tree:
-                    tree, last, heap = t, None, []
-                if not place:
-                    # of equally deep ones the last name: each letter inverted, a shorter name behind its continuations
-                    heapq.heappush(heap, (-depth, (*(-ord(c) for c in name), 1), end, name))
-                elif at != last:
-                    last = at
-                    while heap and heap[0][2] <= at:
-                        heapq.heappop(heap)
-                    out.append((t, at, heap[0][3] if heap else None))
-            if out:
-                yield pd.DataFrame(out, columns=["tree_id", "offset", "kind"])
-
-    number = lambda x: F.lit(x).cast("long")
-    begun = nodes.select("tree_id", F.col("start").cast("long").alias("at"), F.lit(0).alias("place"), F.col("end").cast("long").alias("end"), F.size("path").cast("long").alias("depth"), "kind").where("at < end")
-    rows = begun.unionByName(asked.select("tree_id", F.col("offset").alias("at"), F.lit(1).alias("place"), number(0).alias("end"), number(0).alias("depth"), F.lit("").alias("kind")))
-    return rows.where("tree_id is not null").repartition("tree_id").sortWithinPartitions("tree_id", "at", "place").mapInPandas(sweep, f"tree_id {kind}, offset long, kind string")
+            ids, (starts, is_row, ends, depths) = b.column("_tree"), (b.column(c).to_numpy(zero_copy_only=False) for c in ("_at", "_row", "_end", "_depth"))
+            ids = ids.to_numpy(zero_copy_only=False).tolist() if pa.types.is_integer(ids.type) and not ids.null_count else ids.to_pylist()
+            found = []
+            for t, start, row, end, depth, kind in zip(ids, starts.tolist(), is_row.tolist(), ends.tolist(), depths.tolist(), b.column("_kind").to_pylist()):
+                if t != text:
+                    text, heap = t, []
+                if row:
+                    while heap and heap[0][2] <= start:
+                        heappop(heap)
+                    found.append(heap[0][3] if heap else None)
+                else:
+                    heappush(heap, (-depth, _last_first(kind), end, kind))
+            if found:
+                kept = b.select(columns).filter(pa.array(is_row == 1))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.string())], names=[*columns, name])
+
+    number = lambda x, c: F.lit(x).cast("long").alias(c)
+    first = F.lit(-(2**63))  # a row without a place comes before all nodes
+    asked = rows.select(F.col(tree).alias("_tree"), F.coalesce(F.col(at).cast("long"), first).alias("_at"), number(1, "_row"), number(0, "_end"), number(0, "_depth"), F.lit("").alias("_kind"), *columns)
+    begun = nodes.where("tree_id is not null and start < end").select(
+        F.col("tree_id").alias("_tree"), F.col("start").cast("long").alias("_at"), number(0, "_row"), F.col("end").cast("long").alias("_end"), F.size("path").cast("long").alias("_depth"), F.col("kind").alias("_kind"),
+        *(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields),
+    )
+    schema = StructType([*(StructField(f.name, f.dataType) for f in rows.schema.fields), StructField(name, StringType())])
+    return begun.unionByName(asked).repartition("_tree").sortWithinPartitions("_tree", "_at", "_row").mapInArrow(sweep, schema)
+
+
+def kinds_at(nodes: DataFrame, places: DataFrame) -> DataFrame:
+    """``node_at`` for many places of a text: tree_id, offset, kind (null outside all nodes), a row per distinct place."""
+    asked = places.where("tree_id is not null").select("tree_id", F.col("offset").cast("long").alias("offset")).distinct()
+    return add_kinds(nodes, asked, "tree_id", "offset", "kind")
 
 
 def first_identifiers(tokens: DataFrame) -> DataFrame:

@@ -22,10 +22,11 @@ from pyspark.sql.functions import udtf
 
 from ..functions.commands import PROTECTED
 from .mutate import PAIR_MODES, PAIRS, REPLACE_MODES, SINGLE_MODES, SINGLES, bracket_pairs, line_at, without_pair
-from .tree import kinds_at
+from .tree import add_kinds
 
 Variant = tuple[str, int, str, str]  # mode, place in the text, line, modified line
 Mode = Callable[[str, int], Iterator[Variant]]
+_SINGLE = re.compile(f"[{re.escape(SINGLES)}]")
 _CAPTURE = re.compile(r"\[([^\[\]]*)\]")
 
 
@@ -49,7 +50,7 @@ def _replaced(old: str, new: str) -> Mode:
 
 def _singles(text: str, seed: int) -> Iterator[Variant]:
     for start, line in _lines(text):
-        for m in re.finditer(f"[{re.escape(SINGLES)}]", line):
+        for m in _SINGLE.finditer(line):
             yield SINGLE_MODES[m.group()], start + m.start(), line, line[: m.start()] + line[m.end() :]
 
 
@@ -137,8 +138,7 @@ def placed(docs: DataFrame, mode: str, id_col: str = "doc_id", text_col: str = "
 
 def with_kinds(variants: DataFrame, nodes: DataFrame) -> DataFrame:
     """Adds node_kind: that of the deepest node around each variant's place, null if none.  nodes: tree_id (the text), path, kind, start, end."""
-    kinds = kinds_at(nodes, variants.select(F.col("id").alias("tree_id"), F.col("at").alias("offset")))
-    return variants.join(kinds.select(F.col("tree_id").alias("id"), F.col("offset").alias("at"), F.col("kind").alias("node_kind")), ["id", "at"], "left")
+    return add_kinds(nodes, variants.select("id", "at", *(c for c in variants.columns if c not in ("id", "at"))), "id", "at")
 
 
 def register(spark: SparkSession, more: dict[str, Mode] | None = None, name: str = "variants") -> None:
