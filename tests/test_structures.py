@@ -237,6 +237,37 @@ def test_attempt_stream_calls_python_per_group_of_keys(spark, tmp_path, monkeypa
     assert len(list(calls.iterdir())) == 6
 
 
+LINES = "l_partkey long, l_orderkey long, l_linenumber int, l_quantity double, l_discount double"
+
+
+@pytest.mark.parametrize("name", ["attempts_until_success", "stream_attempts"])
+def test_attempts_on_one_line_do_not_hang_on_the_order_of_rows(spark, tmp_path, name):
+    """Lines that the order of the SQL leaves open: at the first place, before and behind the last one that is tried."""
+    from tracefold.plans.registry import QUERIES
+
+    rows = [(1, 1, 1, 1.0, 0.0), (1, 1, 1, 50.0, 0.0), (2, 1, 1, 1.0, 0.1), (2, 1, 1, 50.0, 0.0)]
+    rows += [(3, 1, 1, 1.0, 0.0), (3, 1, 2, 1.0, 0.0), (3, 1, 3, 50.0, 0.0), (3, 1, 3, 1.0, 0.0), (4, 1, 1, 1.0, 0.0), (4, 1, 2, 1.0, 0.1), (4, 1, 2, 1.0, 0.0)]
+    for i, given in enumerate((rows, rows[::-1])):
+        spark.createDataFrame(given, LINES).coalesce(1).write.parquet(str(tmp_path / str(i) / "lineitem.parquet"))
+        got = QUERIES[name](spark, str(tmp_path / str(i))).select("l_partkey", "n_small", "n_large", "solved_by", "solved_at").collect()
+        assert sorted(map(tuple, got)) == [(1, 2, 1, "small", 2), (2, 1, 1, "large", 1), (3, 3, 3, None, None), (4, 3, 3, "large", 3)]
+
+
+@pytest.mark.parametrize("name", ["attempts_until_success", "stream_attempts", "top3_per_key"])
+def test_places_without_a_number_are_last_as_in_sql(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    from tracefold.plans.registry import QUERIES, SQL
+
+    rng = random.Random(4)
+    rows = [(None if k == 0 else k, o, n, rng.choice([None, 1.0, 1.0, float("nan")]), rng.choice([None, 0.0, 0.0, 0.1])) for k in range(60) for o in (None, 1, 2) for n in (None, 1, 2) if rng.random() < 0.4]
+    spark.createDataFrame(rows, LINES).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as from '{tmp_path}/lineitem.parquet/*.parquet'")
+    df = QUERIES[name](spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(df.columns)} from ({SQL[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+
+
 def test_attempt_stream_forgets_idle_keys(spark, tmp_path):
     schema = "key long, place long, small boolean, large boolean, came timestamp"
     hour = lambda h: datetime(2024, 1, 1, h)

@@ -38,8 +38,9 @@ def first_per_key(rows: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def top_per_key(rows: DataFrame, key: str, n: int, *order) -> DataFrame:
-    """At most n rows of each key; each task sends n of a key at most."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long")).where(F.col("place") <= n)
+    """At most n rows of each key, nulls of a named column last; each task sends n of a key at most."""
+    by = [F.asc_nulls_last(c) if isinstance(c, str) else c for c in order]
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*by)).cast("long")).where(F.col("place") <= n)
 
 
 def collected(rows: DataFrame, key: str, *parts: str) -> DataFrame:
@@ -63,8 +64,9 @@ def attempts(rows: DataFrame, key: str, order: list[str], small: Column, large:
     """What a run makes of the first ``n`` places of each key, each tried with the small model, then with the large one, until one succeeds.
 
     key, n_small, n_large (tries), solved_by ('small', 'large' or null) and solved_at (place from 1, null if none).
+    Rows that are equal in ``order`` stand by what they give, failures first, so that the result does not hang on how the rows come.
     """
-    first = top_per_key(rows.select(key, *order, F.coalesce(small, F.lit(False)).alias("_s"), F.coalesce(large, F.lit(False)).alias("_l")), key, n, *order)
+    first = top_per_key(rows.select(key, *order, F.coalesce(small, F.lit(False)).alias("_s"), F.coalesce(large, F.lit(False)).alias("_l")), key, n, *order, "_s", "_l")
     found = first.groupBy(key).agg(F.count(F.lit(1)).alias("places"), F.min(F.when(F.col("_s") | F.col("_l"), F.struct("place", F.when(F.col("_s"), "small").otherwise("large").alias("by")))).alias("hit"))
     tried = F.coalesce("hit.place", "places")
     return found.select(key, tried.alias("n_small"), (tried - F.when(F.col("hit.by") == "small", 1).otherwise(0)).alias("n_large"), F.col("hit.by").alias("solved_by"), F.col("hit.place").alias("solved_at"))

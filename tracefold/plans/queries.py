@@ -731,7 +731,8 @@ def stream_attempts(spark, sf):
     from ..streaming import ingest
 
     base = f"{inputs.shared_dir(spark)}/attempts-{uuid.uuid4().hex}"
-    rows = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"), (F.col("l_quantity") > 44).alias("small"), (F.col("l_discount") > 0.07).alias("large"))
+    place = F.coalesce("l_orderkey", F.lit(2**59)) * 10 + F.coalesce("l_linenumber", F.lit(9))  # nulls last
+    rows = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("key"), place.alias("place"), (F.col("l_quantity") > 44).alias("small"), (F.col("l_discount") > 0.07).alias("large"))
     buckets = max(1, rows.count() // 20_000)
     before = spark.conf.get(ingest.ROCKSDB[0], None)
     spark.conf.set(*ingest.ROCKSDB)

@@ -46,8 +46,8 @@ def new_keys(rows: DataFrame, key: str, time: str | None = None, delay: str = "1
 HELD = ("key", "place", "small", "large", "last")
 #: The state store that transformWithState asks for.
 ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-#: Stands for a null place; it comes first, as nulls do.
-FIRST = -(2**63)
+#: Stands for a null place; it comes last, as in ``coverage.attempts``.
+LAST = 2**63 - 1
 
 
 def _packed(held: pd.DataFrame) -> bytes:
@@ -132,7 +132,7 @@ def attempts(rows: DataFrame, key_type: str = "long", most: int = 3, time: str |
     # in pandas a null would make numbers of the others inexact, so the null key has a group of its own and any value
     any_key = F.lit({"string": "", "date": "1970-01-01", "timestamp": "1970-01-01"}.get(key_type, 0)).cast(key_type)
     given = rows.select(
-        F.when(F.col("key").isNull(), -1).otherwise(F.pmod(F.xxhash64("key"), F.lit(buckets))).cast("long").alias("bucket"), F.coalesce("key", any_key).alias("key"), F.coalesce(F.col("place").cast("long"), F.lit(FIRST)).alias("place"),
+        F.when(F.col("key").isNull(), -1).otherwise(F.pmod(F.xxhash64("key"), F.lit(buckets))).cast("long").alias("bucket"), F.coalesce("key", any_key).alias("key"), F.coalesce(F.col("place").cast("long"), F.lit(LAST)).alias("place"),
         *(F.coalesce(F.col(c).cast("boolean"), F.lit(False)).alias(c) for c in ("small", "large")), *([F.unix_millis("at").alias("last"), "at"] if time is not None else [F.lit(0).cast("long").alias("last")]),
     )
     ledger = AttemptLedger(most, idle_ms if time is not None else None)
